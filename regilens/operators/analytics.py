@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regilens.functions import constants as K
@@ -147,16 +147,18 @@ def event_rate_by(reg: DataFrame, dog: DataFrame, txn: DataFrame, predicate: Col
     the denominator. ``n`` = flagged transactions of the key x
     (registration, dog) rows of the key."""
     rg = registration_geo(reg, dog, key, dog_key, geo)
+    # w_k: (registration, dog) rows of the key over *all* geos (NULL geo too);
+    # a window over the aggregated (key, geo) rows -- at most one row per geo
+    # per key -- so the join aggregate is computed once and a hot key is small
+    rgw = rg.withColumn("__w", F.sum("c").over(Window.partitionBy(key)))
     flagged = (txn.filter(predicate & F.col(key).isNotNull())
                   .groupBy(key).agg(F.count(F.lit(1)).alias("__t")))
-    weight = rg.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("c").alias("__w"))
-    per_key = flagged.join(weight, key, "inner").select(key, (F.col("__t") * F.col("__w")).alias("__n"))
-    n = F.coalesce(F.col("__n"), F.lit(0).cast("bigint"))
-    out = (rg.filter(F.col(geo).isNotNull())
-             .join(per_key, key, "left")
-             .groupBy(geo)
-             .agg(F.sum(F.col("c") * n).alias(count_name),
-                  F.sum(F.col("c") * F.greatest(n, F.lit(1).cast("bigint"))).alias(total_name)))
+    n = F.coalesce(F.col("__t") * F.col("__w"), F.lit(0).cast("bigint"))
+    out = (rgw.filter(F.col(geo).isNotNull())
+              .join(flagged, key, "left")
+              .groupBy(geo)
+              .agg(F.sum(F.col("c") * n).alias(count_name),
+                   F.sum(F.col("c") * F.greatest(n, F.lit(1).cast("bigint"))).alias(total_name)))
     out = out.withColumn(rate_name, rate(F.col(count_name), F.col(total_name)))
     return out.select(geo, count_name, total_name, rate_name).orderBy(F.col(rate_name).desc(), F.col(geo))
 

@@ -6,8 +6,9 @@ Modulus rules inject the dirt the audit operators look for: NULLs, exact
 duplicate rows, repeated keys, bad dates, orphans, dirty text and labels.
 
 Every table is a narrow projection of one scan (plus, for dogs, a join to the
-25-row nation table), so the derivation is map-only apart from that join; the
-duplicate copies are a UNION ALL of a filtered re-projection of the same scan.
+25-row nation table), so the derivation is map-only apart from that join. The
+injected copies come from the same scan: each source row explodes into itself
+plus the copies its key calls for (no second scan, no UNION).
 """
 
 from __future__ import annotations
@@ -68,6 +69,13 @@ def _date(s: str) -> Column:
     return F.to_date(F.lit(s))
 
 
+def _with_copies(df: DataFrame, copies: dict[int, Column]) -> DataFrame:
+    """Each row once as itself (``__v`` = 0) plus once per copy kind ``v``
+    whose condition holds (``__v`` = v)."""
+    variants = F.array(F.lit(0), *[F.when(cond, F.lit(v)) for v, cond in copies.items()])
+    return df.withColumn("__v", F.explode(F.array_compact(variants)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -98,8 +106,9 @@ def dog_stage(customer: DataFrame, nation: DataFrame) -> DataFrame:
     base = base.withColumn("hash_binary", F.md5(F.concat_ws(
         "|", F.col("Dog_Number").cast("string"), F.coalesce("Kept_At_Suburb", F.lit("~")),
         F.col("Primary_Breed"), F.col("Fee_Description"))))
-    copies = base.filter(F.col("Dog_Number") % 40 == 0).withColumn("FID", F.col("FID") + COPY_OFFSET)
-    return conform(base.unionByName(copies), DOG_STAGE)
+    out = _with_copies(base, {1: F.col("Dog_Number") % 40 == 0})
+    out = out.withColumn("FID", F.col("FID") + F.col("__v") * COPY_OFFSET)
+    return conform(out, DOG_STAGE)
 
 
 def dog_stage_dirty(dog: DataFrame) -> DataFrame:
@@ -140,11 +149,14 @@ def registration_stage(orders: DataFrame) -> DataFrame:
         "|", F.col("FID").cast("string"), F.col("Dog_Number").cast("string"), F.col("Fee_Code"),
         F.coalesce("Amount_Paid", F.lit("~")))))
     rid = F.col("Registration_ID")
-    copies = base.filter(rid % 50 == 0).withColumn("FID", F.col("FID") + COPY_OFFSET)
-    repeats = (base.filter(rid % 60 == 1)
-               .withColumn("FID", F.col("FID") + REPEAT_OFFSET)
-               .withColumn("hash_binary", F.md5(F.concat(F.col("hash_binary"), F.lit("v2")))))
-    return conform(base.unionByName(copies).unionByName(repeats), REGISTRATION_STAGE)
+    # 1: exact copy (same hash); 2: repeated key with a different hash
+    out = _with_copies(base, {1: rid % 50 == 0, 2: rid % 60 == 1})
+    v = F.col("__v")
+    out = (out.withColumn("FID", F.col("FID") + F.when(v == 1, F.lit(COPY_OFFSET))
+                          .when(v == 2, F.lit(REPEAT_OFFSET)).otherwise(F.lit(0)))
+              .withColumn("hash_binary", F.when(v == 2, F.md5(F.concat(F.col("hash_binary"), F.lit("v2"))))
+                          .otherwise(F.col("hash_binary"))))
+    return conform(out, REGISTRATION_STAGE)
 
 
 def transaction_stage(lineitem: DataFrame) -> DataFrame:
@@ -169,9 +181,9 @@ def transaction_stage(lineitem: DataFrame) -> DataFrame:
     )
     base = base.withColumn("hash_binary", F.md5(F.concat_ws(
         "|", F.col("FID").cast("string"), F.col("Transaction_Type"))))
-    copies = (base.filter(F.coalesce(F.col("Account_Number"), F.lit(0)) % 70 == 0)
-              .withColumn("FID", -F.col("FID") - 1))
-    return conform(base.unionByName(copies), TRANSACTION_STAGE)
+    out = _with_copies(base, {1: F.coalesce(F.col("Account_Number"), F.lit(0)) % 70 == 0})
+    out = out.withColumn("FID", F.when(F.col("__v") == 1, -F.col("FID") - 1).otherwise(F.col("FID")))
+    return conform(out, TRANSACTION_STAGE)
 
 
 def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
