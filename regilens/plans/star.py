@@ -71,7 +71,14 @@ def _complete(spark: SparkSession, path: str) -> bool:
 
 
 def _write_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` unless a finished copy exists. When the plan yields fewer
+    partitions than the cluster has cores (an unsplittable source file, say),
+    spread it first so the written stage can be scanned in parallel; large
+    inputs already come in many splits and are written as they are."""
     if not _complete(spark, path):
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
