@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from regilens.functions import constants as K
 from regilens.functions.expressions import (
     any_like,
-    int_avg,
     null_flag,
     rate,
     year_at_least,
@@ -83,15 +82,32 @@ def rare_groups(df: DataFrame, column: str = GEO, below: int = K.RARE_GROUP_BELO
 
 # E08 -----------------------------------------------------------------------------
 def group_count_stats(df: DataFrame, column: str = GEO) -> DataFrame:
-    """Average (integer-truncated), min, max and exact median of the per-group
-    counts, in one aggregate over the (small) per-group table."""
+    """Average (integer-truncated), min, max and exact median
+    (``PERCENTILE_CONT(0.5)``) of the per-group row counts.
+
+    The statistics are read off the *histogram of group sizes* (size ->
+    number of groups): distinct sizes d1 < d2 < ... < dm of groups that
+    together hold N rows satisfy m(m+1)/2 <= N, so the single ordered pass
+    that locates the middle ranks sees at most sqrt(2N) rows, however many
+    groups there are. No group list is ever gathered in one task."""
     counts = (df.filter(F.col(column).isNotNull())
                 .groupBy(column).agg(F.count(F.lit(1)).alias("Dog_Count")))
-    return counts.agg(
-        int_avg("Dog_Count").alias("Avg_Dogs_Per_Suburb"),
+    hist = counts.groupBy("Dog_Count").agg(F.count(F.lit(1)).alias("__f"))
+    upto = Window.orderBy("Dog_Count").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy(F.lit(1))
+    h = (hist.withColumn("__cum", F.sum("__f").over(upto))
+             .withColumn("__n", F.sum("__f").over(everything)))
+    lo = F.floor((F.col("__n") - 1) / 2)   # 0-based middle ranks
+    hi = F.ceil((F.col("__n") - 1) / 2)
+    first = F.col("__cum") - F.col("__f")  # 0-based rank of the first group of this size
+    covers = lambda r: (first <= r) & (r < F.col("__cum"))
+    return h.agg(
+        # integer AVG over groups = total rows div number of groups
+        F.expr("sum(Dog_Count * __f) div sum(__f)").alias("Avg_Dogs_Per_Suburb"),
         F.min("Dog_Count").alias("Min_Dogs"),
         F.max("Dog_Count").alias("Max_Dogs"),
-        F.median("Dog_Count").alias("Median_Dogs"),
+        ((F.max(F.when(covers(lo), F.col("Dog_Count"))) + F.max(F.when(covers(hi), F.col("Dog_Count"))))
+         / F.lit(2.0)).alias("Median_Dogs"),
     )
 
 
@@ -256,9 +272,11 @@ def discount_value_outliers(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT
                             low: float = K.DISCOUNT_VALUE_LOW, high: float = K.DISCOUNT_VALUE_HIGH,
                             value_col: str = "Transaction_Value", type_col: str = TYPE) -> DataFrame:
     v = F.col(value_col)
+    # FID is a hidden tie-break: (value, type) has few distinct values, and
+    # the range partitioning behind a global sort needs spread to split
     return (txn.filter(any_like(type_col, patterns) & ((v < low) | (v > high)))
-               .select(type_col, value_col)
-               .orderBy(value_col, type_col))
+               .orderBy(value_col, type_col, "FID")
+               .select(type_col, value_col))
 
 
 # E22 -----------------------------------------------------------------------------

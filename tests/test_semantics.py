@@ -229,3 +229,14 @@ def test_seasonality_flags_peak(spark):
                                   (D(2025, 7, 1),)], T.StructType([T.StructField("Registration_From", T.DateType())]))
     got = [(r.Month, r.Registration_Count, r.Is_Peak) for r in M.seasonality(regs).collect()]
     assert got == [(1, 1, False), (7, 2, True)]
+
+
+@pytest.mark.parametrize("sizes,median", [([1, 1, 2, 5, 7], 2.0), ([1, 2, 3, 4], 2.5), ([3], 3.0),
+                                          ([2, 2, 9, 9], 5.5)])
+def test_exact_median_from_size_histogram(spark, sizes, median):
+    rows = [(f"s{i}",) for i, n in enumerate(sizes) for _ in range(n)]
+    dog = spark.createDataFrame(rows, "Kept_At_Suburb string")
+    r = A.group_count_stats(dog).first()
+    assert r.Median_Dogs == median
+    assert r.Avg_Dogs_Per_Suburb == sum(sizes) // len(sizes)
+    assert (r.Min_Dogs, r.Max_Dogs) == (min(sizes), max(sizes))
