@@ -1,0 +1,11 @@
+"""Structured Streaming: incremental ingestion of transaction extracts into
+the clean fact, with the monthly activity mart kept current per batch."""
+
+from regilens.streaming.ingest import (
+    ingest_transactions,
+    latest_mart,
+    read_transaction_extracts,
+    stored_transactions,
+)
+
+__all__ = ["ingest_transactions", "latest_mart", "read_transaction_extracts", "stored_transactions"]
