@@ -29,7 +29,7 @@ from regilens.functions.expressions import (
     year_at_least,
     year_below,
 )
-from regilens.operators.joins import key_flags, pair_counts
+from regilens.operators.joins import anti_lookup, key_flags, pair_counts
 
 KEY = K.REGISTRATION_KEY
 DOG_KEY = "Dog_Number"
@@ -221,13 +221,14 @@ def key_presence(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A
 def flag_events(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A, name: str = "IsDiscount",
                 key: str = KEY, type_col: str = TYPE, date_col: str = TDATE, sort: bool = True) -> DataFrame:
     """Every transaction with a 0/1 flag. The sort (flagged first) carries the
-    other columns as tie-breakers so the range partitioning behind it splits
-    the two flag values across many partitions."""
+    other columns and the row id as tie-breakers, so the range partitioning
+    behind it splits the two flag values -- and any run of identical rows --
+    across many partitions."""
     out = txn.select(key, date_col, type_col,
-                     F.when(any_like(type_col, patterns), F.lit(1)).otherwise(F.lit(0)).alias(name))
+                     F.when(any_like(type_col, patterns), F.lit(1)).otherwise(F.lit(0)).alias(name), "FID")
     if sort:
-        out = out.orderBy(F.col(name).desc(), F.col(key), F.col(date_col), F.col(type_col))
-    return out
+        out = out.orderBy(F.col(name).desc(), F.col(key), F.col(date_col), F.col(type_col), F.col("FID"))
+    return out.drop("FID")
 
 
 # E18 -----------------------------------------------------------------------------
@@ -260,11 +261,11 @@ def events_after_first(txn: DataFrame, first_predicate: Column, then_predicate:
     first = (txn.filter(first_predicate & F.col(key).isNotNull())
                 .groupBy(key).agg(F.min(date_col).alias(first_name)))
     later = (txn.filter(then_predicate & F.col(key).isNotNull())
-                .select(key, F.col(date_col).alias(then_name)))
+                .select(key, F.col(date_col).alias(then_name), "FID"))
     return (later.join(first, key, "inner")
                  .filter(F.col(then_name) > F.col(first_name))
-                 .select(key, then_name, first_name)
-                 .orderBy(then_name, key, first_name))
+                 .orderBy(then_name, key, first_name, "FID")   # FID: hidden tie-break
+                 .select(key, then_name, first_name))
 
 
 # E21 -----------------------------------------------------------------------------
@@ -295,10 +296,12 @@ def orphan_events(txn: DataFrame, reg: DataFrame, patterns: Iterable[str] = K.DI
 # E25 -----------------------------------------------------------------------------
 def unmatched(reg: DataFrame, txn: DataFrame, key: str = KEY,
               columns: Sequence[str] = (KEY, DOG_KEY, "Registration_From", "Registration_To")) -> DataFrame:
-    """Registrations with no transaction (NULL keys never match). The
+    """Registrations with no transaction (NULL keys never match, so they are
+    kept; they are salted by FID so they do not pile onto one reducer). The
     transaction side is reduced to its distinct keys first."""
     keys = txn.select(key).filter(F.col(key).isNotNull()).distinct()
-    return reg.join(keys, key, "left_anti").select(*columns)
+    spread = "FID" if "FID" in reg.columns else None
+    return anti_lookup(reg, keys, key, spread=spread).select(*columns)
 
 
 # E26 -----------------------------------------------------------------------------

@@ -84,3 +84,40 @@ def expand_multiplicity(df: DataFrame, count_col: str, chunk: int = 4096,
                  .repartition(partitions))
     return (chunked.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__size"))))
                    .drop("__one", "__size", "__c", count_col))
+
+
+def _salted_key(df: DataFrame, key: str, spread: str) -> Column:
+    """Join key that equals ``(false, key)`` for a real key and
+    ``(true, hash(spread))`` for a NULL key: NULL keys still never match, but
+    they hash to partitions by ``spread`` instead of all to one."""
+    dtype = df.schema[key].dataType
+    return F.struct(F.col(key).isNull().alias("n"),
+                    F.coalesce(F.col(key), F.xxhash64(F.col(spread)).cast(dtype)).alias("v"))
+
+
+def _probe_key(df: DataFrame, key: str) -> Column:
+    return F.struct(F.lit(False).alias("n"), F.col(key).alias("v"))
+
+
+def left_lookup(left: DataFrame, right: DataFrame, on: str, spread: str | None = None) -> DataFrame:
+    """``left LEFT JOIN right USING (on)`` where ``right`` has at most one row
+    per key (so the join never fans out).
+
+    With ``spread`` (a well-spread left column such as a row id), left rows
+    with a NULL key -- which can never match -- are salted across partitions
+    instead of all landing on one reducer; still one scan, one join."""
+    if spread is None:
+        return left.join(right, on, "left")
+    r = right.withColumnRenamed(on, "__rk")
+    cond = _salted_key(left, on, spread) == _probe_key(r, "__rk")
+    return left.join(r, cond, "left").drop("__rk")
+
+
+def anti_lookup(left: DataFrame, right_keys: DataFrame, on: str, spread: str | None = None) -> DataFrame:
+    """``left`` rows whose key is not in ``right_keys`` (NULL keys never
+    match, so they are kept). ``spread`` salts NULL keys as in
+    :func:`left_lookup`."""
+    if spread is None:
+        return left.join(right_keys, on, "left_anti")
+    r = right_keys.select(F.col(on).alias("__rk"))
+    return left.join(r, _salted_key(left, on, spread) == _probe_key(r, "__rk"), "left_anti")

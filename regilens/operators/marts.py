@@ -15,7 +15,7 @@ from regilens.functions import constants as K
 from regilens.functions.expressions import null_flag, pct, rate, year_between
 from regilens.operators.analytics import DOG_KEY, GEO, KEY, discount_pred, late_pred, suburb_scorecard
 from regilens.operators.cleaning import dedup_keep_first
-from regilens.operators.joins import key_flags
+from regilens.operators.joins import key_flags, left_lookup
 
 
 # D01 -----------------------------------------------------------------------------
@@ -77,15 +77,16 @@ def star_wide(txn: DataFrame, reg: DataFrame, dog: DataFrame, key: str = KEY, do
 
     A repeated key resolves to its lowest-FID row (one lookup row per key), so
     the table has exactly one row per transaction -- no fan-out -- and both
-    joins are many-to-one."""
+    joins are many-to-one. Rows without a key are salted by their FID so they
+    spread over the join's partitions instead of piling onto one."""
     reg_one = dedup_keep_first(reg.filter(F.col(key).isNotNull()), [key]) \
         .select(key, dog_key, *reg_attrs)
     dog_one = dedup_keep_first(dog.filter(F.col(dog_key).isNotNull()), [dog_key]) \
         .select(dog_key, *dog_attrs)
     facts = txn.select(F.col("FID").alias("Transaction_FID"), key, "Transaction_Date",
                        "Transaction_Value", "Transaction_Type")
-    return (facts.join(reg_one, key, "left")
-                 .join(dog_one, dog_key, "left")
+    with_reg = left_lookup(facts, reg_one, key, spread="Transaction_FID")
+    return (left_lookup(with_reg, dog_one, dog_key, spread="Transaction_FID")
                  .select("Transaction_FID", key, "Transaction_Date", "Transaction_Value", "Transaction_Type",
                          dog_key, *reg_attrs, *dog_attrs))
 
