@@ -33,14 +33,14 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     c02_build_fact_registration=lambda s: C.build_table(s.registration_stage),
     c03_build_fact_transaction=lambda s: C.build_fact_transaction(s.transaction_stage),
     c08_primary_key_dog=lambda s: Q.assert_primary_key(s.dog_stage_dirty, "FID", "DimDog"),
-    c08_primary_key_registration=lambda s: Q.assert_primary_key(s.registration_stage, "FID", "FactRegistration"),
-    c08_primary_key_transaction=lambda s: Q.assert_primary_key(
-        C.build_fact_transaction(s.transaction_stage), "FID", "FactTransaction"),
+    # FIDs of the working copies are the staging FIDs (standardising never
+    # touches them), so the checks read the written standardised tables
+    c08_primary_key_registration=lambda s: Q.assert_primary_key(s.registration_std, "FID", "FactRegistration"),
+    c08_primary_key_transaction=lambda s: Q.assert_primary_key(s.transaction_std, "FID", "FactTransaction"),
     # --- 2. standardisation -----------------------------------------------------
     c04_standardise_suburb=lambda s: C.standardise_prefix(s.dog_stage),
     c05_recode_fee_labels=lambda s: C.recode_values(s.registration_stage),
-    c06_registration_key=lambda s: C.standardise_keys(C.recode_values(s.registration_stage),
-                                                      K.REGISTRATION_KEY_RENAMES),
+    c06_registration_key=lambda s: s.registration_std,
     c06_transaction_key=lambda s: s.transaction_std,
     # --- 3. missing data ----------------------------------------------------------
     c07_null_audit_dog=lambda s: Q.null_audit(s.dog_std, K.DOG_AUDIT_COLUMNS),

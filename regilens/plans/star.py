@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +109,8 @@ def _fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-_CACHE: dict[tuple[str, str], Star] = {}
+_CACHE: dict[tuple[str, str, bool], Star] = {}
+_LOCK = threading.Lock()
 
 
 def fixture_star(spark: SparkSession, sf_dir: str, materialised: bool = True) -> Star:
@@ -118,13 +120,14 @@ def fixture_star(spark: SparkSession, sf_dir: str, materialised: bool = True) ->
     input fingerprint under the shared checkpoint folder; without a shared
     folder (cluster session with none configured) everything stays lazy."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), materialised)
-    if key in _CACHE:
-        return _CACHE[key]
-    star = build_star(load_stages(spark, sf_dir))
-    if materialised:
-        root = checkpoint_root(spark)
-        if root is not None:
-            app = spark.sparkContext.applicationId
-            star = materialise(spark, star, path_join(root, "regilens_star", app, _fingerprint(sf_dir)))
-    _CACHE[key] = star
-    return star
+    with _LOCK:  # one build per session and input, even when queries run in threads
+        if key in _CACHE:
+            return _CACHE[key]
+        star = build_star(load_stages(spark, sf_dir))
+        if materialised:
+            root = checkpoint_root(spark)
+            if root is not None:
+                app = spark.sparkContext.applicationId
+                star = materialise(spark, star, path_join(root, "regilens_star", app, _fingerprint(sf_dir)))
+        _CACHE[key] = star
+        return star

@@ -45,7 +45,9 @@ def _pick(rng, xs, null=0.0):
     return None if rng.random() < null else rng.choice(xs)
 
 
-def make_star(seed: int):
+def make_star(seed: int, hot: bool = False):
+    """Random star; with ``hot`` a third of the dogs, registrations and
+    transactions share one key (the skew the operators must survive)."""
     rng = random.Random(seed)
     dogs, regs, txns = [], [], []
     fids = iter(rng.sample(range(1, 10_000), 2_000))
@@ -65,6 +67,12 @@ def make_star(seed: int):
         txns.append((next(fids), _pick(rng, range(1, 31), 0.08), "Animal Registration", _date(rng, 1990, 2030),
                      Decimal(rng.choice([-150, -20, 0, 60, 750])).quantize(Decimal("0.01")),
                      _pick(rng, TYPES), _pick(rng, ["h1", "h2"])))
+    if hot:
+        def heat(rows, idx):
+            return [r[:idx] + (1,) + r[idx + 1:] if i % 3 == 0 else r for i, r in enumerate(rows)]
+        dogs = heat(dogs, 1)
+        regs = heat(heat(regs, 1), 2)
+        txns = heat(txns, 1)
     return dogs, regs, txns
 
 
@@ -74,9 +82,10 @@ def _schema(st, rename=None):
     return T.StructType([T.StructField(rename.get(f.name, f.name), f.dataType, True) for f in st.fields])
 
 
-@pytest.fixture(scope="module", params=[7, 11, 23])
+@pytest.fixture(scope="module", params=[(7, False), (11, False), (23, False), (101, True)],
+                ids=["seed7", "seed11", "seed23", "hotkey"])
 def random_star(request, spark):
-    dogs, regs, txns = make_star(request.param)
+    dogs, regs, txns = make_star(*request.param)
     dog_s = _schema(DOG_STAGE)
     reg_s = _schema(REGISTRATION_STAGE, {"Registration_ID": "Registration_Key"})
     txn_s = _schema(TRANSACTION_STAGE, {"Account_Number": "Registration_Key"})
