@@ -29,7 +29,7 @@ from regilens.functions.expressions import (
     year_at_least,
     year_below,
 )
-from regilens.operators.joins import anti_lookup, key_flags, pair_counts
+from regilens.operators.joins import JOIN_COUNT, anti_lookup, join_count, key_flags, pair_counts
 
 KEY = K.REGISTRATION_KEY
 DOG_KEY = "Dog_Number"
@@ -147,7 +147,7 @@ def registration_geo(reg: DataFrame, dog: DataFrame, key: str = KEY, dog_key: st
                .groupBy(dog_key, geo).agg(F.count(F.lit(1)).alias("__d")))
     return (reg.select(key, dog_key).filter(F.col(dog_key).isNotNull())
                .join(dims, dog_key, "inner")
-               .groupBy(key, geo).agg(F.sum("__d").alias("c")))
+               .groupBy(key, geo).agg(F.sum(join_count(F.col("__d"))).cast(JOIN_COUNT).alias("c")))
 
 
 # E12 / E23 ---------------------------------------------------------------------
@@ -161,20 +161,22 @@ def event_rate_by(reg: DataFrame, dog: DataFrame, txn: DataFrame, predicate: Col
     Computed without the fan-out: with ``n`` = flagged rows of a key, a
     registration row contributes ``n`` to the numerator and ``max(n, 1)`` to
     the denominator. ``n`` = flagged transactions of the key x
-    (registration, dog) rows of the key."""
+    (registration, dog) rows of the key. Counts are exact DECIMAL(38,0):
+    under skew the number of joined rows passes 2^63."""
     rg = registration_geo(reg, dog, key, dog_key, geo)
     # w_k: (registration, dog) rows of the key over *all* geos (NULL geo too);
     # a window over the aggregated (key, geo) rows -- at most one row per geo
     # per key -- so the join aggregate is computed once and a hot key is small
-    rgw = rg.withColumn("__w", F.sum("c").over(Window.partitionBy(key)))
+    rgw = rg.withColumn("__w", F.sum("c").over(Window.partitionBy(key)).cast(JOIN_COUNT))
     flagged = (txn.filter(predicate & F.col(key).isNotNull())
                   .groupBy(key).agg(F.count(F.lit(1)).alias("__t")))
-    n = F.coalesce(F.col("__t") * F.col("__w"), F.lit(0).cast("bigint"))
+    zero, one = F.lit(0).cast(JOIN_COUNT), F.lit(1).cast(JOIN_COUNT)
+    n = F.coalesce((join_count(F.col("__t")) * F.col("__w")).cast(JOIN_COUNT), zero)
     out = (rgw.filter(F.col(geo).isNotNull())
               .join(flagged, key, "left")
               .groupBy(geo)
-              .agg(F.sum(F.col("c") * n).alias(count_name),
-                   F.sum(F.col("c") * F.greatest(n, F.lit(1).cast("bigint"))).alias(total_name)))
+              .agg(F.sum((F.col("c") * n).cast(JOIN_COUNT)).cast(JOIN_COUNT).alias(count_name),
+                   F.sum((F.col("c") * F.greatest(n, one)).cast(JOIN_COUNT)).cast(JOIN_COUNT).alias(total_name)))
     out = out.withColumn(rate_name, rate(F.col(count_name), F.col(total_name)))
     return out.select(geo, count_name, total_name, rate_name).orderBy(F.col(rate_name).desc(), F.col(geo))
 
@@ -197,7 +199,8 @@ def event_count_by_geo(txn: DataFrame, reg: DataFrame, dog: DataFrame, predicate
     flagged = (txn.filter(predicate & F.col(key).isNotNull())
                   .groupBy(key).agg(F.count(F.lit(1)).alias("__t")))
     out = (rg.join(flagged, key, "inner")
-             .groupBy(geo).agg(F.sum(F.col("c") * F.col("__t")).alias(name)))
+             .groupBy(geo).agg(F.sum((F.col("c") * join_count(F.col("__t"))).cast(JOIN_COUNT))
+                               .cast(JOIN_COUNT).alias(name)))
     return out.orderBy(F.col(name).desc(), F.col(geo))
 
 

@@ -16,6 +16,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Counts of *join rows* are products of per-key counts. With a key holding a
+# third of two tables, such a product passes 2^63 long before anything could
+# enumerate the rows, so they are carried as exact 38-digit decimals.
+JOIN_COUNT = "decimal(38,0)"
+
+
+def join_count(c: Column) -> Column:
+    return c.cast(JOIN_COUNT)
+
 
 def key_counts(df: DataFrame, keys: Sequence[str], groups: Sequence[str] = (), name: str = "n",
                where: Column | None = None) -> DataFrame:
@@ -49,7 +58,7 @@ def pair_counts(left: DataFrame, right: DataFrame, on: str | Sequence[str],
     rc = rsrc.select(*rkeys, *right_groups).groupBy(*knames, *right_groups).agg(F.count(F.lit(1)).alias("__rc"))
     return (lc.join(rc, knames, "inner")
               .groupBy(*left_groups, *right_groups)
-              .agg(F.sum(F.col("__lc") * F.col("__rc")).alias(name)))
+              .agg(F.sum(join_count(F.col("__lc")) * join_count(F.col("__rc"))).cast(JOIN_COUNT).alias(name)))
 
 
 def key_flags(df: DataFrame, key: str, flags: Mapping[str, Column],

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from regilens.operators import cleaning as C
-from regilens.session import checkpoint_root, path_join
+from regilens.session import checkpoint_root, path_join, spread_small
 from regilens.sources.fixtures import dog_stage_dirty, load_stages
 
 STD_NAMES = ("DimDog_std", "FactRegistration_std", "FactTransaction_std")
@@ -77,10 +77,7 @@ def _write_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     spread it first so the written stage can be scanned in parallel; large
     inputs already come in many splits and are written as they are."""
     if not _complete(spark, path):
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        df.write.mode("overwrite").parquet(path)
+        spread_small(df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

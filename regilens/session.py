@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session should carry. AQE re-plans at each shuffle boundary:
 # it coalesces small partitions, splits skewed join partitions, and turns a
@@ -14,9 +14,6 @@ from pyspark.sql import SparkSession
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # size-driven coalescing (advisory 64 MB) instead of keeping one task per
-    # core for tiny shuffles: fewer small tasks on a busy cluster
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
@@ -40,6 +37,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+# On a shared cluster also set, per workload:
+#   spark.sql.adaptive.coalescePartitions.parallelismFirst=false
+#   spark.sql.adaptive.advisoryPartitionSizeInBytes=128m..256m
+#   spark.sql.shuffle.partitions  ~ (largest shuffle) / 200 MB
+#   spark.sql.files.maxPartitionBytes=256m
+# Locally the defaults (keep one task per core) parallelise better.
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when its plan yields fewer
+    partitions than cores (e.g. one unsplittable file feeding expensive
+    per-row work). A large input arrives in many splits and passes through
+    untouched, so this never adds a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

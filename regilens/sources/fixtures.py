@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regilens.session import spread_small
 from regilens.sources.schemas import (
     DOG_STAGE,
     REGISTRATION_STAGE,
@@ -190,8 +191,12 @@ def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three staging tables (lazy) derived from ``sf_dir``."""
     customer = read_table(spark, sf_dir, "customer")
     nation = read_table(spark, sf_dir, "nation")
-    orders = read_table(spark, sf_dir, "orders")
-    lineitem = read_table(spark, sf_dir, "lineitem")
+    # the derivation (hashing, copies, casts) is the expensive part; spread it
+    # when a table arrives as fewer splits than cores
+    orders = spread_small(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    lineitem = spread_small(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
     return {
         "Dog_Stage": dog_stage(customer, nation),
         "Dog_Registration_Stage": registration_stage(orders),
