@@ -26,13 +26,6 @@ def join_count(c: Column) -> Column:
     return c.cast(JOIN_COUNT)
 
 
-def key_counts(df: DataFrame, keys: Sequence[str], groups: Sequence[str] = (), name: str = "n",
-               where: Column | None = None) -> DataFrame:
-    """``(keys, groups, n)``: row count per key and grouping values."""
-    src = df if where is None else df.filter(where)
-    return src.groupBy(*keys, *groups).agg(F.count(F.lit(1)).alias(name))
-
-
 def pair_counts(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                 left_groups: Sequence[str] = (), right_groups: Sequence[str] = (),
                 left_where: Column | None = None, right_where: Column | None = None,
@@ -47,12 +40,10 @@ def pair_counts(left: DataFrame, right: DataFrame, on: str | Sequence[str],
     rsrc = right if right_where is None else right.filter(right_where)
     lkeys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(lk)]
     rkeys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(rk)]
-    nn_l = [F.col(k).isNotNull() for k in lk]
-    nn_r = [F.col(k).isNotNull() for k in rk]
-    for c in nn_l:
-        lsrc = lsrc.filter(c)
-    for c in nn_r:
-        rsrc = rsrc.filter(c)
+    for k in lk:
+        lsrc = lsrc.filter(F.col(k).isNotNull())
+    for k in rk:
+        rsrc = rsrc.filter(F.col(k).isNotNull())
     knames = [f"__k{i}" for i in range(len(lk))]
     lc = lsrc.select(*lkeys, *left_groups).groupBy(*knames, *left_groups).agg(F.count(F.lit(1)).alias("__lc"))
     rc = rsrc.select(*rkeys, *right_groups).groupBy(*knames, *right_groups).agg(F.count(F.lit(1)).alias("__rc"))
