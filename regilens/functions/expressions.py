@@ -17,24 +17,41 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def any_like(c: ColumnOrName, patterns: Iterable[str]) -> Column:
+def any_like(c: ColumnOrName, patterns: Iterable[str], case_insensitive: bool = False) -> Column:
     """``c LIKE p1 OR c LIKE p2 ...``. Catalyst rewrites ``%x%`` to Contains and
-    ``x%`` to StartsWith and pushes the OR to the Parquet reader."""
+    ``x%`` to StartsWith and pushes the OR to the Parquet reader.
+
+    ``case_insensitive`` matches like a case-insensitive database collation
+    (``ILIKE``); it is off by default (binary comparison)."""
     pats = list(patterns)
     if not pats:
         return F.lit(False)
     cc = col(c)
-    return reduce(lambda a, b: a | b, [cc.like(p) for p in pats])
+    return reduce(lambda a, b: a | b, [cc.ilike(p) if case_insensitive else cc.like(p) for p in pats])
+
+
+def equals_text(c: ColumnOrName, value: str, case_insensitive: bool = False,
+                ignore_trailing_spaces: bool = False) -> Column:
+    """``c = value``; optionally as a case-insensitive collation would compare
+    and/or ignoring trailing spaces (as SQL ``=`` on padded text does). The
+    default binary form is the one pushed into the Parquet scan."""
+    left, right = col(c), value
+    if ignore_trailing_spaces:
+        left, right = F.rtrim(left), right.rstrip(" ")
+    if case_insensitive:
+        return F.lower(left) == F.lit(right.lower())
+    return left == F.lit(right)
 
 
 def event_predicate(type_col: ColumnOrName, *, equals: str | None = None,
-                    patterns: Iterable[str] | None = None) -> Column:
+                    patterns: Iterable[str] | None = None, case_insensitive: bool = False,
+                    ignore_trailing_spaces: bool = False) -> Column:
     """Predicate for an event class: an exact type or a LIKE pattern set."""
     if (equals is None) == (patterns is None):
         raise ValueError("give exactly one of equals= or patterns=")
     if equals is not None:
-        return col(type_col) == F.lit(equals)
-    return any_like(type_col, patterns)
+        return equals_text(type_col, equals, case_insensitive, ignore_trailing_spaces)
+    return any_like(type_col, patterns, case_insensitive)
 
 
 def year_start(year: int) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from regilens.functions import constants as K
 from regilens.functions.expressions import (
     any_like,
+    equals_text,
     null_flag,
     rate,
     year_at_least,
@@ -38,12 +39,16 @@ TYPE = "Transaction_Type"
 TDATE = "Transaction_Date"
 
 
-def late_pred(type_col: str = TYPE, value: str = K.LATE_PAYMENT) -> Column:
-    return F.col(type_col) == F.lit(value)
+def late_pred(type_col: str = TYPE, value: str = K.LATE_PAYMENT, case_insensitive: bool = False,
+              ignore_trailing_spaces: bool = False) -> Column:
+    """Transactions of one exact type (default: late payment penalty)."""
+    return equals_text(type_col, value, case_insensitive, ignore_trailing_spaces)
 
 
-def discount_pred(patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A, type_col: str = TYPE) -> Column:
-    return any_like(type_col, patterns)
+def discount_pred(patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A, type_col: str = TYPE,
+                  case_insensitive: bool = False) -> Column:
+    """Transactions whose type matches a discount pattern set."""
+    return any_like(type_col, patterns, case_insensitive)
 
 
 # E01 - E03 ---------------------------------------------------------------------

@@ -240,3 +240,14 @@ def test_exact_median_from_size_histogram(spark, sizes, median):
     assert r.Median_Dogs == median
     assert r.Avg_Dogs_Per_Suburb == sum(sizes) // len(sizes)
     assert (r.Min_Dogs, r.Max_Dogs) == (min(sizes), max(sizes))
+
+
+def test_optional_collation_matching(spark):
+    df = spark.createDataFrame([("Late Payment Penalty Fee",), ("late payment penalty fee  ",),
+                                ("NEUTERED discount",)], "Transaction_Type string")
+    count = lambda p: df.filter(p).count()
+    assert count(A.late_pred()) == 1
+    assert count(A.late_pred(case_insensitive=True)) == 1
+    assert count(A.late_pred(case_insensitive=True, ignore_trailing_spaces=True)) == 2
+    assert count(A.discount_pred()) == 0
+    assert count(A.discount_pred(case_insensitive=True)) == 1
