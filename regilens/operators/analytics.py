@@ -321,9 +321,20 @@ def event_date_range(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTER
 
 
 # E27 -----------------------------------------------------------------------------
-def suburb_scorecard(reg: DataFrame, dog: DataFrame, txn: DataFrame,
+def shared_flags(txn: DataFrame | None, flags: DataFrame | None, wanted: Mapping[str, tuple[str, Column]],
+                 key: str = KEY) -> DataFrame:
+    """Per-key 0/1 flags named as the caller wants them: taken from a
+    precomputed flag table (``flags``, columns named by ``wanted[..][0]``)
+    when one is given, else computed from ``txn`` with the predicates."""
+    if flags is not None:
+        return flags.select(key, *[F.col(src).alias(name) for name, (src, _) in wanted.items()])
+    return key_flags(txn, key, {name: pred for name, (_, pred) in wanted.items()})
+
+
+def suburb_scorecard(reg: DataFrame, dog: DataFrame, txn: DataFrame | None,
                      late: Column | None = None, discount: Column | None = None,
-                     key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO) -> DataFrame:
+                     key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO,
+                     flags: DataFrame | None = None) -> DataFrame:
     """Per geo: distinct registrations, distinct registrations with a late
     penalty / a discount, and their shares.
 
@@ -332,15 +343,16 @@ def suburb_scorecard(reg: DataFrame, dog: DataFrame, txn: DataFrame,
     flagged side's own star join adds nothing). Flags are one row per key
     from a single aggregation of the transaction fact, so the distinct counts
     become plain counts over distinct (geo, key) pairs: no Expand, no second
-    star join."""
+    star join. ``flags`` may supply a precomputed flag table with columns
+    ``late`` and ``disc_b`` (see :mod:`regilens.plans.dashboard`)."""
     late = late_pred() if late is None else late
     discount = discount_pred(K.DISCOUNT_PATTERNS_B) if discount is None else discount
     dims = dog.filter(F.col(geo).isNotNull() & F.col(dog_key).isNotNull()).select(dog_key, geo).distinct()
     base = (reg.select(key, dog_key).filter(F.col(dog_key).isNotNull())
                .join(dims, dog_key, "inner")
                .select(geo, key).distinct())
-    flags = key_flags(txn, key, {"__late": late, "__disc": discount})
-    j = base.join(flags, key, "left")
+    kf = shared_flags(txn, flags, {"__late": ("late", late), "__disc": ("disc_b", discount)}, key)
+    j = base.join(kf, key, "left")
     out = j.groupBy(geo).agg(
         F.count(F.col(key)).alias("Total_Registrations"),
         F.count(F.when(F.col("__late") == 1, F.col(key))).alias("LatePayment_Count"),

@@ -13,19 +13,28 @@ from pyspark.sql import functions as F
 
 from regilens.functions import constants as K
 from regilens.functions.expressions import null_flag, pct, rate, year_between
-from regilens.operators.analytics import DOG_KEY, GEO, KEY, discount_pred, late_pred, suburb_scorecard
+from regilens.operators.analytics import (
+    DOG_KEY,
+    GEO,
+    KEY,
+    discount_pred,
+    late_pred,
+    shared_flags,
+    suburb_scorecard,
+)
 from regilens.operators.cleaning import dedup_keep_first
-from regilens.operators.joins import key_flags, left_lookup
+from regilens.operators.joins import left_lookup
 
 
 # D01 -----------------------------------------------------------------------------
-def overview_kpis(reg: DataFrame, txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
-                  key: str = KEY) -> DataFrame:
+def overview_kpis(reg: DataFrame, txn: DataFrame | None, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
+                  key: str = KEY, flags: DataFrame | None = None) -> DataFrame:
     """One row: distinct registrations, how many had a late penalty / a
     discount, and both shares in percent."""
     keys = reg.select(key).filter(F.col(key).isNotNull()).distinct()
-    flags = key_flags(txn, key, {"__late": late_pred(), "__disc": discount_pred(patterns)})
-    j = keys.join(flags, key, "left")
+    kf = shared_flags(txn, flags, {"__late": ("late", late_pred()),
+                                   "__disc": ("disc_a", discount_pred(patterns))}, key)
+    j = keys.join(kf, key, "left")
     out = j.agg(F.count(F.col(key)).alias("Total_Registrations"),
                 F.count(F.when(F.col("__late") == 1, F.col(key))).alias("Late_Registrations"),
                 F.count(F.when(F.col("__disc") == 1, F.col(key))).alias("Discount_Registrations"))
@@ -34,11 +43,12 @@ def overview_kpis(reg: DataFrame, txn: DataFrame, patterns: Iterable[str] = K.DI
 
 
 # D02 -----------------------------------------------------------------------------
-def geo_mart(reg: DataFrame, dog: DataFrame, txn: DataFrame, geo: str = GEO) -> DataFrame:
+def geo_mart(reg: DataFrame, dog: DataFrame, txn: DataFrame | None, geo: str = GEO,
+             scorecard: DataFrame | None = None) -> DataFrame:
     """Suburb scorecard next to the suburb's dog population (both are
     suburb-level aggregates; the join is between two small tables)."""
     pop = dog.filter(F.col(geo).isNotNull()).groupBy(geo).agg(F.count(F.lit(1)).alias("Dog_Count"))
-    sc = suburb_scorecard(reg, dog, txn, geo=geo)
+    sc = suburb_scorecard(reg, dog, txn, geo=geo) if scorecard is None else scorecard
     return (pop.join(sc, geo, "full")
                .select(geo, "Dog_Count", "Total_Registrations", "LatePayment_Count", "LatePayment_Rate",
                        "Discount_Count", "Discount_Rate")
@@ -46,14 +56,15 @@ def geo_mart(reg: DataFrame, dog: DataFrame, txn: DataFrame, geo: str = GEO) ->
 
 
 # D03 -----------------------------------------------------------------------------
-def category_behaviour(reg: DataFrame, txn: DataFrame, category: str = "Fee_Code_Description",
-                       key: str = KEY) -> DataFrame:
+def category_behaviour(reg: DataFrame, txn: DataFrame | None, category: str = "Fee_Code_Description",
+                       key: str = KEY, flags: DataFrame | None = None) -> DataFrame:
     """Per owner category: distinct registrations, defaulting ones (at least
     one late penalty), compliant ones (the rest), ones with a prompt payment,
     and the default rate."""
     base = reg.select(category, key).distinct()
-    flags = key_flags(txn, key, {"__late": late_pred(), "__prompt": late_pred(value=K.PROMPT_PAYMENT)})
-    j = base.join(flags, key, "left")
+    kf = shared_flags(txn, flags, {"__late": ("late", late_pred()),
+                                   "__prompt": ("prompt", late_pred(value=K.PROMPT_PAYMENT))}, key)
+    j = base.join(kf, key, "left")
     out = j.groupBy(category).agg(
         F.count(F.col(key)).alias("Registrations"),
         F.count(F.when(F.col("__late") == 1, F.col(key))).alias("Default_Registrations"),
@@ -113,11 +124,13 @@ def _ranked(df: DataFrame, label: str, value: Column, order: list[Column], geo:
                       geo, "Value")
 
 
-def suburb_rankings(reg: DataFrame, dog: DataFrame, txn: DataFrame, k: int = 5, geo: str = GEO) -> DataFrame:
+def suburb_rankings(reg: DataFrame, dog: DataFrame, txn: DataFrame | None, k: int = 5, geo: str = GEO,
+                    scorecard: DataFrame | None = None) -> DataFrame:
     """Top-k and bottom-k suburbs by late-payment rate (scorecard) and top-k by
     dog population; ties broken by suburb name. ``limit`` after ``orderBy``
     plans as a per-partition top-k merged once (no global sort)."""
-    sc = suburb_scorecard(reg, dog, txn, geo=geo).filter(F.col("LatePayment_Rate").isNotNull())
+    sc = suburb_scorecard(reg, dog, txn, geo=geo) if scorecard is None else scorecard
+    sc = sc.filter(F.col("LatePayment_Rate").isNotNull())
     pop = dog.filter(F.col(geo).isNotNull()).groupBy(geo).agg(F.count(F.lit(1)).alias("Dog_Count"))
     v = F.col("Value")
     parts = [
