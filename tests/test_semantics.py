@@ -251,3 +251,16 @@ def test_optional_collation_matching(spark):
     assert count(A.late_pred(case_insensitive=True, ignore_trailing_spaces=True)) == 2
     assert count(A.discount_pred()) == 0
     assert count(A.discount_pred(case_insensitive=True)) == 1
+
+
+def test_null_sorts_first_ascending_and_last_descending(spark):
+    # SQL Server order: NULL lowest
+    df = spark.createDataFrame([(D(2021, 1, 1),), (None,), (D(2019, 1, 1),)], "Transaction_Date date")
+    yrs = [r.Yr for r in Q.year_distribution(df, ["Transaction_Date"]).collect()]
+    assert yrs == [None, 2019, 2021]
+    dogs = [(1, 10, "A", "x"), (2, 11, "B", "x")]
+    regs = [(1, 1, 10, "c"), (2, None, 11, "c")]
+    txns = [(1, 1, LATE, None)]
+    dog, reg, txn = _star(spark, dogs, regs, txns)
+    rates = [r.LatePayment_Rate for r in A.suburb_scorecard(reg, dog, txn).collect()]
+    assert rates == [1.0, None]
