@@ -39,6 +39,13 @@ TYPE = "Transaction_Type"
 TDATE = "Transaction_Date"
 
 
+def _tiebreak(df: DataFrame, column: str = "FID") -> list[str]:
+    """The row id, when the table has one, as a last (hidden) sort key: a
+    global sort range-partitions on its keys and cannot split a run of equal
+    keys, so a unique trailing key keeps hot values spread."""
+    return [column] if column in df.columns else []
+
+
 def late_pred(type_col: str = TYPE, value: str = K.LATE_PAYMENT, case_insensitive: bool = False,
               ignore_trailing_spaces: bool = False) -> Column:
     """Transactions of one exact type (default: late payment penalty)."""
@@ -232,11 +239,12 @@ def flag_events(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
     other columns and the row id as tie-breakers, so the range partitioning
     behind it splits the two flag values -- and any run of identical rows --
     across many partitions."""
+    tie = _tiebreak(txn)
     out = txn.select(key, date_col, type_col,
-                     F.when(any_like(type_col, patterns), F.lit(1)).otherwise(F.lit(0)).alias(name), "FID")
+                     F.when(any_like(type_col, patterns), F.lit(1)).otherwise(F.lit(0)).alias(name), *tie)
     if sort:
-        out = out.orderBy(F.col(name).desc(), F.col(key), F.col(date_col), F.col(type_col), F.col("FID"))
-    return out.drop("FID")
+        out = out.orderBy(F.col(name).desc(), F.col(key), F.col(date_col), F.col(type_col), *tie)
+    return out.drop(*tie)
 
 
 # E18 -----------------------------------------------------------------------------
@@ -268,11 +276,12 @@ def events_after_first(txn: DataFrame, first_predicate: Column, then_predicate:
     key is split across tasks by AQE's skew-join handling."""
     first = (txn.filter(first_predicate & F.col(key).isNotNull())
                 .groupBy(key).agg(F.min(date_col).alias(first_name)))
+    tie = _tiebreak(txn)
     later = (txn.filter(then_predicate & F.col(key).isNotNull())
-                .select(key, F.col(date_col).alias(then_name), "FID"))
+                .select(key, F.col(date_col).alias(then_name), *tie))
     return (later.join(first, key, "inner")
                  .filter(F.col(then_name) > F.col(first_name))
-                 .orderBy(then_name, key, first_name, "FID")   # FID: hidden tie-break
+                 .orderBy(then_name, key, first_name, *tie)
                  .select(key, then_name, first_name))
 
 
@@ -281,10 +290,10 @@ def discount_value_outliers(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT
                             low: float = K.DISCOUNT_VALUE_LOW, high: float = K.DISCOUNT_VALUE_HIGH,
                             value_col: str = "Transaction_Value", type_col: str = TYPE) -> DataFrame:
     v = F.col(value_col)
-    # FID is a hidden tie-break: (value, type) has few distinct values, and
-    # the range partitioning behind a global sort needs spread to split
+    # (value, type) has few distinct values; the hidden row-id tie-break gives
+    # the range partitioning behind the global sort something to split on
     return (txn.filter(any_like(type_col, patterns) & ((v < low) | (v > high)))
-               .orderBy(value_col, type_col, "FID")
+               .orderBy(value_col, type_col, *_tiebreak(txn))
                .select(type_col, value_col))
 
 
