@@ -62,7 +62,7 @@ def standardise_keys(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order_by: str = "FID") -> DataFrame:
     """Keep the row with the lowest ``order_by`` for every ``keys`` group
     (NULL keys form one group, as SQL ``PARTITION BY`` does; a NULL
-    ``order_by`` sorts first, as in SQL Server).
+    ``order_by`` sorts first, as in the source database).
 
     ``row_number() ... = 1`` plans as a *partial* WindowGroupLimit before the
     shuffle, so every map task forwards at most one row per group: a group of

@@ -70,10 +70,11 @@ class _BatchWriter:
         part = path_join(self.table_dir, f"batch={batch_id}")
         if not _complete(spark, part):
             fresh = dedup_keep_first(batch, [KEY, "hash_binary"])
-            earlier = [path_join(self.table_dir, f"batch={b}") for b in range(batch_id)]
-            earlier = [p for p in earlier if _complete(spark, p)]
-            if earlier:
-                stored = (spark.read.schema(fresh.schema).parquet(*earlier)
+            if batch_id > 0:
+                # every earlier batch committed before this one started; a
+                # partition filter prunes the directory listing to them
+                stored = (spark.read.parquet(self.table_dir)
+                               .filter(F.col("batch") < batch_id)
                                .select(F.col(KEY).alias("__k"), F.col("hash_binary").alias("__h")))
                 cond = [fresh[KEY].eqNullSafe(stored["__k"]), fresh["hash_binary"].eqNullSafe(stored["__h"])]
                 fresh = fresh.join(stored, cond, "left_anti")

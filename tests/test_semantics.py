@@ -71,7 +71,7 @@ def test_dedup_keeps_lowest_fid_and_groups_null_keys(spark):
     df = spark.createDataFrame(rows, "FID bigint, Registration_Key bigint, hash_binary string")
     got = {(r.Registration_Key, r.hash_binary): r.FID
            for r in C.dedup_keep_first(df, ["Registration_Key", "hash_binary"]).collect()}
-    # a NULL FID sorts first, as ORDER BY does in SQL Server
+    # a NULL FID sorts first, as ORDER BY does in the source database
     assert got == {(None, "h"): 3, (1, "h"): 2, (1, "x"): 4, (2, "h"): None}
 
 
@@ -254,7 +254,7 @@ def test_optional_collation_matching(spark):
 
 
 def test_null_sorts_first_ascending_and_last_descending(spark):
-    # SQL Server order: NULL lowest
+    # source database order: NULL lowest
     df = spark.createDataFrame([(D(2021, 1, 1),), (None,), (D(2019, 1, 1),)], "Transaction_Date date")
     yrs = [r.Yr for r in Q.year_distribution(df, ["Transaction_Date"]).collect()]
     assert yrs == [None, 2019, 2021]
