@@ -45,13 +45,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 # Locally the defaults (keep one task per core) parallelise better.
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when its plan yields fewer
-    partitions than cores (e.g. one unsplittable file feeding expensive
-    per-row work). A large input arrives in many splits and passes through
-    untouched, so this never adds a shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Round-robin a *file scan* over the cluster's cores when it yields fewer
+    splits than cores (one unsplittable file feeding expensive per-row work).
+    A large input arrives in many splits and passes through untouched, so this
+    never adds a shuffle at scale.
+
+    Only for plain scans: counting the partitions of a plan that contains a
+    shuffle would run that shuffle under AQE."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def is_local(spark: SparkSession) -> bool:

@@ -189,7 +189,8 @@ def transaction_stage(lineitem: DataFrame) -> DataFrame:
 
 def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three staging tables (lazy) derived from ``sf_dir``."""
-    customer = read_table(spark, sf_dir, "customer")
+    customer = spread_small(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
+                                                                          "c_mktsegment"))
     nation = read_table(spark, sf_dir, "nation")
     # the derivation (hashing, copies, casts) is the expensive part; spread it
     # when a table arrives as fewer splits than cores

@@ -70,3 +70,21 @@ def test_dedup_limits_groups_before_the_shuffle(spark):
 def test_scorecard_has_no_expand(spark):
     # distinct counts are planned as plain counts over distinct pairs
     assert "Expand" not in plan(catalog.run(spark, SF_SMOKE, "e27_suburb_scorecard"))
+
+
+def test_clean_fact_files_are_date_ordered(spark):
+    """Row-group statistics can only skip on a date filter when each file is
+    ordered by that date."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    star = fixture_star(spark, SF_SMOKE)
+    for df, column in ((star.transaction, "Transaction_Date"), (star.registration, "Registration_From")):
+        root = df.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "")
+        files = glob.glob(os.path.join(root, "part-*.parquet"))
+        assert files
+        for f in files:
+            values = [v for v in pq.read_table(f, columns=[column]).column(column).to_pylist() if v is not None]
+            assert values == sorted(values), f
