@@ -71,19 +71,26 @@ def expand_multiplicity(df: DataFrame, count_col: str, chunk: int = 4096,
                         partitions: int | None = None) -> DataFrame:
     """Replicate each row ``count_col`` times (then drop the column).
 
-    Multiplicities are first cut into chunk rows of at most ``chunk`` copies
-    and the chunk rows are spread round-robin over ``partitions`` (default:
-    the session's shuffle partitions), so a row with a huge multiplicity is
-    expanded by many tasks in parallel, never by one."""
+    Two levels keep every intermediate row small: a multiplicity is cut into
+    blocks of ``chunk * chunk`` copies, the block rows are spread round-robin
+    over ``partitions`` (default: the session's shuffle partitions), then each
+    block becomes at most ``chunk`` chunks of at most ``chunk`` copies. A row
+    with a huge multiplicity is thus expanded by many tasks in parallel and no
+    row ever carries an array longer than max(n / chunk^2, chunk)."""
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunked = (df.filter(F.col(count_col) > 0)
-                 .withColumn("__c", F.explode(F.expr(f"sequence(0L, (`{count_col}` - 1) div {int(chunk)})")))
-                 .withColumn("__size", F.least(F.col(count_col) - F.col("__c") * chunk,
-                                               F.lit(chunk).cast("bigint")).cast("int"))
-                 .repartition(partitions))
-    return (chunked.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__size"))))
-                   .drop("__one", "__size", "__c", count_col))
+    c = int(chunk)
+    block = c * c
+    n = F.col(count_col)
+    blocks = (df.filter(n > 0)
+                .withColumn("__b", F.explode(F.expr(f"sequence(0L, (`{count_col}` - 1) div {block})")))
+                .withColumn("__bsize", F.least(n - F.col("__b") * block, F.lit(block).cast("bigint")))
+                .repartition(partitions))
+    chunks = (blocks.withColumn("__c", F.explode(F.expr(f"sequence(0L, (__bsize - 1) div {c})")))
+                    .withColumn("__size", F.least(F.col("__bsize") - F.col("__c") * c,
+                                                  F.lit(c).cast("bigint")).cast("int")))
+    return (chunks.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__size"))))
+                  .drop("__one", "__size", "__c", "__bsize", "__b", count_col))
 
 
 def _salted_key(df: DataFrame, key: str, spread: str) -> Column:
