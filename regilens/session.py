@@ -66,23 +66,17 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 
     Read from the session (``spark.checkpoint.dir`` or the context's
     checkpoint dir). Only a local session without one gets a fresh private
-    folder; on a cluster an unset value returns None and callers stay lazy
-    instead of writing to a machine-local path."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - older API
-            root = None
+    folder (set through ``SparkContext.setCheckpointDir``; the conf key itself
+    cannot change at run time); on a cluster an unset value returns None and
+    callers stay lazy instead of writing to a machine-local path."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
     if not is_local(spark):
         return None
-    root = tempfile.mkdtemp(prefix="regilens-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="regilens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def path_join(root: str, *parts: str) -> str:

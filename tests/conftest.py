@@ -26,7 +26,7 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", ckpt)
+    if not (s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
+        s.sparkContext.setCheckpointDir(ckpt)  # only where the session has none
     yield s
     s.stop()
