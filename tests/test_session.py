@@ -41,3 +41,16 @@ def test_session_folder_is_used_when_set(spark):
         assert root == configured
     else:
         assert root == spark.sparkContext.getCheckpointDir()
+
+
+def test_stage_marker_check_on_uri_paths(spark):
+    from regilens.plans.star import _complete
+    from regilens.session import path_join
+
+    d = tempfile.mkdtemp(prefix="regilens-uri-")
+    uri = "file://" + d
+    assert path_join(uri, "t") == uri + "/t"
+    assert not _complete(spark, path_join(uri, "t"))
+    spark.range(3).write.parquet(path_join(uri, "t"))
+    assert _complete(spark, path_join(uri, "t"))
+    assert _complete(spark, os.path.join(d, "t"))
