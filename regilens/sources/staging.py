@@ -6,7 +6,9 @@ Use these when the three staging tables exist as files; use
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+from regilens.operators.cleaning import row_hash
 from regilens.sources.schemas import STAGE_SCHEMAS, conform
 
 
@@ -21,8 +23,21 @@ def read_stage(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     schema = STAGE_SCHEMAS[table]
     if fmt == "csv":
         opts = {"header": "true", "mode": "PERMISSIVE", **options}
-        return spark.read.options(**opts).schema(schema).csv(path)
-    return conform(spark.read.options(**options).format(fmt).load(path), schema)
+        header = spark.read.options(**opts).csv(path).columns  # header only, no data pass
+        if "hash_binary" in header:
+            return spark.read.options(**opts).schema(schema).csv(path)
+        bare = StructType([f for f in schema.fields if f.name != "hash_binary"])
+        return conform(_with_row_hash(spark.read.options(**opts).schema(bare).csv(path)), schema)
+    df = spark.read.options(**options).format(fmt).load(path)
+    if "hash_binary" not in df.columns:
+        df = _with_row_hash(df)
+    return conform(df, schema)
+
+
+def _with_row_hash(df: DataFrame) -> DataFrame:
+    """Extracts without the supplied row fingerprint get one computed from
+    their business columns (everything but the surrogate FID)."""
+    return row_hash(df, exclude=("FID",), name="hash_binary")
 
 
 def read_stages(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
