@@ -165,7 +165,8 @@ def registration_geo(reg: DataFrame, dog: DataFrame, key: str = KEY, dog_key: st
 # E12 / E23 ---------------------------------------------------------------------
 def event_rate_by(reg: DataFrame, dog: DataFrame, txn: DataFrame, predicate: Column,
                   count_name: str, rate_name: str, total_name: str = "Total_Registrations",
-                  key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO) -> DataFrame:
+                  key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO,
+                  rg: DataFrame | None = None) -> DataFrame:
     """Row-level event rate per geo: every (registration, dog) row with a known
     geo is left-joined to every flagged (transaction, registration, dog) row
     of its key; the rate is matched rows over all joined rows.
@@ -174,8 +175,9 @@ def event_rate_by(reg: DataFrame, dog: DataFrame, txn: DataFrame, predicate: Col
     registration row contributes ``n`` to the numerator and ``max(n, 1)`` to
     the denominator. ``n`` = flagged transactions of the key x
     (registration, dog) rows of the key. Counts are exact DECIMAL(38,0):
-    under skew the number of joined rows passes 2^63."""
-    rg = registration_geo(reg, dog, key, dog_key, geo)
+    under skew the number of joined rows passes 2^63. ``rg`` may supply a
+    precomputed :func:`registration_geo`."""
+    rg = registration_geo(reg, dog, key, dog_key, geo) if rg is None else rg
     # w_k: (registration, dog) rows of the key over *all* geos (NULL geo too);
     # a window over the aggregated (key, geo) rows -- at most one row per geo
     # per key -- so the join aggregate is computed once and a hot key is small
@@ -205,9 +207,10 @@ def event_count_by_category(txn: DataFrame, reg: DataFrame, predicate: Column,
 # E14 -----------------------------------------------------------------------------
 def event_count_by_geo(txn: DataFrame, reg: DataFrame, dog: DataFrame, predicate: Column,
                        name: str = "LatePayment_Count", key: str = KEY, dog_key: str = DOG_KEY,
-                       geo: str = GEO) -> DataFrame:
+                       geo: str = GEO, rg: DataFrame | None = None) -> DataFrame:
     """Rows of ``txn(predicate) JOIN reg JOIN dog`` per non-NULL geo."""
-    rg = registration_geo(reg, dog, key, dog_key, geo).filter(F.col(geo).isNotNull() & F.col(key).isNotNull())
+    rg = registration_geo(reg, dog, key, dog_key, geo) if rg is None else rg
+    rg = rg.filter(F.col(geo).isNotNull() & F.col(key).isNotNull())
     flagged = (txn.filter(predicate & F.col(key).isNotNull())
                   .groupBy(key).agg(F.count(F.lit(1)).alias("__t")))
     out = (rg.join(flagged, key, "inner")
@@ -343,7 +346,7 @@ def shared_flags(txn: DataFrame | None, flags: DataFrame | None, wanted: Mapping
 def suburb_scorecard(reg: DataFrame, dog: DataFrame, txn: DataFrame | None,
                      late: Column | None = None, discount: Column | None = None,
                      key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO,
-                     flags: DataFrame | None = None) -> DataFrame:
+                     flags: DataFrame | None = None, rg: DataFrame | None = None) -> DataFrame:
     """Per geo: distinct registrations, distinct registrations with a late
     penalty / a discount, and their shares.
 
@@ -353,13 +356,17 @@ def suburb_scorecard(reg: DataFrame, dog: DataFrame, txn: DataFrame | None,
     from a single aggregation of the transaction fact, so the distinct counts
     become plain counts over distinct (geo, key) pairs: no Expand, no second
     star join. ``flags`` may supply a precomputed flag table with columns
-    ``late`` and ``disc_b`` (see :mod:`regilens.plans.dashboard`)."""
+    ``late`` and ``disc_b`` (see :mod:`regilens.plans.dashboard`), ``rg`` a
+    precomputed :func:`registration_geo`."""
     late = late_pred() if late is None else late
     discount = discount_pred(K.DISCOUNT_PATTERNS_B) if discount is None else discount
-    dims = dog.filter(F.col(geo).isNotNull() & F.col(dog_key).isNotNull()).select(dog_key, geo).distinct()
-    base = (reg.select(key, dog_key).filter(F.col(dog_key).isNotNull())
-               .join(dims, dog_key, "inner")
-               .select(geo, key).distinct())
+    if rg is not None:  # precomputed (key, geo) pairs: already distinct
+        base = rg.filter(F.col(geo).isNotNull()).select(geo, key)
+    else:
+        dims = dog.filter(F.col(geo).isNotNull() & F.col(dog_key).isNotNull()).select(dog_key, geo).distinct()
+        base = (reg.select(key, dog_key).filter(F.col(dog_key).isNotNull())
+                   .join(dims, dog_key, "inner")
+                   .select(geo, key).distinct())
     kf = shared_flags(txn, flags, {"__late": ("late", late), "__disc": ("disc_b", discount)}, key)
     j = base.join(kf, key, "left")
     out = j.groupBy(geo).agg(

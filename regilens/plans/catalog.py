@@ -102,9 +102,9 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     e10_late_monthly_all=lambda s: A.monthly_counts(s.transaction, late(), None, "LatePayment_Count"),
     e11_historic_dates=lambda s: A.historic_dates(s.transaction),
     e13_late_by_category=lambda s: A.event_count_by_category(s.transaction, s.registration, late()),
-    e14_late_by_suburb=lambda s: A.event_count_by_geo(s.transaction, s.registration, s.dog, late()),
+    e14_late_by_suburb=lambda s: A.event_count_by_geo(s.transaction, s.registration, s.dog, late(), rg=s.geo_pairs),
     e12_late_rate_by_suburb=lambda s: A.event_rate_by(s.registration, s.dog, s.transaction, late(),
-                                                      "LatePayment_Count", "LatePayment_Rate"),
+                                                      "LatePayment_Count", "LatePayment_Rate", rg=s.geo_pairs),
     # --- EDA 3: discounts -------------------------------------------------------------
     e15_discount_types=lambda s: A.matching_types(s.transaction),
     e16_discount_key_presence=lambda s: A.key_presence(s.transaction),
@@ -115,7 +115,7 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     e21_discount_value_outliers=lambda s: A.discount_value_outliers(s.transaction),
     e22_orphan_discounts=lambda s: A.orphan_events(s.transaction, s.registration),
     e23_discount_rate_by_suburb=lambda s: A.event_rate_by(s.registration, s.dog, s.transaction, disc(),
-                                                          "Discount_Count", "Discount_Rate"),
+                                                          "Discount_Count", "Discount_Rate", rg=s.geo_pairs),
     # --- EDA 4: lifecycle -------------------------------------------------------------
     e24_missing_payment_dates=lambda s: A.missing_summary(
         s.registration, {"Null_AmountPaid": "Amount_Paid", "Null_EffectiveDate": "Effective_Date"},
@@ -124,10 +124,10 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     # --- EDA 5: geography ---------------------------------------------------------------
     e06_suburb_population=lambda s: A.count_by(s.dog),
     e12_late_rate_by_suburb_geo=lambda s: A.event_rate_by(s.registration, s.dog, s.transaction, late(),
-                                                          "LatePayment_Count", "LatePayment_Rate"),
+                                                          "LatePayment_Count", "LatePayment_Rate", rg=s.geo_pairs),
     e23_discount_rate_by_suburb_geo=lambda s: A.event_rate_by(s.registration, s.dog, s.transaction, disc(),
-                                                              "Discount_Count", "Discount_Rate"),
-    e27_suburb_scorecard=lambda s: A.suburb_scorecard(s.registration, s.dog, s.transaction),
+                                                              "Discount_Count", "Discount_Rate", rg=s.geo_pairs),
+    e27_suburb_scorecard=lambda s: A.suburb_scorecard(s.registration, s.dog, s.transaction, rg=s.geo_pairs),
     # --- EDA 6: time series -------------------------------------------------------------
     e10_total_monthly=lambda s: A.monthly_counts(s.transaction, None, K.TREND_MIN_YEAR, "Transaction_Count"),
     e10_late_monthly=lambda s: A.monthly_counts(s.transaction, late(), K.TREND_MIN_YEAR, "LatePayment_Count"),
@@ -140,11 +140,13 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     e30_monthly_activity=lambda s: A.monthly_activity(s.transaction),
     # --- dashboard marts ------------------------------------------------------------------
     d01_overview_kpis=lambda s: M.overview_kpis(s.registration, s.transaction),
-    d02_geo_mart=lambda s: M.geo_mart(s.registration, s.dog, s.transaction),
+    d02_geo_mart=lambda s: M.geo_mart(s.registration, s.dog, s.transaction, scorecard=A.suburb_scorecard(
+        s.registration, s.dog, s.transaction, rg=s.geo_pairs)),
     d03_category_behaviour=lambda s: M.category_behaviour(s.registration, s.transaction),
     d04_star_wide=lambda s: M.star_wide(s.transaction, s.registration, s.dog),
     d05_seasonality=lambda s: M.seasonality(s.registration),
-    d06_suburb_rankings=lambda s: M.suburb_rankings(s.registration, s.dog, s.transaction),
+    d06_suburb_rankings=lambda s: M.suburb_rankings(s.registration, s.dog, s.transaction, scorecard=A.suburb_scorecard(
+        s.registration, s.dog, s.transaction, rg=s.geo_pairs)),
     d07_missing_share=lambda s: M.missing_share(s.registration),
 )
 

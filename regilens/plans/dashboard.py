@@ -40,7 +40,7 @@ def refresh_dashboard(spark: SparkSession, star: Star, out_dir: str) -> dict[str
 
     reg, dog, txn = star.registration, star.dog, star.transaction
     flags = put("key_flags", key_flag_table(txn))
-    scorecard = put("suburb_scorecard", A.suburb_scorecard(reg, dog, None, flags=flags))
+    scorecard = put("suburb_scorecard", A.suburb_scorecard(reg, dog, None, flags=flags, rg=star.geo_pairs))
     return {
         "key_flags": flags,
         "suburb_scorecard": scorecard,

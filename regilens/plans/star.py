@@ -6,7 +6,9 @@ fix them, audit them, remove duplicates, analyse):
 1. the *standardised* tables (account filter, label fixes, key renames) are
    written once; the NULL / key / duplicate audits read them;
 2. the *deduplicated* tables are computed from (1) and written once; every
-   analytic query reads them.
+   analytic query reads them;
+3. the registration x dog aggregate per (key, suburb) is computed from (2)
+   and written once; the geography queries read it instead of re-joining.
 
 Both are Parquet under the session's shared checkpoint folder, so later
 queries start from a plain scan (column pruning, pushed filters) instead of
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from regilens.operators import cleaning as C
+from regilens.operators.analytics import registration_geo
 from regilens.session import checkpoint_root, path_join
 from regilens.sources.fixtures import dog_stage_dirty, load_stages
 
@@ -46,6 +49,14 @@ class Star:
     dog: DataFrame
     registration: DataFrame
     transaction: DataFrame
+    # (Registration_Key, Kept_At_Suburb, c): registration x dog rows per key and
+    # suburb, shared by the geography queries; computed when not supplied
+    registration_geo: DataFrame | None = None
+
+    @property
+    def geo_pairs(self) -> DataFrame:
+        return self.registration_geo if self.registration_geo is not None \
+            else registration_geo(self.registration, self.dog)
 
     @property
     def dog_stage_dirty(self) -> DataFrame:
@@ -92,7 +103,9 @@ def materialise(spark: SparkSession, star: Star, root: str) -> Star:
                    C.dedup_registration(std[1]).sortWithinPartitions(*CLEAN_SORT["FactRegistration"]),
                    C.dedup_transaction(std[2]).sortWithinPartitions(*CLEAN_SORT["FactTransaction"]))
     clean = [_write_once(spark, df, path_join(root, name)) for name, df in zip(CLEAN_NAMES, clean_plans)]
-    return Star(star.dog_stage, star.registration_stage, star.transaction_stage, *std, *clean)
+    # third stage: the registration x dog aggregate every geography query needs
+    geo = _write_once(spark, registration_geo(clean[1], clean[0]), path_join(root, "RegistrationGeo"))
+    return Star(star.dog_stage, star.registration_stage, star.transaction_stage, *std, *clean, geo)
 
 
 def _fingerprint(sf_dir: str) -> str:
