@@ -186,7 +186,8 @@ def test_expand_multiplicity_is_exact(spark):
     rows = [("a", 1), ("b", 1000), ("c", 0), ("d", 64), ("e", 65), ("f", 256), ("g", 257), ("h", 10_000)]
     df = spark.createDataFrame(rows, "v string, n bigint")
     # chunk 16 -> blocks of 256 copies: exercises both levels and their edges
-    got = {r.v: r["count"] for r in J.expand_multiplicity(df, "n", chunk=16, partitions=4).groupBy("v").count().collect()}
+    expanded = J.expand_multiplicity(df, "n", chunk=16, partitions=4)
+    got = {r.v: r["count"] for r in expanded.groupBy("v").count().collect()}
     assert got == {v: n for v, n in rows if n > 0}
 
 
