@@ -48,3 +48,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/regilens_llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hash_bitmap(df: DataFrame, column: str, bits: int = 23):
+    """A bitmap of 2^bits slots (1 MB for 23) that marks each value's hash: of
+    fixed size whatever the number of values, so it may go to every task. It
+    lets all marked values through and few others; an exact join follows."""
+    import numpy as np
+    slot = (F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1).cast("bigint")
+    rows = df.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()  # at most 2^bits / 32768 rows of 4 KB
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["m"], np.uint8)
+        out[(r["b"] - 1) * 4096:(r["b"] - 1) * 4096 + len(part)] = part
+    return df.sparkSession.sparkContext.broadcast(out)
+
+
+def marked(bitmap, hashes, bits: int = 23):
+    """Which of the uint64 hashes a bitmap's array marks."""
+    import numpy as np
+    slot = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

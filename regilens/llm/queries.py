@@ -3,15 +3,17 @@ SQL where SQL can express the result."""
 
 from __future__ import annotations
 
-from . import license_scan, mixing, url_trust
+from . import decontaminate, license_scan, mixing, url_trust
 
 QUERIES = {
     "op1_host_trust": url_trust.op1_host_trust,
     "op2_license_diagonals": license_scan.op2_license_diagonals,
+    "op9_positional_index": decontaminate.op9_positional_index,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 ORACLES = {
     "op1_host_trust": url_trust.ORACLE,
     "op2_license_diagonals": license_scan.ORACLE,
+    "op9_positional_index": decontaminate.ORACLE,
     "op10_curriculum_mix": mixing.ORACLE,
 }
