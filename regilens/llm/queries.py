@@ -3,11 +3,13 @@ SQL where SQL can express the result."""
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, url_trust
+from . import decontaminate, langid, license_scan, mixing, quality, url_trust
 
 QUERIES = {
     "op1_host_trust": url_trust.op1_host_trust,
     "op2_license_diagonals": license_scan.op2_license_diagonals,
+    "op4_word_backoff": langid.op4_word_backoff,
+    "op8_bradley_terry": quality.op8_bradley_terry,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
