@@ -3,12 +3,13 @@ SQL where SQL can express the result."""
 
 from __future__ import annotations
 
-from . import curve_search, decontaminate, langid, license_scan, mixing, quality, url_trust
+from . import curve_search, decontaminate, langid, license_scan, mixing, quality, suffix_lm, url_trust
 
 QUERIES = {
     "op1_host_trust": url_trust.op1_host_trust,
     "op2_license_diagonals": license_scan.op2_license_diagonals,
     "op4_word_backoff": langid.op4_word_backoff,
+    "op6_suffix_tree": suffix_lm.op6_suffix_tree,
     "op7_hilbert_search": curve_search.op7_hilbert_search,
     "op8_bradley_terry": quality.op8_bradley_terry,
     "op9_positional_index": decontaminate.op9_positional_index,
