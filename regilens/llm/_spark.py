@@ -70,3 +70,21 @@ def marked(bitmap, hashes, bits: int = 23):
     import numpy as np
     slot = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) of every node of the undirected edges (u, v): connected
+    components. Each round every node moves to its smallest neighbour (or
+    stays), edges between merged nodes vanish and the rest is relabelled; with
+    hashed ids some constant share of nodes goes per round. Tables are written
+    each round; only the number of edges left reaches the driver."""
+    both = edges.where("u <> v").select("u", "v")
+    left = staged(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
+    roots = left.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    while left.limit(1).count():
+        step = staged(left.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("was"), F.least("u", "low").alias("now")), f"{name}-step")
+        roots = staged(roots.join(step, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")), f"{name}-roots")
+        moved = left.join(step, F.col("u") == F.col("was")).select(F.col("now").alias("u"), "v") \
+            .join(step, F.col("v") == F.col("was")).select("u", F.col("now").alias("v"))
+        left = staged(moved.where("u <> v").distinct(), f"{name}-edges")
+    return roots

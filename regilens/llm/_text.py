@@ -137,3 +137,27 @@ def in_sorted(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
     i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
     return keys[i] == x, i
+
+
+def runs(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows in batches, sorted by a column, as one batch per value of it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = b.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
+        if held and held[0].column(key)[0].as_py() != v[0]:
+            yield _joined(held)
+            held = []
+        for i, j in zip(cuts, cuts[1:]):
+            held.append(b.slice(i, j - i))
+            if j < len(v):
+                yield _joined(held)
+                held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
