@@ -3,13 +3,14 @@ SQL where SQL can express the result."""
 
 from __future__ import annotations
 
-from . import curve_search, decontaminate, langid, license_scan, mixing, ngram_join, quality, suffix_lm, url_trust
+from . import curve_search, decontaminate, langid, license_scan, mixing, ngram_join, passages, quality, suffix_lm, url_trust
 
 QUERIES = {
     "op1_host_trust": url_trust.op1_host_trust,
     "op2_license_diagonals": license_scan.op2_license_diagonals,
     "op3_lsh_forest_join": ngram_join.op3_lsh_forest_join,
     "op4_word_backoff": langid.op4_word_backoff,
+    "op5_chained_passages": passages.op5_chained_passages,
     "op6_suffix_tree": suffix_lm.op6_suffix_tree,
     "op7_hilbert_search": curve_search.op7_hilbert_search,
     "op8_bradley_terry": quality.op8_bradley_terry,
