@@ -3,6 +3,8 @@ SQL where SQL can express the result."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import curve_search, decontaminate, langid, license_scan, mixing, ngram_join, passages, quality, suffix_lm, url_trust
 
 QUERIES = {
@@ -16,6 +18,7 @@ QUERIES = {
     "op8_bradley_terry": quality.op8_bradley_terry,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_host_trust": url_trust.ORACLE,
