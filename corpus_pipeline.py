@@ -36,25 +36,24 @@ MIN_LANGUAGE_SCORE = 0.35
 def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Documents whose (doc_id, text) is (left_semi) or isn't (left_anti) among
     the written ``keys`` (doc_id, t)."""
-    k = keys.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
-    return docs.withColumn("_key", text_key(F.col("text"))) \
-        .join(k, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_t")), how).drop("_key")
+    k = keys.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+    return docs.withColumn("__key", text_key(F.col("text"))) \
+        .join(k, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__t")), how).drop("__key")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.predict(docs, langid.learn(docs), tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = langid.predict(docs, langid.learn(docs), tuple(docs.columns)).toDF(*docs.columns, "__lang", "__score")
+    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = ngram_join.near_duplicates(docs)
     gone = staged(judged.where("not stays").select("doc_id", "t").distinct(), "pipeline-copies")
-    left = _only(docs, gone, "left_anti").withColumn("_t", text_key(F.col("text")))
-    # the row that stays may itself be repeated
+    left = _only(docs, gone, "left_anti")
+    # the row that stays may itself be repeated: those few rows are reduced to one each
     again = staged(judged.where("stays").groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t"), "pipeline-repeats")
-    repeated = left.join(again, F.col("_t").eqNullSafe(again["t"]) & left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    single = left.join(again, F.col("_t").eqNullSafe(again["t"]) & left["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "_t"])).select(*docs.columns)
+    repeated = _only(left, again, "left_semi").withColumn("__key", text_key(F.col("text"))).dropDuplicates(["doc_id", "__key"])
+    return _only(left, again, "left_anti").unionByName(repeated.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +66,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.training_order(mixing.curriculum(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source"))))
+    return mixing.training_order(mixing.curriculum(docs, keep=tuple(c for c in docs.columns if c.lower() not in mixing.RESULT)))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("passages", repeated_passages),

@@ -37,6 +37,8 @@ from pyspark.sql.window import Window as W
 from ._spark import TOKEN, staged
 
 ROWS_PER_RANGE = 20_000
+#: Names of the operator's own columns; ``keep`` can't carry these.
+RESULT = ("doc_id", "source", "size", "source_size", "target", "taken", "position", "reads", "epoch", "tokens")
 
 
 def token_count(text: Column) -> Column:

@@ -279,10 +279,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The documents without their repeated passages: same columns, n_chars
     renewed if there is one; documents that had words and have none left go."""
-    per = staged(passages.groupBy(F.col("doc_id").alias("_d"), F.col("tk").alias("_k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")), "passage-cuts")
+    per = staged(passages.groupBy(F.col("doc_id").alias("__id"), F.col("tk").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")), "passage-cuts")
     names = docs.columns
-    joined = docs.withColumn("_tk", F.shiftright(text_key(F.col("text")), 32)) \
-        .join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tk") == F.col("_k")), "left")
+    joined = docs.withColumn("__tk", F.shiftright(text_key(F.col("text")), 32)) \
+        .join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tk") == F.col("__k")), "left")
 
     def run(batches):
         for b in batches:
@@ -299,11 +299,11 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             k = names.index("text")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == k else b.column(c) for c in range(len(names))], [f"c{c}" for c in range(len(names))])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    touched = joined.where("_spans is not null").select(*names, "_spans") \
+    touched = joined.where("__spans is not null").select(*names, "__spans") \
         .mapInArrow(run, ", ".join(f"c{c} {kinds[x]}" for c, x in enumerate(names))).toDF(*names).where(F.length("text") > 0)
     if "n_chars" in names:
         touched = touched.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return joined.where("_spans is null").select(*names).unionByName(touched.select(*names))
+    return joined.where("__spans is null").select(*names).unionByName(touched.select(*names))
 
 
 def op5_chained_passages(spark, sf_dir: str) -> DataFrame:
