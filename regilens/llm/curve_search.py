@@ -167,8 +167,10 @@ def ordered(vecs: DataFrame, curves: int) -> DataFrame:
     part = F.shiftright("at", 33)
     sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per partition
     offsets = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    return dealt.withColumn("part", part).join(offsets, "part") \
-        .select("curve", "vid", "query", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    placed = dealt.withColumn("part", part).join(offsets, "part") \
+        .select("curve", "vid", "query", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+    # every curve has all vectors: its ranks start after the curves before it
+    return placed.select("curve", "vid", "query", (F.col("place") - F.col("curve") * F.lit(vecs.count())).alias("rank"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, target: float = 0.95, sample: int = 200,
@@ -180,9 +182,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CURV
     window = window or fit_window(vecs, order, k, target, sample)
     block = min(max(window, MIN_BLOCK), MAX_BLOCK)
     placed = order.join(vecs.select("vid", "v", F.element_at("ids", 1).alias("first")), "vid")
-    base = placed.select(F.expr(f"rank div {block}").alias("block"), F.lit(0).alias("role"), "vid", "first", "v")
-    asks = placed.where("query").select(F.explode(F.sequence(F.expr(f"greatest(rank - {window}, 0) div {block}"), F.expr(f"(rank + {window}) div {block}"))).alias("block"),
-                                        F.lit(1).alias("role"), "vid", "first", "v")
+    on = F.shiftleft(F.col("curve").cast("bigint"), 48)  # blocks don't reach from one curve into the next
+    base = placed.select((on + F.expr(f"rank div {block}")).alias("block"), F.lit(0).alias("role"), "vid", "first", "v")
+    asks = placed.where("query").select(on.alias("on"), F.explode(F.sequence(F.expr(f"greatest(rank - {window}, 0) div {block}"), F.expr(f"(rank + {window}) div {block}"))).alias("b"),
+                                        "vid", "first", "v").select((F.col("on") + F.col("b")).alias("block"), F.lit(1).alias("role"), "vid", "first", "v")
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.unionByName(asks).repartition(parts, "block").sortWithinPartitions("block", "role")
 
