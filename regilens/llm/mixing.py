@@ -82,7 +82,7 @@ def invert_schedule(share: Column, start: Column, end: Column) -> Column:
     a = end - start
     disc = F.sqrt(F.greatest(start * start + a * share * (start + end), F.lit(0.0)))
     # 2c / (b + sqrt(b^2 + 2ac)) stays exact when the schedule is flat (a = 0)
-    return F.least(F.lit(1.0), share * (start + end) / (start + disc))
+    return F.least(F.lit(1.0), share * (start + end) / F.greatest(start + disc, F.lit(1e-300)))
 
 
 def curriculum(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2,
