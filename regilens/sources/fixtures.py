@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regilens.session import spread_small
 from regilens.sources.schemas import (
     DOG_STAGE,
     REGISTRATION_STAGE,
@@ -77,6 +76,14 @@ def _with_copies(df: DataFrame, copies: dict[int, Column]) -> DataFrame:
     return df.withColumn("__v", F.explode(F.array_compact(variants)))
 
 
+def _dirty_fid(df: DataFrame, by: str) -> DataFrame:
+    """NULL and repeated FIDs for the key checks, by a business key (so a row
+    and its exact copy get the same FID)."""
+    k = F.col(by)
+    return df.withColumn("FID", F.when(k % 70 == 3, F.lit(None).cast("bigint")).when(k % 90 == 4, F.lit(1).cast("bigint"))
+                         .otherwise(F.col("FID"))).drop("__v")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -109,16 +116,7 @@ def dog_stage(customer: DataFrame, nation: DataFrame) -> DataFrame:
         F.col("Primary_Breed"), F.col("Fee_Description"))))
     out = _with_copies(base, {1: F.col("Dog_Number") % 40 == 0})
     out = out.withColumn("FID", F.col("FID") + F.col("__v") * COPY_OFFSET)
-    return conform(out, DOG_STAGE)
-
-
-def dog_stage_dirty(dog: DataFrame) -> DataFrame:
-    """Staging dogs with NULL and repeated FIDs, for the key checks."""
-    n = F.col("Dog_Number")
-    return dog.withColumn(
-        "FID",
-        F.when(n % 70 == 3, F.lit(None).cast("bigint")).when(n % 90 == 4, F.lit(1).cast("bigint"))
-         .otherwise(F.col("FID")))
+    return conform(_dirty_fid(out, "Dog_Number"), DOG_STAGE)
 
 
 def registration_stage(orders: DataFrame) -> DataFrame:
@@ -157,7 +155,7 @@ def registration_stage(orders: DataFrame) -> DataFrame:
                           .when(v == 2, F.lit(REPEAT_OFFSET)).otherwise(F.lit(0)))
               .withColumn("hash_binary", F.when(v == 2, F.md5(F.concat(F.col("hash_binary"), F.lit("v2"))))
                           .otherwise(F.col("hash_binary"))))
-    return conform(out, REGISTRATION_STAGE)
+    return conform(_dirty_fid(out, "Registration_ID"), REGISTRATION_STAGE)
 
 
 def transaction_stage(lineitem: DataFrame) -> DataFrame:
@@ -184,20 +182,20 @@ def transaction_stage(lineitem: DataFrame) -> DataFrame:
         "|", F.col("FID").cast("string"), F.col("Transaction_Type"))))
     out = _with_copies(base, {1: F.coalesce(F.col("Account_Number"), F.lit(0)) % 70 == 0})
     out = out.withColumn("FID", F.when(F.col("__v") == 1, -F.col("FID") - 1).otherwise(F.col("FID")))
-    return conform(out, TRANSACTION_STAGE)
+    return conform(_dirty_fid(out, "Account_Number"), TRANSACTION_STAGE)
 
 
 def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three staging tables (lazy) derived from ``sf_dir``."""
-    customer = spread_small(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
-                                                                          "c_mktsegment"))
+    # the derivation (hashing, copies, casts) is the expensive part; each test
+    # table is one file, so its rows are dealt to all cores first
+    cores = spark.sparkContext.defaultParallelism
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(cores)
     nation = read_table(spark, sf_dir, "nation")
-    # the derivation (hashing, copies, casts) is the expensive part; spread it
-    # when a table arrives as fewer splits than cores
-    orders = spread_small(read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
-    lineitem = spread_small(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority").repartition(cores)
+    lineitem = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").repartition(cores)
     return {
         "Dog_Stage": dog_stage(customer, nation),
         "Dog_Registration_Stage": registration_stage(orders),

@@ -5,6 +5,8 @@ column is used (compared as a date, summed as money, cast from text ...)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
@@ -57,7 +59,22 @@ STAGE_SCHEMAS = {
 }
 
 
-def conform(df, schema: T.StructType):
-    """Select and cast ``df`` to ``schema`` (column order and types)."""
-    from pyspark.sql import functions as F
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def conform(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataFrame:
+    """Cast the columns of ``schema`` (first, in its order; one that ``df``
+    lacks is NULL) and keep every other column of ``df`` as it is.
+
+    A date column that arrives as a timestamp stays one, so times of day take
+    part in comparisons. ``lenient`` turns text that does not parse into NULL
+    (see :func:`regilens.sources.staging.parse_failures`) instead of an error."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+
+    def cast(f: T.StructField):
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        timed = isinstance(f.dataType, T.DateType) and isinstance(have[f.name], (T.TimestampType, T.TimestampNTZType))
+        to = have[f.name] if timed else f.dataType
+        c = F.col(f"`{f.name}`")
+        return (c.try_cast(to) if lenient else c.cast(to)).alias(f.name)
+
+    known = set(schema.fieldNames())
+    return df.select(*[cast(f) for f in schema.fields], *[F.col(f"`{c}`") for c in df.columns if c not in known])

@@ -1,39 +1,63 @@
-"""Readers for real staging extracts (Parquet or CSV) with explicit schemas.
+"""Readers for real staging extracts (Parquet or CSV).
 
 Use these when the three staging tables exist as files; use
-:mod:`regilens.sources.fixtures` to derive them from the TPC-H-like test tables."""
+:mod:`regilens.sources.fixtures` to derive them from the TPC-H-like test tables.
+Columns that the schema does not name are kept: a copy of a staging table is a
+full copy."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampType
 
 from regilens.operators.cleaning import row_hash
 from regilens.sources.schemas import STAGE_SCHEMAS, conform
 
 
 def read_stage(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
-               **options) -> DataFrame:
+               date_times: bool = False, **options) -> DataFrame:
     """Read one staging table (``Dog_Stage``, ``Dog_Registration_Stage`` or
     ``Dog_Transaction_Stage``) and conform it to its schema.
 
-    CSV is read with the explicit schema (no inference pass over the data);
     Parquet is read as stored and cast, so column pruning and filter pushdown
-    still reach the scan."""
+    still reach the scan. CSV columns are taken by the *names* in the header,
+    whatever their order; text that does not parse as its column's type is
+    NULL, and :func:`parse_failures` counts it. ``date_times`` reads a CSV's
+    date columns with their time of day."""
     schema = STAGE_SCHEMAS[table]
     if fmt == "csv":
-        opts = {"header": "true", "mode": "PERMISSIVE", **options}
-        header = spark.read.options(**opts).csv(path).columns  # header only, no data pass
-        if "hash_binary" in header:
-            return spark.read.options(**opts).schema(schema).csv(path)
-        bare = StructType([f for f in schema.fields if f.name != "hash_binary"])
-        return conform(_with_row_hash(spark.read.options(**opts).schema(bare).csv(path)), schema)
+        if date_times:
+            schema = StructType([StructField(f.name, TimestampType() if isinstance(f.dataType, DateType) else f.dataType, True)
+                                 for f in schema.fields])
+        raw = _csv_text(spark, path, options)
+        if "hash_binary" not in raw.columns:  # the fingerprint is of the typed values
+            bare = StructType([f for f in schema.fields if f.name != "hash_binary"])
+            raw = _with_row_hash(conform(raw, bare, lenient=True))
+        return conform(raw, schema, lenient=True)
     df = spark.read.options(**options).format(fmt).load(path)
     if "hash_binary" not in df.columns:
         df = _with_row_hash(df)
     return conform(df, schema)
 
 
+def _csv_text(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """All columns as text under their header names. With ``enforceSchema``
+    off Spark checks every file's header against the first one's, so a file
+    with another column order fails instead of being misread."""
+    opts = {"header": "true", "mode": "PERMISSIVE", "enforceSchema": "false", **options}
+    header = spark.read.options(**opts).csv(path).columns  # the header line only
+    return spark.read.options(**opts).schema(StructType([StructField(c, StringType(), True) for c in header])).csv(path)
+
+
+def parse_failures(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
+    """One row: for every typed column of a CSV extract, how many values are
+    present but do not parse (these read as NULL)."""
+    raw = _csv_text(spark, path, options)
+    typed = [f for f in STAGE_SCHEMAS[table].fields if f.name in raw.columns and not isinstance(f.dataType, StringType)]
+    return raw.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in typed])
+
+
 def _with_row_hash(df: DataFrame) -> DataFrame:
     """Extracts without the supplied row fingerprint get one computed from
     their business columns (everything but the surrogate FID)."""

@@ -50,3 +50,35 @@ def test_missing_row_fingerprint_is_computed(spark, stages, fmt):
     assert all(h and len(h) == 64 for h in hashes)
     # rows equal except FID share a fingerprint (the injected copies do)
     assert len(set(hashes)) == df.drop("FID").distinct().count()
+
+
+def _write(path, text):
+    os.makedirs(path)
+    with open(os.path.join(path, "part.csv"), "w") as f:
+        f.write(text)
+
+
+def test_extra_columns_and_times_are_kept(spark, stages):
+    path = os.path.join(tempfile.mkdtemp(prefix="regilens-extra-"), "txn")
+    df = stages["Dog_Transaction_Stage"].limit(5).selectExpr(
+        "Transaction_Type", "'web' as Channel", "cast(Transaction_Date as timestamp) + interval 9 hours as Transaction_Date", "FID", "Account_Number",
+        "Type_Of_Account", "Transaction_Value", "hash_binary")
+    df.write.parquet(path)
+    back = read_stage(spark, path, "Dog_Transaction_Stage")
+    assert back.columns == [*STAGE_SCHEMAS["Dog_Transaction_Stage"].fieldNames(), "Channel"]
+    assert dict(back.dtypes)["Transaction_Date"] == "timestamp"
+    assert all(r.Channel == "web" and r.Transaction_Date.hour == 9 for r in back.collect())
+
+
+def test_csv_columns_go_by_header_name(spark):
+    from regilens.sources.staging import parse_failures
+    path = os.path.join(tempfile.mkdtemp(prefix="regilens-csv-"), "txn")
+    _write(path, "Account_Number,FID,Note,Transaction_Date,Transaction_Value,Transaction_Type\n"
+                 "1,777,a,2024-02-03 10:11:12,1.50,Prompt Payment\n2,778,b,not a date,x,Late\n,779,c,,,\n")
+    rows = {r.FID: r for r in read_stage(spark, path, "Dog_Transaction_Stage", "csv").collect()}
+    assert (rows[777].Account_Number, str(rows[777].Transaction_Date), str(rows[777].Transaction_Value), rows[777].Note) == (1, "2024-02-03", "1.50", "a")
+    assert rows[777].Type_Of_Account is None and rows[778].Transaction_Date is None and rows[779].Account_Number is None
+    timed = read_stage(spark, path, "Dog_Transaction_Stage", "csv", date_times=True).where("FID = 777").first()
+    assert timed.Transaction_Date.hour == 10
+    bad = parse_failures(spark, path, "Dog_Transaction_Stage").first().asDict()
+    assert bad == {"FID": 0, "Account_Number": 0, "Transaction_Date": 1, "Transaction_Value": 1}
