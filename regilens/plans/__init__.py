@@ -1,5 +1,5 @@
 """Plans: the clean star-schema build and the catalogue of named queries."""
 
-from regilens.plans.star import Star, build_star, fixture_star, materialise
+from regilens.plans.star import Star, StagedStar, build_star, fixture_star, materialise, save_tables
 
-__all__ = ["Star", "build_star", "fixture_star", "materialise"]
+__all__ = ["Star", "StagedStar", "build_star", "fixture_star", "materialise", "save_tables"]

@@ -1,39 +1,41 @@
 """The clean star schema: staging -> standardised -> deduplicated.
 
-Two stage boundaries, as in the source workflow (copy into working tables,
-fix them, audit them, remove duplicates, analyse):
-
-1. the *standardised* tables (account filter, label fixes, key renames) are
-   written once; the NULL / key / duplicate audits read them;
-2. the *deduplicated* tables are computed from (1) and written once; every
-   analytic query reads them;
-3. the registration x dog aggregate per (key, suburb) is computed from (2)
-   and written once; the geography queries read it instead of re-joining.
-
-Both are Parquet under the session's shared checkpoint folder, so later
-queries start from a plain scan (column pruning, pushed filters) instead of
-re-deriving the lineage, and a lost executor costs a task retry, not a
-recomputation of the chain. The commit protocol publishes a table only when
-its job finished (``_SUCCESS``); tables are scoped to the application so two
-jobs never share or overwrite each other's files."""
+The stage boundaries are those of the source workflow (copy into working
+tables, fix them, audit them, remove duplicates, analyse):
+
+1. the *standardised* tables (account filter, label fixes, key renames), read
+   by the NULL / key / duplicate audits;
+2. the *deduplicated* tables, read by every analytic query;
+3. the registration x dog aggregate per (key, suburb), read by the geography
+   queries instead of re-joining.
+
+Each table is written as Parquet when a query first needs it, so a dog count
+writes the dog table and nothing else, and later queries start from a plain
+scan. A table is written to a folder of its own and renamed when its job has
+finished: readers and other sessions see whole tables only.
+
+A folder holds the tables of one *snapshot* of the input. The caller names the
+snapshot (the same name means the same input, so finished tables are used
+again, by later sessions too) or lets every call write a new one; a rerun on
+changed input never meets old tables."""
 
 from __future__ import annotations
 
 import hashlib
-import os
+import inspect
 import threading
+import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from regilens.functions import constants
 from regilens.operators import cleaning as C
 from regilens.operators.analytics import registration_geo
-from regilens.session import checkpoint_root, path_join
-from regilens.sources.fixtures import dog_stage_dirty, load_stages
-
-STD_NAMES = ("DimDog_std", "FactRegistration_std", "FactTransaction_std")
-CLEAN_NAMES = ("DimDog", "FactRegistration", "FactTransaction")
-CLEAN_SORT = {"FactRegistration": ("Registration_From",), "FactTransaction": ("Transaction_Date",)}
+from regilens.session import checkpoint_root, hadoop_path, path_join
+from regilens.sources import fixtures, schemas
+from regilens.sources.fixtures import load_stages
 
 
 @dataclass(frozen=True)
@@ -58,10 +60,6 @@ class Star:
         return self.registration_geo if self.registration_geo is not None \
             else registration_geo(self.registration, self.dog)
 
-    @property
-    def dog_stage_dirty(self) -> DataFrame:
-        return dog_stage_dirty(self.dog_stage)
-
 
 def build_star(stages: dict[str, DataFrame]) -> Star:
     """Lazy clean path from the three staging tables."""
@@ -75,70 +73,122 @@ def build_star(stages: dict[str, DataFrame]) -> Star:
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(os.path.join(path, "_SUCCESS"))
-    jvm = spark.sparkContext._jvm  # remote file systems: ask Hadoop
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = hadoop_path(spark, path_join(path, "_SUCCESS"))
     return fs.exists(p)
 
 
-def _write_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` unless a finished copy exists, and read it back."""
+def write_table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """The finished table at ``path``, written first if there is none. Two
+    sessions that write it at once each write their own copy; the first to
+    finish gives the table."""
     if not _complete(spark, path):
-        df.write.mode("overwrite").parquet(path)
+        copy = f"{path}.{uuid.uuid4().hex}"
+        df.write.parquet(copy)
+        fs, to = hadoop_path(spark, path)
+        _, made = hadoop_path(spark, copy)
+        if _complete(spark, path) or not fs.rename(made, to) or not _complete(spark, path):
+            return spark.read.parquet(copy if fs.exists(made) else path)
     return spark.read.parquet(path)
 
 
-def materialise(spark: SparkSession, star: Star, root: str) -> Star:
-    """Write the standardised tables, deduplicate *from the written copies*,
-    write the clean tables, and return a star that reads both back."""
-    std = [_write_once(spark, df, path_join(root, name))
-           for name, df in zip(STD_NAMES, (star.dog_std, star.registration_std, star.transaction_std))]
+class StagedStar:
+    """A star whose tables are written under ``folder`` when first needed;
+    the same attributes as :class:`Star`."""
+
+    def __init__(self, spark: SparkSession, plan: Star, folder: str):
+        self._spark, self._plan, self._folder = spark, plan, folder
+        self.dog_stage, self.registration_stage, self.transaction_stage = plan.dog_stage, plan.registration_stage, plan.transaction_stage
+
+    def _put(self, name: str, df: DataFrame) -> DataFrame:
+        return write_table(self._spark, df, path_join(self._folder, name))
+
+    def _std(self, attribute: str) -> DataFrame:
+        """The written standardised table if an audit has asked for it, else
+        its plan: cleaning alone does not write the table twice."""
+        return self.__dict__.get(attribute, getattr(self._plan, attribute))
+
+    @cached_property
+    def dog_std(self) -> DataFrame:
+        return self._put("DimDog_std", self._plan.dog_std)
+
+    @cached_property
+    def registration_std(self) -> DataFrame:
+        return self._put("FactRegistration_std", self._plan.registration_std)
+
+    @cached_property
+    def transaction_std(self) -> DataFrame:
+        return self._put("FactTransaction_std", self._plan.transaction_std)
+
+    @cached_property
+    def dog(self) -> DataFrame:
+        return self._put("DimDog", C.dedup_dog(self._std("dog_std")))
+
     # Each clean fact file is sorted by its main date: Parquet row-group
     # min/max statistics then let the pushed date-range filters of the trend
     # and outlier queries skip whole row groups. Key order would buy nothing --
     # every key-based query aggregates through a shuffle anyway.
-    clean_plans = (C.dedup_dog(std[0]),
-                   C.dedup_registration(std[1]).sortWithinPartitions(*CLEAN_SORT["FactRegistration"]),
-                   C.dedup_transaction(std[2]).sortWithinPartitions(*CLEAN_SORT["FactTransaction"]))
-    clean = [_write_once(spark, df, path_join(root, name)) for name, df in zip(CLEAN_NAMES, clean_plans)]
-    # third stage: the registration x dog aggregate every geography query needs
-    geo = _write_once(spark, registration_geo(clean[1], clean[0]), path_join(root, "RegistrationGeo"))
-    return Star(star.dog_stage, star.registration_stage, star.transaction_stage, *std, *clean, geo)
+    @cached_property
+    def registration(self) -> DataFrame:
+        return self._put("FactRegistration", C.dedup_registration(self._std("registration_std"))
+                         .sortWithinPartitions("Registration_From"))
+
+    @cached_property
+    def transaction(self) -> DataFrame:
+        return self._put("FactTransaction", C.dedup_transaction(self._std("transaction_std"))
+                         .sortWithinPartitions("Transaction_Date"))
+
+    @cached_property
+    def registration_geo(self) -> DataFrame:
+        return self._put("RegistrationGeo", registration_geo(self.registration, self.dog))
+
+    @property
+    def geo_pairs(self) -> DataFrame:
+        return self.registration_geo
+
+
+def materialise(spark: SparkSession, star: Star, root: str, snapshot: str | None = None) -> StagedStar:
+    """A star whose tables are written under ``root`` on first use. With
+    ``snapshot`` (a name that identifies the input) finished tables of that
+    name are used again; without one, every call writes new tables."""
+    return StagedStar(spark, star, path_join(root, snapshot or uuid.uuid4().hex))
+
+
+def save_tables(star: Star | StagedStar, database: str | None = None, **options) -> dict[str, str]:
+    """Save the clean tables under lasting names in the session's catalog
+    (replacing what has these names) and return the names."""
+    names = {}
+    for table, df in (("DimDog", star.dog), ("FactRegistration", star.registration), ("FactTransaction", star.transaction)):
+        names[table] = f"{database}.{table}" if database else table
+        own = {k: path_join(v, table) if k == "path" else v for k, v in options.items()}
+        df.write.mode("overwrite").options(**own).saveAsTable(names[table])
+    return names
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input files, and the code that derives
+    the tables from them."""
+    h = hashlib.sha1()
+    for module in (C, fixtures, schemas, constants):
+        h.update(inspect.getsource(module).encode())
     for t in ("customer", "nation", "orders", "lineitem"):
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(t.encode())
+        fs, p = hadoop_path(spark, path_join(sf_dir, f"{t}.parquet"))
+        for f in (fs.globStatus(p) or []):
+            for st in fs.listStatus(f.getPath()):
+                h.update(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
-_CACHE: dict[tuple[str, str, bool], Star] = {}
+_CACHE: dict[tuple[str, str, str, bool], Star | StagedStar] = {}
 _LOCK = threading.Lock()
 
 
-def fixture_star(spark: SparkSession, sf_dir: str, materialised: bool = True) -> Star:
-    """Star schema derived from the test tables in ``sf_dir``.
-
-    With ``materialised`` the clean tables are written once per session and
-    input fingerprint under the shared checkpoint folder; without a shared
-    folder (cluster session with none configured) everything stays lazy."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), materialised)
-    with _LOCK:  # one build per session and input, even when queries run in threads
-        if key in _CACHE:
-            return _CACHE[key]
-        star = build_star(load_stages(spark, sf_dir))
-        if materialised:
-            root = checkpoint_root(spark)
-            if root is not None:
-                app = spark.sparkContext.applicationId
-                star = materialise(spark, star, path_join(root, "regilens_star", app, _fingerprint(sf_dir)))
-        _CACHE[key] = star
-        return star
+def fixture_star(spark: SparkSession, sf_dir: str, materialised: bool = True) -> Star | StagedStar:
+    """Star schema derived from the test tables in ``sf_dir``; with
+    ``materialised`` its tables are written under the shared checkpoint folder
+    when first needed, under a name that changes with the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir), materialised)
+    with _LOCK:
+        if key not in _CACHE:
+            star = build_star(load_stages(spark, sf_dir))
+            _CACHE[key] = materialise(spark, star, path_join(checkpoint_root(spark), "regilens_star"), key[2]) if materialised else star
+        return _CACHE[key]

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every session should carry. AQE re-plans at each shuffle boundary:
 # it coalesces small partitions, splits skewed join partitions, and turns a
@@ -45,41 +44,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 # Locally the defaults (keep one task per core) parallelise better.
 
 
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Round-robin a *file scan* over the cluster's cores when it yields fewer
-    splits than cores (one unsplittable file feeding expensive per-row work).
-    A large input arrives in many splits and passes through untouched, so this
-    never adds a shuffle at scale.
-
-    Only for plain scans: counting the partitions of a plan that contains a
-    shuffle would run that shuffle under AQE."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def checkpoint_root(spark: SparkSession) -> str | None:
+def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only a local session without one gets a fresh private
-    folder (set through ``SparkContext.setCheckpointDir``; the conf key itself
-    cannot change at run time); on a cluster an unset value returns None and
-    callers stay lazy instead of writing to a machine-local path."""
+    checkpoint dir). A local session without one gets a private folder (set
+    through ``SparkContext.setCheckpointDir``; the conf key itself cannot
+    change at run time); on a cluster an unset folder is an error, since the
+    driver cannot guess one that all executors share."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
     if not is_local(spark):
-        return None
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="regilens-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(FileSystem, Path) of any path Spark can open: with or without a scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def path_join(root: str, *parts: str) -> str:
-    if "://" in root:
-        return "/".join([root.rstrip("/"), *parts])
-    return os.path.join(root, *parts)
+    return "/".join([root.rstrip("/"), *parts])

@@ -16,6 +16,8 @@ SAME_AS = {
     "category_behaviour": "d03_category_behaviour",
     "star_wide": "d04_star_wide",
     "seasonality": "d05_seasonality",
+    "late_seasonality": "d05_late_seasonality",
+    "incentive_uptake": "d02_incentive_uptake",
     "suburb_rankings": "d06_suburb_rankings",
     "missing_share": "d07_missing_share",
     "monthly_activity": "e30_monthly_activity",

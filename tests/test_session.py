@@ -54,3 +54,14 @@ def test_stage_marker_check_on_uri_paths(spark):
     spark.range(3).write.parquet(path_join(uri, "t"))
     assert _complete(spark, path_join(uri, "t"))
     assert _complete(spark, os.path.join(d, "t"))
+
+
+def test_marker_and_folders_without_authority(spark):
+    """``file:/path`` (one slash) is found like any other path."""
+    from regilens.plans.star import _complete, write_table
+    d = tempfile.mkdtemp(prefix="regilens-uri-")
+    path = f"file:{d}/t"
+    assert not _complete(spark, path)
+    assert write_table(spark, spark.range(3), path).count() == 3
+    assert _complete(spark, path) and sorted(os.listdir(d)) == ["t"]
+    assert write_table(spark, spark.range(9), path).count() == 3  # finished tables stay
