@@ -5,8 +5,6 @@ from regilens.functions.expressions import (
     any_like,
     date_lit,
     equals_text,
-    event_predicate,
-    int_avg,
     null_flag,
     pct,
     rate,
@@ -19,7 +17,7 @@ from regilens.functions.expressions import (
 )
 
 __all__ = [
-    "constants", "any_like", "date_lit", "equals_text", "event_predicate", "int_avg", "null_flag",
+    "constants", "any_like", "date_lit", "equals_text", "null_flag",
     "pct", "rate", "replace_all", "try_decimal", "year_at_least", "year_below",
     "year_between", "year_start",
 ]

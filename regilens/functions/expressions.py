@@ -43,17 +43,6 @@ def equals_text(c: ColumnOrName, value: str, case_insensitive: bool = False,
     return left == F.lit(right)
 
 
-def event_predicate(type_col: ColumnOrName, *, equals: str | None = None,
-                    patterns: Iterable[str] | None = None, case_insensitive: bool = False,
-                    ignore_trailing_spaces: bool = False) -> Column:
-    """Predicate for an event class: an exact type or a LIKE pattern set."""
-    if (equals is None) == (patterns is None):
-        raise ValueError("give exactly one of equals= or patterns=")
-    if equals is not None:
-        return equals_text(type_col, equals, case_insensitive, ignore_trailing_spaces)
-    return any_like(type_col, patterns, case_insensitive)
-
-
 def year_start(year: int) -> Column:
     """First day of ``year`` as a DATE literal.
 
@@ -85,12 +74,6 @@ def null_flag(c: ColumnOrName) -> Column:
     return F.when(col(c).isNull(), F.lit(1)).otherwise(F.lit(0))
 
 
-def int_avg(name: str) -> Column:
-    """Average of an integer column truncated to an integer (integer AVG rule):
-    ``sum(c) div count(c)``; NULL on an empty input."""
-    return F.expr(f"sum(`{name}`) div count(`{name}`)")
-
-
 def pct(numerator: Column, denominator: Column, scale: str = "decimal(8,2)") -> Column:
     """``CAST(n * 100.0 / d AS DECIMAL(8,2))``; NULL (not an error) on d = 0."""
     return F.try_divide(numerator * F.lit(100.0), denominator).cast(scale)

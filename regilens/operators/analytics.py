@@ -275,14 +275,17 @@ def events_after_first(txn: DataFrame, first_predicate: Column, then_predicate:
                        then_name: str = "DiscountDate") -> DataFrame:
     """Events of one kind dated strictly after the key's first event of
     another kind. The first-event side is one row per key (aggregated), so
-    the join is many-to-one and emits at most one row per later event; a hot
-    key is split across tasks by AQE's skew-join handling."""
+    the join is many-to-one and emits at most one row per later event. The
+    join key is a struct of the key: that puts an exchange between the
+    aggregate and the join, and only then can the skew join split a hot key
+    (it never splits a side that an aggregate feeds directly)."""
     first = (txn.filter(first_predicate & F.col(key).isNotNull())
                 .groupBy(key).agg(F.min(date_col).alias(first_name)))
     tie = _tiebreak(txn)
     later = (txn.filter(then_predicate & F.col(key).isNotNull())
                 .select(key, F.col(date_col).alias(then_name), *tie))
-    return (later.join(first, key, "inner")
+    first = first.withColumnRenamed(key, "__key")
+    return (later.join(first, F.struct(F.col(key).alias("k")) == F.struct(F.col("__key").alias("k")), "inner")
                  .filter(F.col(then_name) > F.col(first_name))
                  .orderBy(then_name, key, first_name, *tie)
                  .select(key, then_name, first_name))

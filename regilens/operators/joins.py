@@ -67,25 +67,6 @@ def key_flags(df: DataFrame, key: str, flags: Mapping[str, Column],
     return src.groupBy(key).agg(*aggs)
 
 
-def expand_multiplicity(df: DataFrame, count_col: str, chunk: int = 4096,
-                        partitions: int | None = None) -> DataFrame:
-    """Replicate each row ``count_col`` times (then drop the column).
-
-    Multiplicities are first cut into chunk rows of at most ``chunk`` copies
-    and the chunk rows are spread round-robin over ``partitions`` (default:
-    the session's shuffle partitions), so a row with a huge multiplicity is
-    expanded by many tasks in parallel, never by one."""
-    if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunked = (df.filter(F.col(count_col) > 0)
-                 .withColumn("__c", F.explode(F.expr(f"sequence(0L, (`{count_col}` - 1) div {int(chunk)})")))
-                 .withColumn("__size", F.least(F.col(count_col) - F.col("__c") * chunk,
-                                               F.lit(chunk).cast("bigint")).cast("int"))
-                 .repartition(partitions))
-    return (chunked.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__size"))))
-                   .drop("__one", "__size", "__c", count_col))
-
-
 def _salted_key(df: DataFrame, key: str, spread: str) -> Column:
     """Join key that equals ``(false, key)`` for a real key and
     ``(true, hash(spread))`` for a NULL key: NULL keys still never match, but

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regilens.functions import constants as K
-from regilens.functions.expressions import null_flag, pct, rate, year_between
+from regilens.functions.expressions import any_like, null_flag, pct, rate, year_between
 from regilens.operators.analytics import (
     DOG_KEY,
     GEO,
@@ -23,7 +23,11 @@ from regilens.operators.analytics import (
     suburb_scorecard,
 )
 from regilens.operators.cleaning import dedup_keep_first
-from regilens.operators.joins import left_lookup
+from regilens.operators.joins import key_flags, left_lookup
+
+
+# FIXED VALUES: the discount incentives, by their transaction type pattern
+INCENTIVES = {"Fenced": "%Fenced%", "Neutered": "%Neuter%", "Obedience": "%Obedience%", "Permanent_ID": "%Permanent%"}
 
 
 # D01 -----------------------------------------------------------------------------
@@ -82,22 +86,22 @@ DOG_ATTRS = ("Kept_At_Suburb", "Fee_Description")
 
 
 def star_wide(txn: DataFrame, reg: DataFrame, dog: DataFrame, key: str = KEY, dog_key: str = DOG_KEY,
-              reg_attrs: Iterable[str] = REG_ATTRS, dog_attrs: Iterable[str] = DOG_ATTRS) -> DataFrame:
-    """Transaction-grain wide table: each transaction with the attributes of
-    its registration and that registration's dog.
-
-    A repeated key resolves to its lowest-FID row (one lookup row per key), so
-    the table has exactly one row per transaction -- no fan-out -- and both
-    joins are many-to-one. Rows without a key are salted by their FID so they
-    spread over the join's partitions instead of piling onto one."""
-    reg_one = dedup_keep_first(reg.filter(F.col(key).isNotNull()), [key]) \
-        .select(key, dog_key, *reg_attrs)
-    dog_one = dedup_keep_first(dog.filter(F.col(dog_key).isNotNull()), [dog_key]) \
-        .select(dog_key, *dog_attrs)
+              reg_attrs: Iterable[str] = REG_ATTRS, dog_attrs: Iterable[str] = DOG_ATTRS,
+              keep_first: bool = False) -> DataFrame:
+    """Wide table: every transaction left-joined to its registrations and
+    those to their dogs. Keys that repeat fan out, as the plain joins do.
+
+    ``keep_first`` resolves a repeated key to its lowest-FID row instead, for
+    a table of exactly one row per transaction. Rows without a key are salted
+    by their FID so they spread over the join's partitions instead of piling
+    onto one; a hot key is split by the skew join."""
+    if keep_first:
+        reg = dedup_keep_first(reg.filter(F.col(key).isNotNull()), [key])
+        dog = dedup_keep_first(dog.filter(F.col(dog_key).isNotNull()), [dog_key])
     facts = txn.select(F.col("FID").alias("Transaction_FID"), key, "Transaction_Date",
                        "Transaction_Value", "Transaction_Type")
-    with_reg = left_lookup(facts, reg_one, key, spread="Transaction_FID")
-    return (left_lookup(with_reg, dog_one, dog_key, spread="Transaction_FID")
+    with_reg = left_lookup(facts, reg.select(key, dog_key, *reg_attrs), key, spread="Transaction_FID")
+    return (left_lookup(with_reg, dog.select(dog_key, *dog_attrs), dog_key, spread="Transaction_FID")
                  .select("Transaction_FID", key, "Transaction_Date", "Transaction_Value", "Transaction_Type",
                          dog_key, *reg_attrs, *dog_attrs))
 
@@ -116,6 +120,40 @@ def seasonality(reg: DataFrame, date_col: str = "Registration_From", first_year:
             .orderBy("Month")
 
 
+def late_seasonality(reg: DataFrame, txn: DataFrame, reg_date: str = "Registration_From",
+                     txn_date: str = "Transaction_Date", first_year: int = K.SEASON_FIRST_YEAR,
+                     last_year: int = K.SEASON_LAST_YEAR) -> DataFrame:
+    """Registrations and late penalties per calendar month over the analysis
+    years, each with its share of the year's total in percent, so the rise of
+    penalties after the registration peak shows. Both sides are at most 12
+    rows before they meet."""
+    starts = (reg.filter(year_between(reg_date, first_year, last_year))
+                 .groupBy(F.month(reg_date).alias("Month")).agg(F.count(F.lit(1)).alias("r")))
+    lates = (txn.filter(late_pred() & year_between(txn_date, first_year, last_year))
+                .groupBy(F.month(txn_date).alias("Month")).agg(F.count(F.lit(1)).alias("l")))
+    both = starts.join(lates, "Month", "full").select(
+        "Month", F.coalesce("r", F.lit(0)).alias("Registration_Count"), F.coalesce("l", F.lit(0)).alias("LatePenalty_Count"))
+    year = Window.partitionBy(F.lit(1))  # at most 12 rows
+    return both.select("*", pct(F.col("Registration_Count"), F.sum("Registration_Count").over(year)).alias("Registration_Pct"),
+                       pct(F.col("LatePenalty_Count"), F.sum("LatePenalty_Count").over(year)).alias("LatePenalty_Pct")).orderBy("Month")
+
+
+def incentive_uptake(reg: DataFrame, dog: DataFrame, txn: DataFrame, key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO,
+                     incentives: dict[str, str] | None = None) -> DataFrame:
+    """Per suburb and incentive: distinct registrations, those with at least
+    one transaction of the incentive, and the rate. One flag row per key from
+    one scan of the transactions."""
+    incentives = INCENTIVES if incentives is None else incentives
+    flags = key_flags(txn, key, {name: any_like("Transaction_Type", [p]) for name, p in incentives.items()})
+    homes = (reg.select(key, dog_key).join(dog.filter(F.col(geo).isNotNull()).select(dog_key, geo), dog_key)
+                .select(key, geo).distinct())
+    per = homes.join(flags, key, "left").groupBy(geo).agg(
+        F.count(key).alias("Registrations"), *[F.count_if(F.col(name) == 1).alias(name) for name in incentives])
+    long = per.unpivot([geo, "Registrations"], list(incentives), "Incentive", "Incentive_Count")
+    return long.select(geo, "Incentive", "Registrations", "Incentive_Count",
+                       rate(F.col("Incentive_Count"), F.col("Registrations")).alias("Uptake_Rate")).orderBy(geo, "Incentive")
+
+
 # D06 -----------------------------------------------------------------------------
 def _ranked(df: DataFrame, label: str, value: Column, order: list[Column], geo: str, k: int) -> DataFrame:
     top = df.select(geo, value.cast("double").alias("Value")).orderBy(*order).limit(k)

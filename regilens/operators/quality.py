@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from regilens.functions import constants as K
 from regilens.functions.expressions import date_lit, null_flag, pct, try_decimal
-from regilens.operators.joins import expand_multiplicity, pair_counts
+from regilens.operators.joins import pair_counts
 
 
 # C07 -----------------------------------------------------------------------------
@@ -102,17 +102,12 @@ def category_mismatches(dim: DataFrame, fact: DataFrame, key: str = "Dog_Number"
     """Every joined (dimension row, fact row) whose categories differ (a NULL
     on either side is not a difference).
 
-    Both sides are counted per (key, category) first; the mismatching
-    combinations carry the product of the counts and are expanded back to
-    rows in parallel chunks, so a hot key is never joined pair by pair."""
-    lc = (dim.filter(F.col(key).isNotNull()).groupBy(key, F.col(a).alias(names[0]))
-             .agg(F.count(F.lit(1)).alias("__lc")))
-    rc = (fact.filter(F.col(key).isNotNull()).groupBy(key, F.col(b).alias(names[1]))
-              .agg(F.count(F.lit(1)).alias("__rc")))
-    combos = (lc.join(rc, key, "inner")
-                .filter(F.col(names[0]) != F.col(names[1]))
-                .select(key, names[0], names[1], (F.col("__lc") * F.col("__rc")).alias("__n")))
-    return expand_multiplicity(combos, "__n")
+    The result *is* the row pairs, so this is the plain equi-join with the
+    difference as its residual condition: neither side is aggregated first,
+    and the skew join splits a hot key's rows over many tasks."""
+    left = dim.select(key, F.col(a).alias(names[0]))
+    right = fact.select(F.col(key).alias("__key"), F.col(b).alias(names[1]))
+    return left.join(right, (F.col(key) == F.col("__key")) & (F.col(names[0]) != F.col(names[1]))).drop("__key")
 
 
 # C25 / C26 -----------------------------------------------------------------------

@@ -88,3 +88,46 @@ def test_clean_fact_files_are_date_ordered(spark):
         for f in files:
             values = [v for v in pq.read_table(f, columns=[column]).column(column).to_pylist() if v is not None]
             assert values == sorted(values), f
+
+
+def _hot(spark, rows=120_000):
+    """A third of the rows on one key."""
+    return spark.range(rows).selectExpr("id as FID", "case when id % 3 = 0 then 1 else id end as k", "id % 5 as g")
+
+
+def _run_plan(spark, df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def skew_conf(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_key_of_events_after_first_is_split(spark, skew_conf):
+    from pyspark.sql import functions as F
+
+    from regilens.operators.analytics import events_after_first
+    txn = _hot(spark).selectExpr("FID", "k as Registration_Key", "date_add(date'2020-01-01', cast(FID % 900 as int)) as Transaction_Date",
+                                 "case when g = 0 then 'L' else 'D' end as Transaction_Type").repartition(8)
+    out = events_after_first(txn, F.col("Transaction_Type") == "L", F.col("Transaction_Type") == "D")
+    assert "skew=true" in _run_plan(spark, out)
+
+
+def test_hot_key_of_category_mismatches_is_split(spark, skew_conf):
+    from regilens.operators.quality import category_mismatches
+    dim = spark.range(3000).selectExpr("id as Dog_Number", "'A' as Fee_Description")
+    fact = _hot(spark).selectExpr("k as Dog_Number", "case when g = 0 then 'A' else md5(string(FID)) end as Fee_Code_Description").repartition(8)
+    out = category_mismatches(dim, fact)
+    assert "skew=true" in _run_plan(spark, out)
+    assert out.count() == fact.join(dim, "Dog_Number").where("Fee_Code_Description <> 'A'").count()
