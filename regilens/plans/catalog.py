@@ -32,9 +32,9 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     c01_build_dim_dog=lambda s: C.build_table(s.dog_stage),
     c02_build_fact_registration=lambda s: C.build_table(s.registration_stage),
     c03_build_fact_transaction=lambda s: C.build_fact_transaction(s.transaction_stage),
-    c08_primary_key_dog=lambda s: Q.assert_primary_key(s.dog_stage_dirty, "FID", "DimDog"),
     # FIDs of the working copies are the staging FIDs (standardising never
     # touches them), so the checks read the written standardised tables
+    c08_primary_key_dog=lambda s: Q.assert_primary_key(s.dog_std, "FID", "DimDog"),
     c08_primary_key_registration=lambda s: Q.assert_primary_key(s.registration_std, "FID", "FactRegistration"),
     c08_primary_key_transaction=lambda s: Q.assert_primary_key(s.transaction_std, "FID", "FactTransaction"),
     # --- 2. standardisation -----------------------------------------------------
@@ -46,9 +46,9 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     c07_null_audit_dog=lambda s: Q.null_audit(s.dog_std, K.DOG_AUDIT_COLUMNS),
     c07_null_audit_registration=lambda s: Q.null_audit(s.registration_std, K.REGISTRATION_AUDIT_COLUMNS),
     c07_null_audit_transaction=lambda s: Q.null_audit(s.transaction_std, K.TRANSACTION_AUDIT_COLUMNS),
-    # --- 4. duplicate checks (before dedup; dog key checks on the dirty copy) ----
-    c09_null_fid_dog=lambda s: Q.null_key_count(s.dog_stage_dirty, "FID", "NullCount_DimDog"),
-    c10_duplicate_fid_dog=lambda s: Q.duplicate_keys(s.dog_stage_dirty, ["FID"], "DuplicateCount_DimDog"),
+    # --- 4. duplicate checks (before dedup) ----
+    c09_null_fid_dog=lambda s: Q.null_key_count(s.dog_std, "FID", "NullCount_DimDog"),
+    c10_duplicate_fid_dog=lambda s: Q.duplicate_keys(s.dog_std, ["FID"], "DuplicateCount_DimDog"),
     c09_null_fid_registration=lambda s: Q.null_key_count(s.registration_std, "FID", "NullCount_FactRegistration"),
     c10_duplicate_fid_registration=lambda s: Q.duplicate_keys(s.registration_std, ["FID"],
                                                               "DuplicateCount_FactRegistration"),
@@ -145,6 +145,8 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     d03_category_behaviour=lambda s: M.category_behaviour(s.registration, s.transaction),
     d04_star_wide=lambda s: M.star_wide(s.transaction, s.registration, s.dog),
     d05_seasonality=lambda s: M.seasonality(s.registration),
+    d02_incentive_uptake=lambda s: M.incentive_uptake(s.registration, s.dog, s.transaction),
+    d05_late_seasonality=lambda s: M.late_seasonality(s.registration, s.transaction),
     d06_suburb_rankings=lambda s: M.suburb_rankings(s.registration, s.dog, s.transaction, scorecard=A.suburb_scorecard(
         s.registration, s.dog, s.transaction, rg=s.geo_pairs)),
     d07_missing_share=lambda s: M.missing_share(s.registration),

@@ -72,3 +72,21 @@ def compare(spark_df, con, sql: str) -> list[str]:
         only_d = list((cd - cs).elements())[:3]
         problems.append(f"values differ: spark-only={only_s} oracle-only={only_d}")
     return problems
+
+
+def order_problems(df, columns: list[str]) -> list[str]:
+    """Neighbouring rows that break the order ("-" before a name: descending;
+    NULL sorts lowest)."""
+    def key(row, c):
+        v = row[c.lstrip("-")]
+        return (v is not None, v if v is not None else 0)
+    rows = df.collect()
+    out = []
+    for a, b in zip(rows, rows[1:]):
+        for c in columns:
+            x, y = key(a, c), key(b, c)
+            if x != y:
+                if (x > y) != c.startswith("-"):
+                    out.append(f"{a} before {b}")
+                break
+    return out
