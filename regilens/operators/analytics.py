@@ -221,30 +221,30 @@ def event_count_by_geo(txn: DataFrame, reg: DataFrame, dog: DataFrame, predicate
 
 # E15 -----------------------------------------------------------------------------
 def matching_types(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
-                   type_col: str = TYPE) -> DataFrame:
-    return txn.filter(any_like(type_col, patterns)).select(type_col).distinct()
+                   type_col: str = TYPE, case_insensitive: bool = False) -> DataFrame:
+    return txn.filter(any_like(type_col, patterns, case_insensitive)).select(type_col).distinct()
 
 
 # E16 -----------------------------------------------------------------------------
 def key_presence(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A, key: str = KEY,
-                 type_col: str = TYPE) -> DataFrame:
+                 type_col: str = TYPE, case_insensitive: bool = False) -> DataFrame:
     """``SUM(CASE WHEN ... THEN 1 END)`` without ELSE: NULL, not 0, when no row
     matches."""
-    src = txn.filter(any_like(type_col, patterns))
+    src = txn.filter(any_like(type_col, patterns, case_insensitive))
     return src.agg(F.sum(F.when(F.col(key).isNull(), F.lit(1))).alias("NullRegID"),
                    F.sum(F.when(F.col(key).isNotNull(), F.lit(1))).alias("HasRegID"))
 
 
 # E17 -----------------------------------------------------------------------------
 def flag_events(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A, name: str = "IsDiscount",
-                key: str = KEY, type_col: str = TYPE, date_col: str = TDATE, sort: bool = True) -> DataFrame:
+                key: str = KEY, type_col: str = TYPE, date_col: str = TDATE, sort: bool = True, case_insensitive: bool = False) -> DataFrame:
     """Every transaction with a 0/1 flag. The sort (flagged first) carries the
     other columns and the row id as tie-breakers, so the range partitioning
     behind it splits the two flag values -- and any run of identical rows --
     across many partitions."""
     tie = _tiebreak(txn)
     out = txn.select(key, date_col, type_col,
-                     F.when(any_like(type_col, patterns), F.lit(1)).otherwise(F.lit(0)).alias(name), *tie)
+                     F.when(any_like(type_col, patterns, case_insensitive), F.lit(1)).otherwise(F.lit(0)).alias(name), *tie)
     if sort:
         out = out.orderBy(F.col(name).desc(), F.col(key), F.col(date_col), F.col(type_col), *tie)
     return out.drop(*tie)
@@ -252,8 +252,8 @@ def flag_events(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
 
 # E18 -----------------------------------------------------------------------------
 def count_by_type(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
-                  name: str = "Discount_Count", type_col: str = TYPE) -> DataFrame:
-    return (txn.filter(any_like(type_col, patterns))
+                  name: str = "Discount_Count", type_col: str = TYPE, case_insensitive: bool = False) -> DataFrame:
+    return (txn.filter(any_like(type_col, patterns, case_insensitive))
                .groupBy(type_col).agg(F.count(F.lit(1)).alias(name))
                .orderBy(F.col(name).desc(), F.col(type_col)))
 
@@ -261,9 +261,9 @@ def count_by_type(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_
 # E19 -----------------------------------------------------------------------------
 def repeated_events(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
                     keys: Sequence[str] = (KEY, TYPE, TDATE), name: str = "Duplicate_Count",
-                    type_col: str = TYPE) -> DataFrame:
+                    type_col: str = TYPE, case_insensitive: bool = False) -> DataFrame:
     """Same key, type and date more than once (the value is not compared)."""
-    return (txn.filter(any_like(type_col, patterns))
+    return (txn.filter(any_like(type_col, patterns, case_insensitive))
                .groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
                .filter(F.col(name) > 1)
                .orderBy(F.col(name).desc(), *[F.col(k) for k in keys]))
@@ -294,22 +294,22 @@ def events_after_first(txn: DataFrame, first_predicate: Column, then_predicate:
 # E21 -----------------------------------------------------------------------------
 def discount_value_outliers(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
                             low: float = K.DISCOUNT_VALUE_LOW, high: float = K.DISCOUNT_VALUE_HIGH,
-                            value_col: str = "Transaction_Value", type_col: str = TYPE) -> DataFrame:
+                            value_col: str = "Transaction_Value", type_col: str = TYPE, case_insensitive: bool = False) -> DataFrame:
     v = F.col(value_col)
     # (value, type) has few distinct values; the hidden row-id tie-break gives
     # the range partitioning behind the global sort something to split on
-    return (txn.filter(any_like(type_col, patterns) & ((v < low) | (v > high)))
+    return (txn.filter(any_like(type_col, patterns, case_insensitive) & ((v < low) | (v > high)))
                .orderBy(value_col, type_col, *_tiebreak(txn))
                .select(type_col, value_col))
 
 
 # E22 -----------------------------------------------------------------------------
 def orphan_events(txn: DataFrame, reg: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_A,
-                  name: str = "Count_NoRegistration", key: str = KEY, type_col: str = TYPE) -> DataFrame:
+                  name: str = "Count_NoRegistration", key: str = KEY, type_col: str = TYPE, case_insensitive: bool = False) -> DataFrame:
     """Events whose key has no registration (NULL keys included), per type.
     Events are first counted per (key, type) -- map-side -- so the anti join
     moves one row per key and type, not one per event."""
-    per_key = (txn.filter(any_like(type_col, patterns))
+    per_key = (txn.filter(any_like(type_col, patterns, case_insensitive))
                   .groupBy(key, type_col).agg(F.count(F.lit(1)).alias("__n")))
     known = reg.select(key).filter(F.col(key).isNotNull()).distinct()
     return (per_key.join(known, key, "left_anti")
@@ -330,8 +330,8 @@ def unmatched(reg: DataFrame, txn: DataFrame, key: str = KEY,
 # E26 -----------------------------------------------------------------------------
 def event_date_range(txn: DataFrame, patterns: Iterable[str] = K.DISCOUNT_PATTERNS_C,
                      date_col: str = TDATE, type_col: str = TYPE,
-                     names: tuple[str, str] = ("FirstDiscount", "LastDiscount")) -> DataFrame:
-    return (txn.filter(any_like(type_col, patterns))
+                     names: tuple[str, str] = ("FirstDiscount", "LastDiscount"), case_insensitive: bool = False) -> DataFrame:
+    return (txn.filter(any_like(type_col, patterns, case_insensitive))
                .agg(F.min(date_col).alias(names[0]), F.max(date_col).alias(names[1])))
 
 

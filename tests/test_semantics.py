@@ -260,3 +260,20 @@ def test_null_sorts_first_ascending_and_last_descending(spark):
     dog, reg, txn = _star(spark, dogs, regs, txns)
     rates = [r.LatePayment_Rate for r in A.suburb_scorecard(reg, dog, txn).collect()]
     assert rates == [1.0, None]
+
+
+def test_every_discount_query_can_ignore_case(spark):
+    from regilens.operators import analytics as A
+    txn = spark.createDataFrame([(1, 1, "NEUTERED discount", -200.0, None), (2, 1, "NEUTERED discount", -200.0, None), (3, None, "Other", 1.0, None)],
+                                "FID bigint, Registration_Key bigint, Transaction_Type string, Transaction_Value double, Transaction_Date date")
+    txn = txn.withColumn("Transaction_Date", F.lit("2024-01-01").cast("date"))
+    reg = spark.createDataFrame([(9,)], "Registration_Key bigint")
+    for on in (False, True):
+        assert A.matching_types(txn, case_insensitive=on).count() == int(on)
+        assert A.key_presence(txn, case_insensitive=on).first().HasRegID == (2 if on else None)
+        assert A.flag_events(txn, case_insensitive=on).where("IsDiscount = 1").count() == 2 * on
+        assert A.count_by_type(txn, case_insensitive=on).count() == int(on)
+        assert A.repeated_events(txn, case_insensitive=on).count() == int(on)
+        assert A.discount_value_outliers(txn, case_insensitive=on).count() == 2 * on
+        assert A.orphan_events(txn, reg, case_insensitive=on).count() == int(on)
+        assert (A.event_date_range(txn, case_insensitive=on).first()[0] is not None) == on
