@@ -72,6 +72,15 @@ def marked(bitmap, hashes, bits: int = 23):
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a never-NULL key whose rows on the left may be many, to a right
+    side that is an aggregate by that key. The key is wrapped in a struct, so
+    the right side is exchanged anew and the skew join can split a hot key;
+    fed by the aggregate directly, it never would."""
+    r = right.withColumnRenamed(key, "__key")
+    return left.join(r, F.struct(F.col(key).alias("k")) == F.struct(F.col("__key").alias("k")), how).drop("__key")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node of the undirected edges (u, v): connected
     components. Each round every node moves to its smallest neighbour (or
@@ -88,3 +97,22 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             .join(step, F.col("v") == F.col("was")).select("u", F.col("now").alias("v"))
         left = staged(moved.where("u <> v").distinct(), f"{name}-edges")
     return roots
+
+
+def marked_texts(docs: DataFrame, keys: DataFrame, column: str, key: Column):
+    """(doc_id, key, text) of the documents whose ``key`` a bitmap of the keys'
+    ``column`` marks (4 MB whatever their number). What passes is joined to the
+    keys with a merge hint by the callers: the same plan at every size, and
+    only texts that are asked for are shuffled."""
+    bits = 25
+    bitmap = hash_bitmap(keys.where(F.col(column).isNotNull()), column, bits)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            keep = marked(bitmap.value, b.column(1).to_numpy().view(np.uint64), bits)
+            if keep.any():
+                yield b.filter(pa.array(keep))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", key.alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, text string")

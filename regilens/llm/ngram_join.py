@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, staged, table, text_key
+from ._spark import components, marked_texts, skewed_join, staged, table, text_key
 from ._text import WORDS, Words, chunks, kgrams, list_array, mix, runs
 
 TREES = 20
@@ -150,11 +150,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
         F.max("shingles").alias("shingles"), F.first("nodes").alias("nodes")), "join-classes")
     met = staged(classes.select("node", F.explode("nodes").alias("trie")), "join-tries")
     heads = met.groupBy("trie").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    stars = staged(met.join(heads, "trie").select("leader", "node").distinct(), "join-stars")
+    stars = staged(skewed_join(met, heads, "trie").select("leader", "node").distinct(), "join-stars")
     volume = classes.select("node", "shingles")
     blocks = stars.join(volume, "node").groupBy("leader").agg(F.sum("shingles").alias("volume"), F.count("*").alias("n")) \
         .select("leader", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = stars.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int"))
+    dealt = skewed_join(stars, blocks, "leader").withColumn("own", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int"))
     units = dealt.select("node", "leader", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .select("node", "leader", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
                 (F.col("own") > F.col("other")).cast("int").alias("side"))
@@ -163,8 +163,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     own = stars.groupBy("node").agg(F.collect_set("leader").alias("leaders"))
     asked = staged(tasks.join(own, "node").join(classes.select("node", "rep", "copies"), "node")
                    .select("node", "units", "leaders", "copies", F.col("rep.doc_id").alias("_d"), F.col("rep.t").alias("_t")), "join-members")
-    texts = docs.select("doc_id", text_key(F.col("text")).alias("t"), "text") \
-        .join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("node", "copies", "leaders", "units", "text")
+    texts = marked_texts(docs, asked, "_t", text_key(F.col("text"))) \
+        .join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t"))).select("node", "copies", "leaders", "units", "text")
 
     def sets(batches):
         for b in batches:
