@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._spark import staged, table, text_key
+from ._spark import marked_texts, skewed_join, staged, table, text_key
 from ._text import WORDS, Words, chunks, kgrams, list_array, runs
 
 K = 8
@@ -174,8 +174,8 @@ def align(a: np.ndarray, b: np.ndarray, q: np.ndarray, t: np.ndarray, k: int) ->
 def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, tk, lo, hi, words): the word hashes of distinct regions."""
     per = staged(wanted.distinct().groupBy(F.col("doc_id").alias("_d"), F.col("tk").alias("_k")).agg(F.collect_list(F.struct("lo", "hi")).alias("r")), "passage-regions")
-    texts = docs.select("doc_id", F.shiftright(text_key(F.col("text")), 32).alias("tk"), "text") \
-        .join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_k"))).select("doc_id", "tk", "r", "text")
+    texts = marked_texts(docs, per, "_k", F.shiftright(text_key(F.col("text")), 32)) \
+        .join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", F.col("key").alias("tk"), "r", "text")
 
     def run(batches):
         for b in batches:
@@ -203,7 +203,7 @@ def aligned_pieces(docs: DataFrame, k: int = K, window: int = WINDOW, max_gap: i
     heads = all_seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count("*").alias("n")).where("n > 1")
     tk = lambda c: F.shiftright(c, 32)
     word = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") if isinstance(c, str) else c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    met = all_seeds.join(heads.select("seed", F.col("head.doc_id").alias("s_id"), F.col("head.at").alias("s_at")), "seed") \
+    met = skewed_join(all_seeds, heads.select("seed", F.col("head.doc_id").alias("s_id"), F.col("head.at").alias("s_at")), "seed") \
         .where(~(F.col("doc_id").eqNullSafe(F.col("s_id")) & (tk("at") == tk("s_at")))) \
         .select("doc_id", tk("at").alias("tk"), "s_id", tk("s_at").alias("s_tk"), word("at").alias("q"), word("s_at").alias("t")) \
         .withColumn("pair", F.xxhash64("doc_id", "tk", "s_id", "s_tk"))
