@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import ascii_lower, staged, table
+from ._spark import ascii_lower, skewed_join, staged, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -84,13 +84,13 @@ def personalised_pagerank(hosts: DataFrame, edges: DataFrame, seed: str, rounds:
     seed column; each round a host passes ``damping`` percent of its rank on,
     by the weight of its links, and seeds get the rest in equal parts."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    edges = staged(edges.join(out, "src"), "trust-edges")
+    edges = staged(skewed_join(edges, out, "src"), "trust-edges")
     seeds = hosts.agg(F.sum(seed).alias("n")).first()["n"] or 0  # one number
     base = hosts.select("host", (F.col(seed) * F.lit(MASS // max(seeds, 1))).cast("bigint").alias("start"))
     rank = base.select("host", F.col("start").alias("rank"))
     kept = F.expr(f"start * {100 - damping} div 100")
     for i in range(rounds):
-        passed = edges.join(rank.where("rank > 0"), F.col("src") == F.col("host")) \
+        passed = skewed_join(edges, rank.where("rank > 0").withColumnRenamed("host", "src"), "src") \
             .select(F.col("dst").alias("host"), F.expr(f"cast(rank * {damping} div 100 as decimal(38,0)) * n div total").alias("got")) \
             .groupBy("host").agg(F.sum("got").cast("bigint").alias("got"))
         rank = base.join(passed, "host", "left") \
@@ -102,7 +102,7 @@ def personalised_pagerank(hosts: DataFrame, edges: DataFrame, seed: str, rounds:
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, rounds: int = 10) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust
-    (the host's scores in units of the mean share; NULL without a host)."""
+    (the host's scores in units of the mean share)."""
     rule, rule_verdict = rule_for(F.col("host"), F.col("path"), rules)
     read = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = read.select("page_id", "host", "path", rule.alias("rule"), rule_verdict.alias("_v"))
@@ -123,7 +123,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, rounds: in
     limit = int(threshold * MASS) // max(count, 1)
     method = F.when((d >= limit) & (d > t) & (d > 0), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("_v", method).alias("verdict"),
-                         (F.col("t") * count / MASS).alias("trust"), (F.col("d") * count / MASS).alias("distrust"))
+                         (t.cast("double") * count / MASS).alias("trust"), (d.cast("double") * count / MASS).alias("distrust"))
 
 
 def op1_host_trust(spark, sf_dir: str) -> DataFrame:
