@@ -26,7 +26,7 @@ def awkward_documents():
         1: base, 2: base, 3: base.upper(), 4: " ".join(near), 5: None, 6: "", 7: " \n\t ", 8: "123 456 !!", 9: "one", 10: "one two three four",
         11: sentence(rng, 80) + "\n" + passage + "\n" + sentence(rng, 80), 12: sentence(rng, 90) + " " + passage + " " + sentence(rng, 60),
         13: passage, 14: "Licensed under CC BY-NC 4.0. cc by cc by\nAll Rights Reserved.", 15: "GNU General Public License, version 3 " + sentence(rng, 30),
-        16: sentence(rng, 5000), 17: "été über ñandú — “quoted” 東京 и так", 18: "— … “”", 19: sentence(rng, 40, LANGS["de"]), 20: sentence(rng, 60, LANGS["de"]),
+        16: sentence(rng, 30_000), 17: "été über ñandú — “quoted” 東京 и так", 18: "— … “”", 19: sentence(rng, 40, LANGS["de"]), 20: sentence(rng, 60, LANGS["de"]),
         21: "a\x0bb\x0cc\x1cd e", 22: "This work is licensed under the GNU General Public License, version 3.",
         23: "Released under the new MIT License", 24: "one two three four", 25: "bench " + sentence(rng, 6),
     }

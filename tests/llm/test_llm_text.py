@@ -38,8 +38,10 @@ def test_hilbert_neighbours_are_one_step_apart():
         assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True))
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True),
+                 st.lists(st.tuples(st.integers(1, 150), st.integers(1, 150)), min_size=1, max_size=25)
+                 .map(lambda x: list(zip(np.cumsum([a for a, _ in x]).tolist(), np.cumsum([b for _, b in x]).tolist())))))
 def test_best_chain_equals_the_quadratic_search(points):
     q, t = np.array([x for x, _ in points]), np.array([y for _, y in points])
     k, gap = 8, passages.GAP
