@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -91,9 +91,8 @@ def kgrams(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return at, mix(h[at])
 
 
-def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; NULL is the empty text."""
-    col = batch.column(batch.schema.get_field_index(name))
     if col.null_count:
         col = pc.fill_null(col, "")
     wide = pa.types.is_large_string(col.type)
@@ -103,13 +102,19 @@ def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)), off
 
 
-def chunks(batch: pa.RecordBatch, name: str, table: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, their words), some ``limit`` bytes each."""
-    data, off = text_column(batch, name)
+def chunks(batch: pa.RecordBatch, name: str, table: np.ndarray, limit: int = CHUNK_BYTES, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, their words), some ``limit`` bytes each;
+    ``lower`` takes the texts in lower case (not only A-Z)."""
+    col = batch.column(batch.schema.get_field_index(name))
+    data, off = text_column(col)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-        yield i, j, Words(data[off[i]:off[j]], off[i:j + 1] - off[i], table)
+        if lower:
+            low, at = text_column(pc.utf8_lower(col.slice(i, j - i)))
+            yield i, j, Words(low[at[0]:at[-1]], at - at[0], table)
+        else:
+            yield i, j, Words(data[off[i]:off[j]], off[i:j + 1] - off[i], table)
         i = j
 
 

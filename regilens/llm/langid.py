@@ -40,7 +40,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             langs, code = np.unique(np.asarray(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
-            for i, j, w in chunks(b, "text", LETTERS, 4 << 20):
+            for i, j, w in chunks(b, "text", LETTERS, 2 << 20, lower=True):
                 lang = code[i:j][w.doc]
                 order = np.lexsort((w.hash, lang))
                 h, g = w.hash[order], lang[order]
@@ -49,7 +49,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(langs[g[new]].tolist(), pa.string()), pa.array(h[new].view(np.int64)), pa.array([w.text(x) for x in at], pa.string()),
                      pa.array(np.diff(np.append(new, len(h))).astype(np.int64))], ["lang", "h", "word", "n"])
-    return labelled.select(F.lower("text").alias("text"), "lang").mapInArrow(run, "lang string, h long, word string, n long") \
+    return labelled.select("text", "lang").mapInArrow(run, "lang string, h long, word string, n long") \
         .groupBy("lang", "h").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
 
 
@@ -141,13 +141,15 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
     """``keep`` columns of every row, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
+    sent = names + ([] if "text" in names else ["text"])  # the text goes to Python once
+    at = sent.index("text")
 
     def run(batches):
         m = shared.value
         langs = m["langs"]
         for b in batches:
-            raw = b.column(len(names) + 1)
-            for i, j, w in chunks(b, "_text", LETTERS):
+            raw = b.column(at)
+            for i, j, w in chunks(b, f"c{at}", LETTERS, lower=True):
                 uniq, first, inv = np.unique(w.hash, return_index=True, return_inverse=True)
                 votes = word_votes([w.text(x) for x in first], uniq, m) if langs else np.zeros((len(uniq), 0), np.float32)
                 total = np.stack([np.bincount(w.doc, votes[inv, k], w.n_docs) + m["prior"][k] for k in range(len(langs))], 1) if langs else np.zeros((w.n_docs, 0))
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
                     [f"c{k}" for k in range(len(names))] + ["lang_pred", "score"])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"c{k} {kinds[c]}" for k, c in enumerate(names)] + ["lang_pred string", "score double"])
-    read = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.lower("text").alias("_text"), F.col("text").alias("_raw"))
+    read = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(sent)])
     return read.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
 
 
