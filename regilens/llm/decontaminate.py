@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._spark import hash_bitmap, marked, staged, table, text_key
+from ._spark import hash_bitmap, marked, marked_texts, staged, table, text_key
 from ._text import WORDS, chunks, list_array, lists, signed
 
 WIDTH = 10
@@ -120,8 +120,8 @@ def exact_matches(docs: DataFrame, items: DataFrame, terms: DataFrame, index: Da
     per_doc = found.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(
                                                                                   F.collect_list(F.struct("item_id", "start", "words")).alias("c"))
     per_doc = staged(per_doc.select("_d", "_t", "c"), "leak-by-text")
-    key = docs.select("doc_id", text_key(F.col("text")).alias("t"), "text")
-    joined = key.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "c")
+    joined = marked_texts(docs, per_doc, "_t", text_key(F.col("text"))) \
+        .join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t"))).select("doc_id", F.col("key").alias("t"), "text", "c")
 
     def run(batches):
         for b in batches:
