@@ -85,10 +85,29 @@ def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     return docs.select("doc_id", text_key(F.col("text")).alias("t"), "text").mapInArrow(run, "seed long, doc_id long, at long")
 
 
+def _ordered_chains(order: np.ndarray, way: np.ndarray, k: int, gap: float) -> list[np.ndarray]:
+    """The same for matches that are all in order already: the best predecessor
+    is then the one just before (an earlier one pays at least as much), so the
+    scores are one running maximum."""
+    step = np.concatenate([[0.0], k - gap * (np.diff(way) - 2.0 * k)])
+    total = np.cumsum(step)
+    score = total + np.maximum.accumulate(k - total)
+    starts = np.concatenate([[0], np.flatnonzero(score[:-1] + step[1:] <= k) + 1])
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(order)]):
+        while a < b:  # what follows the best end is a chain of its own
+            end = a + int(np.argmax(score[a:b])) + 1
+            out.append((score[end - 1], order[a:end]))
+            a = end
+    return [c for _, c in sorted(out, key=lambda x: -x[0])]
+
+
 def chain(q: np.ndarray, t: np.ndarray, k: int, gap: float = GAP) -> list[np.ndarray]:
     """Collinear chains of matches (q, t), best first, as index arrays in
     order; every match is in at most one."""
     order = np.lexsort((q, t))
+    if len(q) < 2 or ((np.diff(q[order]) > 0).all() and (np.diff(t[order]) > 0).all()):
+        return _ordered_chains(order, (q + t)[order], k, gap)
     rank = np.unique(q, return_inverse=True)[1] + 1
     size = int(rank.max(initial=0))
     tree, holder = [-1e18] * (size + 1), [-1] * (size + 1)
@@ -213,7 +232,8 @@ def aligned_pieces(docs: DataFrame, k: int = K, window: int = WINDOW, max_gap: i
         for b in runs(batches):
             q, t = b.column(5).to_numpy(), b.column(6).to_numpy()
             if len(q) > 1:
-                q, t = np.unique(np.stack([q, t], 1), axis=0).T  # equal rows count once
+                both = np.unique(t.astype(np.int64) << 32 | q)  # equal rows count once
+                q, t = both & 0xFFFFFFFF, both >> 32
             kept = []
             for c in chain(q, t, k):
                 for s in _parts(q[c], t[c], max_gap):
