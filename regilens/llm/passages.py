@@ -11,7 +11,12 @@
    either text, and its best predecessor is the maximum over a Fenwick tree.
 4. Chains are aligned with the words of both texts: gaps are compared, both
    ends extended, chains split where the texts differ for long.
-5. Aligned pieces of a document that touch are merged; passages of at least
+5. Runs of ``min_words`` equal words are found exactly besides. All but the
+   ends of such a run is dense with seeds that some other document has too, so
+   only those stretches are read: each of their runs of ``min_words`` words is
+   a hash that meets its own first place, by groups of neighbours if it can. A run within itself (one word over and
+   over) or with seeds that first stand elsewhere is found like any other.
+6. Pieces of a document that touch are merged; passages of at least
    ``min_words`` words are repeated. The first document keeps its copy.
 
 A hot seed is one row per task before the join, and the skew join splits its
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ._spark import marked_texts, skewed_join, staged, table, text_key
-from ._text import WORDS, Words, chunks, kgrams, list_array, runs
+from ._text import _BASE, _INVERSE, WORDS, Words, _power, chunks, kgrams, list_array, mix, runs
 
 K = 8
 WINDOW = 16
@@ -218,7 +223,10 @@ def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def aligned_pieces(docs: DataFrame, k: int = K, window: int = WINDOW, max_gap: int = MAX_GAP) -> DataFrame:
     """(doc_id, tk, start, end, source_id, source_tk, source_start, source_end,
     equal): pieces of texts that repeat an earlier document's words."""
-    all_seeds = staged(seeds(docs, k, window), "passage-seeds")
+    return _aligned(docs, staged(seeds(docs, k, window), "passage-seeds"), k, max_gap)
+
+
+def _aligned(docs: DataFrame, all_seeds: DataFrame, k: int, max_gap: int) -> DataFrame:
     heads = all_seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count("*").alias("n")).where("n > 1")
     tk = lambda c: F.shiftright(c, 32)
     word = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") if isinstance(c, str) else c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
@@ -280,13 +288,126 @@ def aligned_pieces(docs: DataFrame, k: int = K, window: int = WINDOW, max_gap: i
         aligned, "doc_id long, tk long, source_id long, source_tk long, start int, end int, source_start int, source_end int, equal int")
 
 
+def _stretches(all_seeds: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
+    """(doc_id, tk, lo, hi): stretches of texts that hold every run of
+    ``min_words`` words another document has too. Any ``window`` k-grams within
+    such a run share a seed, so its common seeds are at most ``window`` apart
+    and the first and last less than ``window`` from its ends."""
+    owner = F.struct("doc_id", F.shiftright("at", 32).alias("tk"))
+    common = all_seeds.groupBy("seed").agg(F.min(owner).alias("a"), F.max(owner).alias("z")).where("a <> z").select("seed")
+    at = skewed_join(all_seeds, common, "seed").select("doc_id", F.shiftright("at", 32).alias("tk"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
+    by = W.partitionBy("doc_id", "tk").orderBy("p")
+    new = F.coalesce(F.col("p") - F.lag("p").over(by) > window, F.lit(True)).cast("int")
+    return at.withColumn("_new", new).withColumn("_g", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))) \
+        .groupBy("doc_id", "tk", "_g").agg((F.min("p") - (window - 1)).alias("lo"), (F.max("p") + k + window - 1).alias("hi")) \
+        .where(F.col("hi") - F.greatest("lo", F.lit(0)) >= min_words).select("doc_id", "tk", "lo", "hi")
+
+
+def long_grams(w: Words, n: int) -> np.ndarray:
+    """Hash of the n words from each word on (also across texts), from one running sum."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * _power(_BASE, len(w.hash)), dtype=np.uint64)])
+    return mix((total[n:] - total[:-n]) * _power(_INVERSE, len(w.hash))[:len(total) - n])
+
+
+def anchored(w: Words, asked: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The asked n-word runs (by first word) in groups of neighbours: each group's
+    first run (as its number in ``asked``), anchor hash and content hash, and every
+    run's hash. A run's anchor is its k-gram of smallest hash, the leftmost of
+    ties, so equal runs have equal anchors."""
+    if not len(asked):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    k = min(k, n)
+    small = long_grams(w, k)
+    bits = np.uint64(max(24, len(small).bit_length()))
+    place = _sliding((small >> bits) << bits | np.arange(len(small), dtype=np.uint64), n - k + 1, np.minimum)[asked]
+    place = (place & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    h = long_grams(w, n)[asked]
+    first = np.concatenate([[0], np.flatnonzero((np.diff(asked) != 1) | (np.diff(place) != 0)) + 1])
+    size = np.diff(np.append(first, len(asked))).astype(np.uint64)
+    content = mix(np.add.reduceat(h * _power(_BASE, len(h)), first) * _power(_INVERSE, len(h))[first] + size)
+    return first, small[place[first]], content, h
+
+
+def exact_runs(docs: DataFrame, all_seeds: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
+    """(doc_id, tk, start, end, source_id, source_start, equal): every run of
+    ``min_words`` equal words or more that an earlier document has, by the
+    document that has it first; ``equal`` and ``source_start`` are those of the
+    longest run on one diagonal. Neighbouring runs with one anchor are one row.
+    If all rows of an anchor have the same content, the first of them is the
+    first place of all its runs; only other anchors' runs are joined singly."""
+    per = staged(_stretches(all_seeds, k, window, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("tk").alias("_k"))
+                 .agg(F.collect_list(F.struct("lo", "hi")).alias("r")), "passage-stretches")
+    texts = marked_texts(docs, per, "_k", F.shiftright(text_key(F.col("text")), 32)) \
+        .join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", "key", "r", "text")
+
+    def grams(batches):
+        for b in batches:
+            key = b.column(1).to_numpy() << 32
+            for i, j, w in chunks(b, "text", WORDS):
+                edge = np.zeros(len(w.hash) + 1, np.int64)
+                for x, regions in enumerate(b.column(2)[i:j].to_pylist()):
+                    a, z = w.first[x], w.first[x + 1]
+                    for r in regions:
+                        lo, hi = a + max(r["lo"], 0), min(a + r["hi"], z) - min_words + 1
+                        if hi > lo:
+                            edge[lo] += 1
+                            edge[hi] -= 1
+                asked = np.flatnonzero(np.cumsum(edge[:-1]))
+                first, anchor, content, h = anchored(w, asked, k, min_words)
+                at = asked[first]
+                doc = w.doc[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), b.column(0)[i:j].take(pa.array(doc)), pa.array(key[i:j][doc] | w.index_in_doc()[at]),
+                     list_array(h.view(np.int64), np.diff(np.append(first, len(asked))), pa.int64())], ["anchor", "content", "doc_id", "at", "grams"])
+    tk = lambda c: F.shiftright(c, 32)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("s_id")) & (tk("at") == tk("s_at")))
+    groups = staged(texts.mapInArrow(grams, "anchor long, content long, doc_id long, at long, grams array<long>"), "passage-groups")
+    owner = F.struct("doc_id", tk("at").alias("tk"))
+    anchors = groups.groupBy("anchor").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.min(owner).alias("a"), F.max(owner).alias("z"),
+                                           (F.min("content") != F.max("content")).alias("mixed")).where("a <> z")
+    met = staged(skewed_join(groups, anchors.select("anchor", "mixed", F.col("head.doc_id").alias("s_id"), F.col("head.at").alias("s_at")), "anchor")
+                 .where(F.col("mixed") | other)
+                 .select("doc_id", "at", "s_id", "s_at", "mixed", F.size("grams").alias("n"), F.when(F.col("mixed"), F.col("grams")).alias("grams")), "passage-anchors")
+    placed = met.where("mixed").select("doc_id", "at", F.posexplode("grams").alias("i", "run")).select("run", "doc_id", (F.col("at") + F.col("i")).alias("at"))
+    first = placed.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    single = skewed_join(placed, first.select("run", F.col("head.doc_id").alias("s_id"), F.col("head.at").alias("s_at")), "run").where(other)
+    found = met.where("not mixed").select("doc_id", "at", "s_id", "s_at", "n").unionByName(single.select("doc_id", "at", "s_id", "s_at", F.lit(1).alias("n")))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def joined(batches):
+        for b in runs(batches):
+            n = b.column(5).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at, one = np.unique(b.column(3).to_numpy()[row] + step, return_index=True)  # equal rows count once
+            s, own = b.column(4).to_numpy()[row[one]] + step[one], b.column(2).take(pa.array(row[one]))
+            none = own.is_null().to_numpy(zero_copy_only=False)
+            source = own.fill_null(0).to_numpy()
+            breaks = (np.diff(at) != 1) | (np.diff(s >> 32) != 0) | (np.diff(source) != 0) | (none[1:] != none[:-1])
+            piece = np.concatenate([[0], np.flatnonzero(breaks) + 1])
+            line = np.concatenate([[0], np.flatnonzero(breaks | (np.diff(s) != 1)) + 1])
+            size = np.diff(np.append(line, len(at)))
+            of = np.searchsorted(piece, line, side="right") - 1
+            order = np.lexsort((line, -size, of))
+            best = order[np.concatenate([[True], np.diff(of[order]) != 0])]
+            last = np.append(piece[1:], len(at)) - 1
+            word = lambda x: pa.array((x & 0xFFFFFFFF).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1).take(pa.array(np.zeros(len(piece), np.int64))), pa.array(at[piece] >> 32), word(at[piece]), word(at[last] + min_words), own.take(pa.array(piece)),
+                 word(s[line[best]]), pa.array((size[best] + min_words - 1).astype(np.int32))], ["doc_id", "tk", "start", "end", "source_id", "source_start", "equal"])
+    return found.select(F.xxhash64("doc_id", tk("at")).alias("pair"), "doc_id", "s_id", "at", "s_at", "n").repartition(parts, "pair").sortWithinPartitions("pair") \
+        .mapInArrow(joined, "doc_id long, tk long, start int, end int, source_id long, source_start int, equal int")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, tk, start, end, source_id, source_start, equal): one row per
     repeated passage, words from ``start`` up to before ``end``; source_id is
     the document that keeps the (longest piece of the) passage."""
     by = W.partitionBy("doc_id", "tk").orderBy("start", "end")
     upto = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    pieces = aligned_pieces(docs, k, window)
+    all_seeds = staged(seeds(docs, k, window), "passage-seeds")
+    names = ("doc_id", "tk", "start", "end", "source_id", "source_start", "equal")
+    pieces = _aligned(docs, all_seeds, k, MAX_GAP).select(*names).unionByName(exact_runs(docs, all_seeds, k, window, min_words))
     grouped = pieces.withColumn("_new", F.coalesce(F.col("start") > upto + 2, F.lit(True)).cast("int")) \
         .withColumn("_g", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return grouped.groupBy("doc_id", "tk", "_g").agg(

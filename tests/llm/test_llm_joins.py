@@ -125,6 +125,26 @@ def test_passages_cover_repeated_runs_and_spare_clean_texts(spark):
     assert 100 <= len(got[101]) <= 125
 
 
+def test_runs_within_themselves_and_with_borrowed_seeds_are_found(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    run = text(50)
+    parts = run.split()
+    rows = [(i, f"{text(30)} {' '.join(parts[i:i + 30])} {text(30)}") for i in range(0, 21, 5)]  # its seeds first stand in texts of their own
+    rows += [(30, f"{text(40)} {run} {text(40)}"), (31, f"{text(60)} {run} {text(20)}")]
+    rows += [(40, f"{text(40)} {'la ' * 80}{text(40)}"), (41, f"{text(20)} {'la ' * 120}{text(30)}"), (42, f"{text(20)} {'la ' * 45}{text(30)}")]
+    line = text(4)
+    rows += [(50, f"{text(40)} {' '.join([line] * 20)} {text(40)}"), (51, f"{text(10)} {' '.join([line] * 30)} {text(40)}"), (None, f"{text(80)} {'do ' * 60}"), (60, f"{'do ' * 55}{text(20)}")]
+    got = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    want = covered([(-1 if d is None else d, t) for d, t in rows])
+    assert want[31].sum() >= 50 and want[41].sum() >= 80 and want[51].sum() >= 80 and want[60].sum() >= 55
+    for d, _ in rows:
+        assert not set(np.flatnonzero(want[-1 if d is None else d]).tolist()) - got[d], d
+    assert not any(got[d] for d in (0, 5, 10, 15, 20, 40, 42, 50, None))
+
+
 def test_cut_removes_the_passages_and_keeps_other_texts(spark, tables):
     docs = spark.createDataFrame([(1, "Éa b, c d e. f", 9, "x"), (2, "a b c", 5, "y"), (3, None, None, None), (4, "", 0, "z"), (5, "same text", 9, "q")],
                                  "doc_id long, text string, n_chars int, __spans string")
