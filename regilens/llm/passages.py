@@ -16,8 +16,9 @@
    only those stretches are read: each of their runs of ``min_words`` words is
    a hash that meets its own first place, by groups of neighbours if it can. A run within itself (one word over and
    over) or with seeds that first stand elsewhere is found like any other.
-6. Pieces of a document that touch are merged; passages of at least
-   ``min_words`` words are repeated. The first document keeps its copy.
+6. Pieces of a document that touch are merged, first those of one source:
+   they are repeated if they have ``min_words`` words by then. The first
+   document keeps its copy.
 
 A hot seed is one row per task before the join, and the skew join splits its
 places; regions of a text that many chains ask for are cut out once. Words are
@@ -407,7 +408,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     upto = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     all_seeds = staged(seeds(docs, k, window), "passage-seeds")
     names = ("doc_id", "tk", "start", "end", "source_id", "source_start", "equal")
-    pieces = _aligned(docs, all_seeds, k, MAX_GAP).select(*names).unionByName(exact_runs(docs, all_seeds, k, window, min_words))
+    one = ("doc_id", "tk", "source_id", "source_tk")
+    before = W.partitionBy(*one).orderBy("start", "end")
+    span = W.partitionBy(*one, "_s")
+    pieces = _aligned(docs, all_seeds, k, MAX_GAP) \
+        .withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1)) + 2, F.lit(True)).cast("int")) \
+        .withColumn("_s", F.sum("_new").over(before.rowsBetween(W.unboundedPreceding, W.currentRow))) \
+        .withColumn("_n", F.max("end").over(span) - F.min("start").over(span)).where(F.col("_n") >= min_words).select(*names).unionByName(exact_runs(docs, all_seeds, k, window, min_words))
     grouped = pieces.withColumn("_new", F.coalesce(F.col("start") > upto + 2, F.lit(True)).cast("int")) \
         .withColumn("_g", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return grouped.groupBy("doc_id", "tk", "_g").agg(

@@ -145,6 +145,17 @@ def test_runs_within_themselves_and_with_borrowed_seeds_are_found(spark):
     assert not any(got[d] for d in (0, 5, 10, 15, 20, 40, 42, 50, None))
 
 
+def test_short_lines_of_two_sources_are_no_passage(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    a, b = text(40), text(40)
+    rows = [(1, f"{text(30)} {a} {text(30)}"), (2, f"{text(30)} {b} {text(30)}"), (3, f"{text(20)} {a} {b} {text(20)}")]
+    assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    rows += [(4, f"{text(20)} {a} {b} {text(20)}")]
+    (r,) = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert r["doc_id"] == 4 and r["end"] - r["start"] >= 80
+
+
 def test_cut_removes_the_passages_and_keeps_other_texts(spark, tables):
     docs = spark.createDataFrame([(1, "Éa b, c d e. f", 9, "x"), (2, "a b c", 5, "y"), (3, None, None, None), (4, "", 0, "z"), (5, "same text", 9, "q")],
                                  "doc_id long, text string, n_chars int, __spans string")
