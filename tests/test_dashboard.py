@@ -4,7 +4,7 @@ queries."""
 import tempfile
 from collections import Counter
 
-from conftest import SF_SMOKE
+from paths import SF_SMOKE
 from regilens.plans import catalog
 from regilens.plans.dashboard import refresh_dashboard
 from regilens.plans.star import fixture_star

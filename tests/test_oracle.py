@@ -4,7 +4,7 @@ driver's correctness scale): row count, column names and types, values."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_ORACLE
+from paths import SF_ORACLE
 from oracle_harness import compare, duck, order_problems
 from regilens.plans import catalog
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMOKE
+from paths import SF_SMOKE
 from regilens.plans import catalog
 from regilens.plans.star import fixture_star
 

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from conftest import SF_ORACLE
+from paths import SF_ORACLE
 from regilens.sources import STAGE_SCHEMAS, load_stages, read_stage
 
 

@@ -5,7 +5,7 @@ import os
 import tempfile
 from collections import Counter
 
-from conftest import SF_SMOKE
+from paths import SF_SMOKE
 from regilens.plans import build_star, materialise, save_tables
 from regilens.plans.dashboard import TABLES, current_dashboard, refresh_dashboard
 from regilens.sources import load_stages
