@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import curve_search, decontaminate, langid, license_scan, mixing, ngram_join, passages, quality, spelling, suffix_lm, url_trust
+from . import curve_search, decontaminate, hard_negatives, langid, license_scan, mixing, ngram_join, passages, quality, spelling, suffix_lm, url_trust
 
 QUERIES = {
     "op1_host_trust": url_trust.op1_host_trust,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_bradley_terry": quality.op8_bradley_terry,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
+    "op11_rotated_codes": hard_negatives.op11_rotated_codes,
     "op13_spelling_chunks": spelling.op13_spelling_chunks,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,4 +27,5 @@ ORACLES = {
     "op2_license_diagonals": license_scan.ORACLE,
     "op9_positional_index": decontaminate.ORACLE,
     "op10_curriculum_mix": mixing.ORACLE,
+    "op11_rotated_codes": hard_negatives.ORACLE,
 }
