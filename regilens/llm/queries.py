@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import curve_search, decontaminate, hard_negatives, langid, license_scan, mixing, ngram_join, passages, quality, spelling, suffix_lm, url_trust
+from . import curve_search, decontaminate, hard_negatives, langid, license_scan, mixing, near_dedup, ngram_join, passages, quality, spelling, suffix_lm, url_trust
 
 QUERIES = {
     "op1_host_trust": url_trust.op1_host_trust,
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
     "op11_rotated_codes": hard_negatives.op11_rotated_codes,
+    "op12_bayesian_dedup": near_dedup.op12_bayesian_dedup,
     "op13_spelling_chunks": spelling.op13_spelling_chunks,
     "pipeline": corpus_pipeline.run,
 }
@@ -28,4 +29,5 @@ ORACLES = {
     "op9_positional_index": decontaminate.ORACLE,
     "op10_curriculum_mix": mixing.ORACLE,
     "op11_rotated_codes": hard_negatives.ORACLE,
+    "op12_bayesian_dedup": near_dedup.ORACLE,
 }
