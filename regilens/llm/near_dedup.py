@@ -15,9 +15,9 @@
    random order that all buckets share, and all others of another component are
    compared with it; it is settled then and leaves the bucket. A group of near
    copies is one component after a round or two. Of the buckets that still hold
-   several components, the pairs across components are compared by signature
-   within tasks (in blocks, so that no bucket is too large), and those that
-   survive are confirmed as before. So every candidate pair is either inside a
+   several components (as pages of one template, less alike than the threshold),
+   the pairs across components are compared by signature and confirmed within
+   tasks, in blocks of bounded size. So every candidate pair is either inside a
    component already or has been compared.
 
 A link at the threshold shares no bucket with probability 4e-7 and is pruned
@@ -49,7 +49,7 @@ ROWS = 5
 BATCH = 25
 ROUNDS = 2
 MISS = 1e-6
-BUCKET_BLOCK = 512
+STAR_NODES = 2048
 STAR_SHINGLES = 1 << 19
 
 
@@ -66,12 +66,12 @@ def least_agreements(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float, batch: int = BATCH) -> np.ndarray:
-    """Rows whose signatures in ``a`` and ``b`` pass every batch."""
-    alive, agree = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for k in range(0, a.shape[1], batch):
-        agree[alive] += (a[alive, k:k + batch] == b[alive, k:k + batch]).sum(1)
-        alive = alive[agree[alive] >= least_agreements(min(k + batch, a.shape[1]), threshold, miss)]
+def survivors(sig: np.ndarray, other: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float, miss: float, batch: int = BATCH) -> np.ndarray:
+    """Which of the pairs (row p of ``sig``, row q of ``other``) pass every batch."""
+    alive, agree = np.arange(len(p)), np.zeros(len(p), np.int64)
+    for k in range(0, sig.shape[1], batch):
+        agree[alive] += (sig[p[alive], k:k + batch] == other[q[alive], k:k + batch]).sum(1)
+        alive = alive[agree[alive] >= least_agreements(min(k + batch, sig.shape[1]), threshold, miss)]
     return alive
 
 
@@ -136,53 +136,93 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> D
     def run(batches):
         for b in batches:
             if b.num_rows:
-                keep = survivors(_rows(b.column(2)), _rows(b.column(3)), percent / 100, miss)
+                each = np.arange(b.num_rows)
+                keep = survivors(_rows(b.column(2)), _rows(b.column(3)), each, each, percent / 100, miss)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], ["a", "b"])
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(buckets: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
-    """(a, b): pairs of one bucket, of different components, whose signatures
-    leave a chance. A bucket is cut into blocks, a task meets two of them."""
-    sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    dealt = skewed_join(buckets, sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    units = dealt.select("bucket", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
-        .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), 2)
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, grams): the shingle sets of the classes asked for."""
+    asked = staged(nodes.distinct().join(classes.select("node", F.col("rep.doc_id").alias("_d"), F.col("rep.t").alias("_t")), "node"), "dedup-asked")
+    texts = marked_texts(docs, asked, "_t", text_key(F.col("text"))) \
+        .join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t"))).select("node", "text")
+
+    def sets(batches):
+        for b in batches:
+            for i, j, w in chunks(b, "text", TOKENS):
+                doc, h = shingle_sets(w)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], list_array(h.view(np.int64), np.bincount(doc, minlength=w.n_docs), pa.int64())], ["node", "grams"])
+    # a row that is repeated gives its set as often: one each
+    return staged(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), "dedup-sets")
+
+
+def _find(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) between different components within buckets, enough to
+    connect what is connected. Buckets that name the same member are one star; a
+    star is cut into blocks, and a task meets two blocks: the pairs across
+    components are pruned by signature, and what survives is confirmed on the
+    full sets unless links found before join it already. Pairs are never rows."""
+    named = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(-1)).alias("o"), "node")).alias("c")).select("bucket", F.col("c.node").alias("star"))
+    stars = staged(skewed_join(buckets, named, "bucket").select("star", "node", "root").distinct(), "dedup-across")
+    full = full_sets(stars.select("node"), classes, docs)
+    sizes = stars.join(classes.select("node", "n"), "node").groupBy("star").agg(
+        F.ceil(F.greatest(F.sum("n") / STAR_SHINGLES, F.count("*") / STAR_NODES)).cast("int").alias("blocks"))
+    dealt = skewed_join(stars, sizes, "star").withColumn("own", F.pmod(F.xxhash64("node", "star"), F.col("blocks")).cast("int"))
+    units = dealt.select("star", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
+        .select(F.xxhash64("star", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), 2)
                 .otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "node", "root")
     parts = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = skewed_join(units, classes.select("node", "n", "sig"), "node").select("unit", "side", "node", "root", "n", "sig")
+    rows = skewed_join(skewed_join(units, classes.select("node", "n", "sig"), "node"), full, "node").select("unit", "side", "node", "root", "n", "sig", "grams")
 
     def run(batches):
         for b in runs(batches):
             side, node, root, n, sig = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(), _rows(b.column(5))
+            column = b.column(6)
+            off = column.offsets.to_numpy().astype(np.int64)
+            flat = column.values.to_numpy(zero_copy_only=False)
             one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the block with itself
-            for i in range(0, len(one), 64):
-                x = one[i:i + 64]
+            roots, group = np.unique(root, return_inverse=True)
+            parent, group = list(range(len(roots))), group.tolist()  # of each row its component, by number
+            found = []
+            step = max(1, (1 << 16) // max(1, len(two)))
+            for i in range(0, len(one), step):
+                x = one[i:i + step]
                 open_ = (root[x][:, None] != root[two][None, :]) & (100 * np.minimum(n[x][:, None], n[two][None, :]) >= percent * np.maximum(n[x][:, None], n[two][None, :]))
-                if len(side) and (side == 2).any():
+                if (side == 2).any():
                     open_ &= node[x][:, None] < node[two][None, :]
                 p, q = np.nonzero(open_)
                 p, q = x[p], two[q]
-                keep = survivors(sig[p], sig[q], percent / 100, miss)
-                a, c = node[p[keep]], node[q[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
-    return rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
+                keep = survivors(sig, sig, p, q, percent / 100, miss)
+                p, q = p[keep], q[keep]
+                for k in np.unique(p).tolist():
+                    mine = _find(parent, group[k])
+                    ask = [y for y in q[p == k].tolist() if _find(parent, group[y]) != mine]
+                    if not ask:
+                        continue
+                    held = flat[off[k]:off[k + 1]]  # in the order of unsigned values
+                    hit, _ = in_sorted(held.view(np.uint64), np.concatenate([flat[off[y]:off[y + 1]] for y in ask]).view(np.uint64))
+                    size = n[ask]
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    both = np.diff(np.concatenate([[0], np.cumsum(hit)])[ends])
+                    for y in np.flatnonzero(100 * both >= percent * (len(held) + size - both)).tolist():
+                        r, t = _find(parent, group[k]), _find(parent, group[ask[y]])
+                        if r != t:
+                            parent[r] = t
+                            found.append((node[k], node[ask[y]]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+    return rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = staged(nodes.join(classes.select("node", F.col("rep.doc_id").alias("_d"), F.col("rep.t").alias("_t")), "node"), "dedup-asked")
-    texts = marked_texts(docs, asked, "_t", text_key(F.col("text"))) \
-        .join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t"))).select("node", "text")
-
-    def sets(batches):
-        for b in batches:
-            for i, j, w in chunks(b, "text", TOKENS):
-                doc, h = shingle_sets(w)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], list_array(h.view(np.int64), np.bincount(doc, minlength=w.n_docs), pa.int64())], ["node", "grams"])
-    # a row that is repeated gives its set as often: one each
-    full = staged(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), "dedup-sets")
+    full = full_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), classes, docs)
     volume = pairs.join(classes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / STAR_SHINGLES).cast("int").alias("blocks"))
     volume = staged(volume, "dedup-stars")
     members = skewed_join(pairs, volume, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("node"))
@@ -227,14 +267,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, roun
                 .select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("its_root"))
             led = staged(skewed_join(buckets, centre, "bucket").where("node <> centre"), "dedup-led")
             tried = pruned(led.where("root <> its_root").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), classes, percent, miss)
-            rest = led.select("bucket", "node", "root")
+            found = confirmed(staged(tried, "dedup-pairs"), classes, docs, percent)
+            rest = led.select("bucket", "node")
         else:
-            tried = across(buckets, classes, percent, miss)
-        found = staged(confirmed(staged(tried, "dedup-pairs"), classes, docs, percent), "dedup-links")
+            found = across(buckets, classes, docs, percent, miss)
+        found = staged(found, "dedup-links")
         edges = found if edges is None else edges.unionByName(found)
         roots = staged(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "dedup"), "dedup-roots")
         if r < rounds:  # buckets that still hold several components
-            moved = skewed_join(rest.select("bucket", "node"), roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+            moved = skewed_join(rest, roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
             moved = staged(moved, "dedup-moved")
             several = moved.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
             buckets = staged(skewed_join(moved, several, "bucket"), "dedup-buckets")
