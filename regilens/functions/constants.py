@@ -7,6 +7,8 @@ operator takes them as overridable parameters.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 # --- FIXED VALUES: event (transaction) types --------------------------------
 LATE_PAYMENT = "Late Payment Penalty Fee"
 PROMPT_PAYMENT = "Prompt Payment"
@@ -38,6 +40,7 @@ TRANSACTION_KEY_RENAMES = {"Account_Number": REGISTRATION_KEY}
 
 # --- FIXED VALUES: thresholds -------------------------------------------------
 MIN_VALID_DATE = "2000-01-01"
+AS_OF = _dt.date(2025, 1, 1)              # run date of the outlier checks, pinned so results are reproducible
 TREND_MIN_YEAR = 2020
 VALUE_LOW, VALUE_HIGH = 0, 500            # money outliers (amount, fee, value)
 DISCOUNT_VALUE_LOW, DISCOUNT_VALUE_HIGH = -100, 100
@@ -73,6 +76,11 @@ TRANSACTION_DUPLICATE_ATTRS = (
     "Transaction_Type", "hash_binary",
 )
 
+# every duplicate check of a table: check name -> its columns
+DOG_DUPLICATE_CHECKS = {"fid": ("FID",), "hash": ("Dog_Number", "hash_binary"), "attributes": DOG_DUPLICATE_ATTRS}
+REGISTRATION_DUPLICATE_CHECKS = {"fid": ("FID",), "hash": (REGISTRATION_KEY, "hash_binary"), "attributes": REGISTRATION_DUPLICATE_ATTRS}
+TRANSACTION_DUPLICATE_CHECKS = {"fid": ("FID",), "hash": (REGISTRATION_KEY, "hash_binary"), "attributes": TRANSACTION_DUPLICATE_ATTRS}
+
 # --- FIXED VALUES: inspection projections ------------------------------------
 DOG_INSPECT_COLUMNS = (
     "Dog_Number", "Kept_At_Suburb", "Kept_At_Post_Code", "Kept_At_Town",

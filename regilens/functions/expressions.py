@@ -7,7 +7,7 @@ import datetime as _dt
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -43,6 +43,13 @@ def equals_text(c: ColumnOrName, value: str, case_insensitive: bool = False,
     return left == F.lit(right)
 
 
+def starts_with(df: DataFrame, column: str, prefix: str) -> Column:
+    """``column LIKE 'prefix%'``. A collation that ignores trailing blanks would
+    drop them from the prefix too; the test then ignores case only."""
+    trims = df.schema[column].dataType.simpleString().endswith("_RTRIM")
+    return (F.collate(column, "UTF8_LCASE") if trims else F.col(column)).startswith(prefix)
+
+
 def year_start(year: int) -> Column:
     """First day of ``year`` as a DATE literal.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regilens.functions import constants as K
-from regilens.functions.expressions import replace_all
+from regilens.functions.expressions import replace_all, starts_with
 
 
 # C01 / C02 -------------------------------------------------------------------
@@ -35,7 +35,7 @@ def standardise_prefix(df: DataFrame, column: str = "Kept_At_Suburb",
     """Rows whose value starts with ``old`` get every occurrence of ``old``
     replaced by ``new`` (SQL ``REPLACE`` semantics); other rows are unchanged."""
     c = F.col(column)
-    return df.withColumn(column, F.when(c.startswith(old), replace_all(c, old, new)).otherwise(c))
+    return df.withColumn(column, F.when(starts_with(df, column, old), replace_all(c, old, new)).otherwise(c))
 
 
 # C05 -------------------------------------------------------------------------

@@ -139,14 +139,20 @@ def late_seasonality(reg: DataFrame, txn: DataFrame, reg_date: str = "Registrati
 
 
 def incentive_uptake(reg: DataFrame, dog: DataFrame, txn: DataFrame, key: str = KEY, dog_key: str = DOG_KEY, geo: str = GEO,
-                     incentives: dict[str, str] | None = None) -> DataFrame:
+                     incentives: dict[str, str] | None = None, rg: DataFrame | None = None) -> DataFrame:
     """Per suburb and incentive: distinct registrations, those with at least
     one transaction of the incentive, and the rate. One flag row per key from
-    one scan of the transactions."""
+    one scan of the transactions. ``rg`` may supply a precomputed
+    :func:`~regilens.operators.analytics.registration_geo`; without it both
+    sides are reduced to distinct pairs before they meet, so a dog number that
+    repeats on both sides makes no row pairs."""
     incentives = INCENTIVES if incentives is None else incentives
     flags = key_flags(txn, key, {name: any_like("Transaction_Type", [p]) for name, p in incentives.items()})
-    homes = (reg.select(key, dog_key).join(dog.filter(F.col(geo).isNotNull()).select(dog_key, geo), dog_key)
-                .select(key, geo).distinct())
+    if rg is not None:  # distinct pairs already
+        homes = rg.filter(F.col(geo).isNotNull()).select(key, geo)
+    else:
+        dims = dog.filter(F.col(geo).isNotNull() & F.col(dog_key).isNotNull()).select(dog_key, geo).distinct()
+        homes = reg.select(key, dog_key).distinct().join(dims, dog_key).select(key, geo).distinct()
     per = homes.join(flags, key, "left").groupBy(geo).agg(
         F.count(key).alias("Registrations"), *[F.count_if(F.col(name) == 1).alias(name) for name in incentives])
     long = per.unpivot([geo, "Registrations"], list(incentives), "Incentive", "Incentive_Count")

@@ -8,13 +8,13 @@ per column."""
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regilens.functions import constants as K
-from regilens.functions.expressions import date_lit, null_flag, pct, try_decimal
+from regilens.functions.expressions import date_lit, null_flag, pct, starts_with, try_decimal
 from regilens.operators.joins import pair_counts
 
 
@@ -72,6 +72,29 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str], name: str = "Duplicate
               .filter(F.col(name) > 1))
 
 
+def duplicate_report(df: DataFrame, checks: Mapping[str, Sequence[str]], name: str = "DuplicateCount") -> DataFrame:
+    """All duplicate checks of a table from one shuffle: ``Check_Name``, the
+    columns of all checks (NULL where a check doesn't use one) and the count.
+
+    Every row is tagged with each check and grouped once by the check and its
+    columns (grouping sets), with partial aggregation on the map side; a NULL
+    key is told from an unused column by the grouping id."""
+    columns = list(dict.fromkeys(c for cols in checks.values() for c in cols))
+    top = len(columns) - 1
+    ids = {check: sum(1 << (top - i) for i, c in enumerate(columns) if c not in cols) for check, cols in checks.items()}
+    if len(set(ids.values())) < len(ids):
+        raise ValueError("two checks use the same columns")
+    grouped = df.groupingSets([[F.col(c) for c in cols] for cols in checks.values()], *columns) \
+        .agg(F.grouping_id().alias("__g"), F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
+    label = F.element_at(F.create_map(*[x for check, g in ids.items() for x in (F.lit(g).cast("bigint"), F.lit(check))]), F.col("__g"))
+    return grouped.select(label.alias("Check_Name"), *columns, name)
+
+
+def duplicates_of(report: DataFrame, checks: Mapping[str, Sequence[str]], check: str, name: str = "DuplicateCount") -> DataFrame:
+    """One check's groups out of a :func:`duplicate_report`."""
+    return report.filter(F.col("Check_Name") == check).select(*checks[check], F.col("DuplicateCount").alias(name))
+
+
 # C20 -----------------------------------------------------------------------------
 def date_order_violations(df: DataFrame, start: str = "Registration_From", end: str = "Registration_To",
                           keep: Sequence[str] = (K.REGISTRATION_KEY, "Registration_From", "Registration_To")
@@ -158,7 +181,7 @@ def numeric_outliers(df: DataFrame, column: str, low: float = K.VALUE_LOW, high:
 def geo_anomalies(df: DataFrame, column: str = "Kept_At_Suburb", prefix: str = K.RURAL_PREFIX,
                   name: str = "CountSuburb") -> DataFrame:
     c = F.col(column)
-    return (df.filter(c.startswith(prefix) | c.isNull())
+    return (df.filter(starts_with(df, column, prefix) | c.isNull())
               .groupBy(column).agg(F.count(F.lit(1)).alias(name))
               .orderBy(F.col(name), F.col(column)))
 

@@ -4,20 +4,21 @@ to a DataFrame; :func:`queries` binds them to ``(spark, sf_dir)``."""
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from regilens.functions import constants as K
 from regilens.operators import analytics as A
+from regilens.operators import audit as U
+from regilens.operators import calendar as T
 from regilens.operators import cleaning as C
 from regilens.operators import marts as M
 from regilens.operators import quality as Q
 from regilens.plans.star import Star, fixture_star
+from regilens.sources.staging import folded, plain
 
-# Run date pinned for the outlier checks so results are reproducible.
-AS_OF = _dt.date(2025, 1, 1)
+AS_OF = K.AS_OF
 
 late = A.late_pred
 disc = A.discount_pred
@@ -145,7 +146,7 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
     d03_category_behaviour=lambda s: M.category_behaviour(s.registration, s.transaction),
     d04_star_wide=lambda s: M.star_wide(s.transaction, s.registration, s.dog),
     d05_seasonality=lambda s: M.seasonality(s.registration),
-    d02_incentive_uptake=lambda s: M.incentive_uptake(s.registration, s.dog, s.transaction),
+    d02_incentive_uptake=lambda s: M.incentive_uptake(s.registration, s.dog, s.transaction, rg=s.geo_pairs),
     d05_late_seasonality=lambda s: M.late_seasonality(s.registration, s.transaction),
     d06_suburb_rankings=lambda s: M.suburb_rankings(s.registration, s.dog, s.transaction, scorecard=A.suburb_scorecard(
         s.registration, s.dog, s.transaction, rg=s.geo_pairs)),
@@ -153,8 +154,54 @@ CATALOG: dict[str, Callable[[Star], DataFrame]] = _q(
 )
 
 
+# --- all duplicate checks of a table from one shuffle -------------------------------
+for _name, _table, _checks in (("dog", "dog_std", K.DOG_DUPLICATE_CHECKS), ("registration", "registration_std", K.REGISTRATION_DUPLICATE_CHECKS),
+                               ("transaction", "transaction_std", K.TRANSACTION_DUPLICATE_CHECKS)):
+    CATALOG[f"c10_duplicate_report_{_name}"] = lambda s, t=_table, c=_checks: Q.duplicate_report(getattr(s, t), c)
+
+# --- audit figures counted by the jobs that wrote the tables ------------------------
+for _name, _table in (("dog", "DimDog"), ("registration", "FactRegistration"), ("transaction", "FactTransaction")):
+    CATALOG[f"c07_null_audit_{_name}_observed"] = lambda s, t=_table: U.null_audit(s.audit(f"{t}_std"))
+    CATALOG[f"c09_null_fid_{_name}_observed"] = lambda s, t=_table: U.figure(s.audit(f"{t}_std"), U.NULLS, "FID", f"NullCount_{t}")
+CATALOG.update(_q(
+    c20_date_order_observed=lambda s: U.figure(s.audit("FactRegistration"), "date_order", "Registration_From", "Violation_Count"),
+    c21_flag_conflict_count_observed=lambda s: U.figure(s.audit("FactRegistration"), "flag_conflict", "Effective_Date", "CountWithDate"),
+    c25_registration_date_outliers_observed=lambda s: U.figure(s.audit("FactRegistration"), "date_outlier", "Registration_From", "Outlier_Count"),
+    c26_transaction_date_outliers_observed=lambda s: U.figure(s.audit("FactTransaction"), "date_outlier", "Transaction_Date", "Outlier_Count"),
+    # --- trends answered from the calendar cube ---------------------------------------
+    c27_registration_year_distribution_cube=lambda s: T.year_distribution(s.calendar, T.REGISTRATION_DATES),
+    c28_transaction_year_distribution_cube=lambda s: T.year_distribution(s.calendar, [T.TRANSACTION_DATE]),
+    e10_late_monthly_all_cube=lambda s: T.monthly_counts(s.calendar, "Is_Late", None, "LatePayment_Count"),
+    e10_total_monthly_cube=lambda s: T.monthly_counts(s.calendar, None, K.TREND_MIN_YEAR, "Transaction_Count"),
+    e10_late_monthly_cube=lambda s: T.monthly_counts(s.calendar, "Is_Late", K.TREND_MIN_YEAR, "LatePayment_Count"),
+    e10_prompt_monthly_cube=lambda s: T.monthly_counts(s.calendar, "Is_Prompt", K.TREND_MIN_YEAR, "PromptPayment_Count"),
+    e10_discount_monthly_cube=lambda s: T.monthly_counts(s.calendar, "Is_Discount", K.TREND_MIN_YEAR, "Discount_Count"),
+    e11_historic_dates_cube=lambda s: T.historic_dates(s.calendar),
+    e28_yearly_registrations_cube=lambda s: T.yearly_counts(s.calendar),
+    e29_missing_by_year_cube=lambda s: T.missing_by_year(s.calendar),
+    e30_monthly_activity_cube=lambda s: T.monthly_activity(s.calendar),
+    d05_seasonality_cube=lambda s: T.seasonality(s.calendar),
+    d05_late_seasonality_cube=lambda s: T.late_seasonality(s.calendar),
+    d05_late_lag=lambda s: T.late_lag(s.calendar),
+))
+
+# --- labels that differ in case or trailing blanks are equal -------------------------
+COLLATED: dict[str, Callable[[Star], DataFrame]] = _q(
+    c04_standardise_suburb_collated=lambda s: plain(C.standardise_prefix(s.dog_stage)),
+    c05_recode_fee_labels_collated=lambda s: plain(C.recode_values(s.registration_stage)),
+    c32_geo_anomalies_collated=lambda s: folded(Q.geo_anomalies(s.dog)),
+    c33_extreme_suburbs_collated=lambda s: folded(Q.extreme_groups(s.dog)),
+    e06_dogs_by_suburb_collated=lambda s: folded(A.count_by(s.dog)),
+    e07_rare_suburbs_collated=lambda s: folded(A.rare_groups(s.dog)),
+    e12_late_rate_by_suburb_collated=lambda s: folded(A.event_rate_by(s.registration, s.dog, s.transaction, late(), "LatePayment_Count",
+                                                                      "LatePayment_Rate", rg=s.geo_pairs)),
+    e27_suburb_scorecard_collated=lambda s: folded(A.suburb_scorecard(s.registration, s.dog, s.transaction, rg=s.geo_pairs)),
+)
+CATALOG.update(COLLATED)
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return CATALOG[name](fixture_star(spark, sf_dir))
+    return CATALOG[name](fixture_star(spark, sf_dir, collated=name in COLLATED))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

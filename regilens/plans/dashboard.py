@@ -75,7 +75,7 @@ def refresh_dashboard(spark: SparkSession, star: Star | StagedStar, out_dir: str
         "suburb_rankings": put("suburb_rankings", M.suburb_rankings(reg, dog, None, scorecard=scorecard)),
         "seasonality": put("seasonality", M.seasonality(reg)),
         "late_seasonality": put("late_seasonality", M.late_seasonality(reg, txn)),
-        "incentive_uptake": put("incentive_uptake", M.incentive_uptake(reg, dog, txn)),
+        "incentive_uptake": put("incentive_uptake", M.incentive_uptake(reg, dog, txn, rg=star.geo_pairs)),
         "missing_share": put("missing_share", M.missing_share(reg)),
         "monthly_activity": put("monthly_activity", A.monthly_activity(txn)),
         "star_wide": put("star_wide", M.star_wide(txn, reg, dog)),

@@ -21,6 +21,7 @@ changed input never meets old tables."""
 
 from __future__ import annotations
 
+import datetime as _dt
 import hashlib
 import inspect
 import threading
@@ -31,11 +32,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from regilens.functions import constants
+from regilens.operators import audit
 from regilens.operators import cleaning as C
 from regilens.operators.analytics import registration_geo
+from regilens.operators.calendar import calendar_cube
 from regilens.session import checkpoint_root, hadoop_path, path_join
 from regilens.sources import fixtures, schemas
-from regilens.sources.fixtures import load_stages
+from regilens.sources.fixtures import load_stages, loose_spelling
+from regilens.sources.staging import collate_stage
+
+
+# written table -> the star's attribute
+TABLES = {"DimDog_std": "dog_std", "FactRegistration_std": "registration_std", "FactTransaction_std": "transaction_std",
+          "FactRegistration": "registration", "FactTransaction": "transaction"}
 
 
 @dataclass(frozen=True)
@@ -60,9 +69,20 @@ class Star:
         return self.registration_geo if self.registration_geo is not None \
             else registration_geo(self.registration, self.dog)
 
+    @property
+    def calendar(self) -> DataFrame:
+        return calendar_cube(self.registration, self.transaction)
+
+    def audit(self, table: str, as_of: _dt.date = constants.AS_OF) -> DataFrame:
+        return audit.scanned(getattr(self, TABLES[table]), audit.figures(table, as_of))
+
 
-def build_star(stages: dict[str, DataFrame]) -> Star:
-    """Lazy clean path from the three staging tables."""
+def build_star(stages: dict[str, DataFrame], collated: bool = False) -> Star:
+    """Lazy clean path from the three staging tables. With ``collated``, labels
+    that differ in case or trailing blanks only are equal all the way (see
+    :func:`regilens.sources.staging.collate_stage`)."""
+    if collated:
+        stages = {t: collate_stage(df, t) for t, df in stages.items()}
     dog_stage, reg_stage, txn_stage = (stages["Dog_Stage"], stages["Dog_Registration_Stage"],
                                        stages["Dog_Transaction_Stage"])
     dog_std = C.standardise_dog(dog_stage)
@@ -77,13 +97,18 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | None = None, figures_path: str | None = None) -> DataFrame:
     """The finished table at ``path``, written first if there is none. Two
     sessions that write it at once each write their own copy; the first to
-    finish gives the table."""
+    finish gives the table. ``figures`` are counted by the writing job and
+    stored at ``figures_path`` before the table appears."""
     if not _complete(spark, path):
         copy = f"{path}.{uuid.uuid4().hex}"
+        if figures:
+            df, seen = audit.observed(df, figures)
         df.write.parquet(copy)
+        if figures:
+            write_table(spark, audit.audit_rows(spark, figures, seen.get), figures_path)
         fs, to = hadoop_path(spark, path)
         _, made = hadoop_path(spark, copy)
         if _complete(spark, path) or not fs.rename(made, to) or not _complete(spark, path):
@@ -95,12 +120,22 @@ class StagedStar:
     """A star whose tables are written under ``folder`` when first needed;
     the same attributes as :class:`Star`."""
 
-    def __init__(self, spark: SparkSession, plan: Star, folder: str):
+    def __init__(self, spark: SparkSession, plan: Star, folder: str, as_of: _dt.date | None = None):
         self._spark, self._plan, self._folder = spark, plan, folder
+        self._as_of = as_of or _dt.date.today()
         self.dog_stage, self.registration_stage, self.transaction_stage = plan.dog_stage, plan.registration_stage, plan.transaction_stage
 
+    def _audit_path(self, name: str) -> str:
+        return path_join(self._folder, f"{name}_audit_{self._as_of}")
+
     def _put(self, name: str, df: DataFrame) -> DataFrame:
-        return write_table(self._spark, df, path_join(self._folder, name))
+        return write_table(self._spark, df, path_join(self._folder, name), audit.figures(name, self._as_of), self._audit_path(name))
+
+    def audit(self, table: str) -> DataFrame:
+        """The figures counted when ``table`` was written (it is, if need be). A
+        table that another run date wrote is scanned once."""
+        df = getattr(self, TABLES[table])
+        return write_table(self._spark, audit.scanned(df, audit.figures(table, self._as_of)), self._audit_path(table))
 
     def _std(self, attribute: str) -> DataFrame:
         """The written standardised table if an audit has asked for it, else
@@ -141,16 +176,21 @@ class StagedStar:
     def registration_geo(self) -> DataFrame:
         return self._put("RegistrationGeo", registration_geo(self.registration, self.dog))
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return self._put("CalendarCube", calendar_cube(self.registration, self.transaction))
+
     @property
     def geo_pairs(self) -> DataFrame:
         return self.registration_geo
 
 
-def materialise(spark: SparkSession, star: Star, root: str, snapshot: str | None = None) -> StagedStar:
+def materialise(spark: SparkSession, star: Star, root: str, snapshot: str | None = None, as_of: _dt.date | None = None) -> StagedStar:
     """A star whose tables are written under ``root`` on first use. With
     ``snapshot`` (a name that identifies the input) finished tables of that
-    name are used again; without one, every call writes new tables."""
-    return StagedStar(spark, star, path_join(root, snapshot or uuid.uuid4().hex))
+    name are used again; without one, every call writes new tables. ``as_of``
+    (default: today) is the run date of the audit taken while writing."""
+    return StagedStar(spark, star, path_join(root, snapshot or uuid.uuid4().hex), as_of)
 
 
 def save_tables(star: Star | StagedStar, database: str | None = None, **options) -> dict[str, str]:
@@ -168,7 +208,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Names, sizes and times of the input files, and the code that derives
     the tables from them."""
     h = hashlib.sha1()
-    for module in (C, fixtures, schemas, constants):
+    for module in (C, audit, fixtures, schemas, constants):
         h.update(inspect.getsource(module).encode())
     for t in ("customer", "nation", "orders", "lineitem"):
         fs, p = hadoop_path(spark, path_join(sf_dir, f"{t}.parquet"))
@@ -178,17 +218,21 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-_CACHE: dict[tuple[str, str, str, bool], Star | StagedStar] = {}
+_CACHE: dict[tuple, Star | StagedStar] = {}
 _LOCK = threading.Lock()
 
 
-def fixture_star(spark: SparkSession, sf_dir: str, materialised: bool = True) -> Star | StagedStar:
+def fixture_star(spark: SparkSession, sf_dir: str, materialised: bool = True, collated: bool = False) -> Star | StagedStar:
     """Star schema derived from the test tables in ``sf_dir``; with
     ``materialised`` its tables are written under the shared checkpoint folder
-    when first needed, under a name that changes with the input."""
-    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir), materialised)
+    when first needed, under a name that changes with the input. ``collated``
+    takes labels in loose spelling (see :func:`fixtures.loose_spelling`) and a
+    star that ignores case and trailing blanks."""
+    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir), materialised, collated)
     with _LOCK:
         if key not in _CACHE:
-            star = build_star(load_stages(spark, sf_dir))
-            _CACHE[key] = materialise(spark, star, path_join(checkpoint_root(spark), "regilens_star"), key[2]) if materialised else star
+            stages = load_stages(spark, sf_dir)
+            star = build_star(loose_spelling(stages) if collated else stages, collated)
+            _CACHE[key] = materialise(spark, star, path_join(checkpoint_root(spark), "regilens_star"), key[2] + ("-collated" if collated else ""),
+                                      constants.AS_OF) if materialised else star
         return _CACHE[key]

@@ -201,3 +201,13 @@ def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "Dog_Registration_Stage": registration_stage(orders),
         "Dog_Transaction_Stage": transaction_stage(lineitem),
     }
+
+
+def loose_spelling(stages: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The staging tables with labels in mixed case and with trailing blanks, by
+    the row's business key."""
+    def loose(label: str, key: str) -> Column:
+        c, k = F.col(label), F.col(key)
+        return F.when(k % 4 == 1, F.upper(c)).when(k % 4 == 2, F.lower(c)).when(k % 4 == 3, F.concat(c, F.lit("  "))).otherwise(c)
+    return {**stages, "Dog_Stage": stages["Dog_Stage"].withColumn("Kept_At_Suburb", loose("Kept_At_Suburb", "Dog_Number")),
+            "Dog_Registration_Stage": stages["Dog_Registration_Stage"].withColumn("Fee_Code_Description", loose("Fee_Code_Description", "Registration_ID"))}

@@ -41,6 +41,39 @@ def read_stage(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     return conform(df, schema)
 
 
+#: Label columns of each staging table, and the collation that makes labels equal
+#: that differ in case or trailing blanks only. LIKE patterns take trailing blanks
+#: as they are (and Spark has no LIKE for the trimming collation), so the column
+#: that patterns are matched on ignores case only.
+LABELS = {"Dog_Stage": ("Kept_At_Suburb", "Kept_At_Town", "Fee_Description"), "Dog_Registration_Stage": ("Fee_Code_Description",),
+          "Dog_Transaction_Stage": ("Type_Of_Account",)}
+PATTERN_LABELS = {"Dog_Transaction_Stage": ("Transaction_Type",)}
+LABEL_COLLATION, PATTERN_COLLATION = "UTF8_LCASE_RTRIM", "UTF8_LCASE"
+
+
+def collate_stage(df: DataFrame, table: str) -> DataFrame:
+    """The staging table with collated labels: ``=``, GROUP BY, joins and REPLACE
+    on them ignore case and trailing blanks from here on. A group shows one of
+    its spellings; :func:`folded` gives it one that doesn't depend on the plan."""
+    wanted = {**dict.fromkeys(LABELS.get(table, ()), LABEL_COLLATION), **dict.fromkeys(PATTERN_LABELS.get(table, ()), PATTERN_COLLATION)}
+    return df.select(*[F.collate(c, wanted[c]).alias(c) if c in wanted else F.col(f"`{c}`") for c in df.columns])
+
+
+def _is_collated(t) -> bool:
+    return isinstance(t, StringType) and t.simpleString() != "string"
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Collated columns as plain strings, spelled as they are."""
+    return df.select(*[F.collate(f.name, "UTF8_BINARY").alias(f.name) if _is_collated(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def folded(df: DataFrame) -> DataFrame:
+    """Collated columns in lower case without trailing blanks, as plain strings."""
+    return df.select(*[F.rtrim(F.lower(F.collate(f.name, "UTF8_BINARY"))).alias(f.name) if _is_collated(f.dataType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
 def _csv_text(spark: SparkSession, path: str, options: dict) -> DataFrame:
     """All columns as text under their header names. With ``enforceSchema``
     off Spark checks every file's header against the first one's, so a file
@@ -64,6 +97,8 @@ def _with_row_hash(df: DataFrame) -> DataFrame:
     return row_hash(df, exclude=("FID",), name="hash_binary")
 
 
-def read_stages(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
+def read_stages(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet", collated: bool = False,
                 **options) -> dict[str, DataFrame]:
-    return {t: read_stage(spark, p, t, fmt, **options) for t, p in paths.items()}
+    """The staging tables by name; ``collated`` as in :func:`collate_stage`."""
+    stages = {t: read_stage(spark, p, t, fmt, **options) for t, p in paths.items()}
+    return {t: collate_stage(df, t) for t, df in stages.items()} if collated else stages

@@ -18,7 +18,7 @@ from regilens.plans.star import Star
 from regilens.sources.schemas import DOG_STAGE, REGISTRATION_STAGE, TRANSACTION_STAGE
 
 CLEAN = {"dim_dog", "fact_registration", "fact_transaction"}
-OTHER_CTES = {n for n, _ in oracle.PREFIX_CTES} - CLEAN
+OTHER_CTES = {n for n, _ in oracle.PREFIX_CTES + oracle.COLLATED_CTES} - CLEAN
 
 
 def _clean_only(name: str) -> bool:

@@ -37,7 +37,8 @@ def test_tables_are_written_when_needed(spark):
     assert star.dog.count() == 50
     assert os.listdir(os.path.join(root, "s")) == ["DimDog"]
     assert star.geo_pairs.count() > 0
-    assert sorted(os.listdir(os.path.join(root, "s"))) == ["DimDog", "FactRegistration", "RegistrationGeo"]
+    tables = [t for t in os.listdir(os.path.join(root, "s")) if "_audit_" not in t]  # figures lie beside their tables
+    assert sorted(tables) == ["DimDog", "FactRegistration", "RegistrationGeo"]
 
 
 def test_lasting_names(spark):
