@@ -93,11 +93,11 @@ def signatures(docs: DataFrame, n: int, trees: int, prefix: int) -> DataFrame:
 
 
 def linked(side: np.ndarray, sets: list[np.ndarray], size: np.ndarray, leaders: list[np.ndarray], leader: int, threshold: float):
-    """Of two blocks of a star (side 0 and 1; one block if there is no side 1):
+    """Of two blocks of a star (side 0 and 1; side 2 is a block with itself):
     similar pairs as a matrix of side 0 rows by side 1 columns, and which of
-    them count in this star."""
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    b = b if len(b) else a
+    them count in this star. Two blocks of which one is empty have no pairs."""
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    b = a if (side == 2).all() else b
 
     def shared(lists: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(a), len(b)), np.float32)
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     dealt = skewed_join(stars, blocks, "leader").withColumn("own", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int"))
     units = dealt.select("node", "leader", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .select("node", "leader", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-                (F.col("own") > F.col("other")).cast("int").alias("side"))
+                F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
     # a class is in at most one star per tree, in as many units as that star has blocks
     tasks = units.groupBy("node").agg(F.collect_list(F.struct("unit", "leader", "side")).alias("units"))
     own = stars.groupBy("node").agg(F.collect_set("leader").alias("leaders"))
@@ -189,7 +189,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
             copies = b.column(4).to_numpy()[first].astype(np.float64)
             cut = lambda k: [(c[o[x]:o[x + 1]]) for c, o in [_lists(b.column(k))] for x in first]
             grams = cut(6)
-            a, c, similar, counted = linked(b.column(2).to_numpy()[first], grams, np.array([len(x) for x in grams]), cut(5), b.column(1)[0].as_py(), threshold)
+            side = b.column(2).to_numpy()[first]
+            if not (side == 2).any() and len(np.unique(side)) < 2:
+                continue  # the other block is empty
+            a, c, similar, counted = linked(side, grams, np.array([len(x) for x in grams]), cut(5), b.column(1)[0].as_py(), threshold)
             links = np.zeros(len(node))
             np.add.at(links, a, counted @ copies[c])
             if c is not a:

@@ -76,6 +76,20 @@ def test_join_of_a_hot_group_in_blocks(spark, monkeypatch):
     assert sum((got - want).values()) <= 2  # a link at the threshold is found with probability 0.9997
 
 
+def test_links_count_once_where_a_block_is_empty(spark, monkeypatch):
+    """Two or three near copies whose star has more blocks than members."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(900)}" for _ in range(400)]
+        for c in range(2 + g % 2):
+            rows.append((10 * g + c, " ".join([*base[:200], f"c{c}", *base[200:]])))
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 150)
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+                  .select("doc_id", "class_id", "n_links").collect())
+    assert got == Counter(brute_classes(rows))
+
+
 def covered(rows, min_words=50):
     """Words of each text inside a run of 50 words that a smaller doc_id has."""
     first, out = {}, {}
