@@ -1,16 +1,18 @@
 """Language identification, words first.
 
 Training counts every word of every labelled text per language. A word that
-holds at least ``min_share`` of all training words is known: it adds its
-smoothed log frequency in each language. An unknown word backs off to its
+holds at least ``min_share`` of some language's training words is known: it adds
+its log frequency in each language, smoothed towards its frequency over all
+languages (so a language with little text gains nothing from words it never
+had). An unknown word backs off to its
 character n-grams, longest first: the mean log frequency of its known 4-grams,
 else of its 3-grams, and so on. A document's language has the largest sum of
 word votes and log prior; its score is the softmax share of that sum.
 
 Statistics cover all training texts. What reaches the tasks is bounded by the
 shares, not by the corpus: at most 1 / min_share words and 1 / min_gram_share
-n-grams of each length can hold such a share (500,000 and 1,000,000 by
-default, some MB). Texts never move; only per-task word counts are shuffled,
+n-grams of each length and language can hold such a share (250,000 and 500,000
+by default). Texts never move; only per-task word counts are shuffled,
 summed on the map side, so a frequent word is one row per task.
 
 Edge cases: a NULL text, or one without a letter, is ``und`` with score 0; a
@@ -32,7 +34,7 @@ from ._spark import crc_remainder, staged, table
 from ._text import LETTERS, chunks, in_sorted, mix
 
 ORDERS = (4, 3, 2, 1)
-ALPHA = 0.5
+PRIOR = 50.0
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -87,32 +89,40 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _log_table(pdf, langs: list[str], totals: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending hashes, log frequency per language) of counts (lang, h, n)."""
+    """(ascending hashes, log frequency per language) of counts (lang, h, n).
+    Each language's counts are smoothed by ``PRIOR`` drawn from the frequencies
+    over all languages: a language of little text believes what all say, so its
+    silence on a word never counts for it."""
     keys, row = np.unique(pdf["h"].to_numpy().view(np.uint64), return_inverse=True)
     n = np.zeros((len(keys), len(langs)))
     np.add.at(n, (row, np.searchsorted(langs, pdf["lang"].to_numpy().astype(str))), pdf["n"].to_numpy())
-    size = np.array([totals.get(x, 0) for x in langs]) + ALPHA * max(len(keys), 1)
-    return keys, np.log((n + ALPHA) / size).astype(np.float32)
+    size = np.array([totals.get(x, 0) for x in langs], float)
+    overall = n.sum(1) / max(1, size.sum())
+    return keys, np.log((n + PRIOR * overall[:, None]) / (size + PRIOR)).astype(np.float32)
 
 
-def learn(labelled: DataFrame, min_share: float = 2e-6, min_gram_share: float = 1e-6) -> dict:
+def _often(counts: DataFrame, totals: dict[str, float], share: float) -> DataFrame:
+    """(k): entries that hold ``share`` of some language's total."""
+    least = F.lit(0.0) if not totals else F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, share * float(n))]), F.col("lang"))
+    return counts.where(F.col("n") >= least).select(F.col("h").alias("k")).distinct()
+
+
+def learn(labelled: DataFrame, min_share: float = 4e-6, min_gram_share: float = 2e-6) -> dict:
     """The model from rows with ``text`` and ``lang``: bounded arrays."""
     labelled = labelled.where("lang is not null")
     words = staged(word_counts(labelled), "lang-words")
     prior = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(prior)
-    least = min_share * sum(totals.values())
-    known = words.join(words.groupBy(F.col("h").alias("k")).agg(F.sum("n").alias("all")).where(F.col("all") >= least), F.col("h") == F.col("k"))
+    known = words.join(_often(words, totals, min_share), F.col("h") == F.col("k"))
     model = {"langs": langs, "prior": np.log(np.array([prior[x] for x in langs], float) / max(1, sum(prior.values()))).astype(np.float32),
              "words": _log_table(known.select("lang", "h", "n").toPandas(), langs, totals), "grams": {}}
     grams = staged(gram_counts(words), "lang-grams")
     sums = grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).toPandas()
     for size in ORDERS:
         of = sums[sums["size"] == size]
-        own = grams.where(F.col("size") == size)
-        often = own.groupBy(F.col("h").alias("k")).agg(F.sum("n").alias("all")).where(F.col("all") >= min_gram_share * float(of["n"].sum()))
-        model["grams"][size] = _log_table(own.join(often, F.col("h") == F.col("k")).select("lang", "h", "n").toPandas(), langs, dict(zip(of["lang"], of["n"])))
+        own, all_ = grams.where(F.col("size") == size), dict(zip(of["lang"], of["n"]))
+        model["grams"][size] = _log_table(own.join(_often(own, all_, min_gram_share), F.col("h") == F.col("k")).select("lang", "h", "n").toPandas(), langs, all_)
     return model
 
 
