@@ -129,10 +129,15 @@ def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = 200_000, ridge: float = 1
 
 
 def learn(scored: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_rows`` labelled rows of ``scored`` (doc_id, x)."""
+    """Fit on at most ``max_rows`` labelled documents of ``scored`` (doc_id, x),
+    picked by a hash of their doc_id; a repeated doc_id counts once."""
     clear = labels.where("quality is not null and doc_id is not null").groupBy("doc_id") \
         .agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2 and y in (0, 1)")
-    sample = scored.join(clear.select("doc_id", "y"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "y").toPandas()
+    # one row per labelled doc_id, whatever the number of rows that bear it
+    labelled = staged(scored.join(clear.select("doc_id", "y"), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")), "quality-labelled")
+    n, spread = labelled.count(), F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 40))
+    few = labelled if n <= max_rows else labelled.where(spread < int((max_rows + 6 * max_rows ** 0.5) / n * (1 << 40)))  # the sample leaves the tasks, nothing more
+    sample = few.orderBy(spread, "doc_id").limit(max_rows).select("x", "y").toPandas()
     if not len(sample):
         return np.zeros(len(FEATURES)), 0.0
     return fit(np.stack(sample["x"].to_numpy()), sample["y"].to_numpy())

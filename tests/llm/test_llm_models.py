@@ -50,6 +50,44 @@ def test_unknown_words_back_off_to_shorter_grams(spark):
     assert [r["lang_pred"] for r in out.orderBy("doc_id").collect()] == ["de", "en", "de", "en"]
 
 
+def brute_votes(train, text):
+    """Log frequency votes of a text of known words, from the counts."""
+    count = {lang: Counter(w for t, x in train if x == lang for w in t.lower().split()) for lang in {x for _, x in train}}
+    total = {lang: sum(c.values()) for lang, c in count.items()}
+    share = lambda w: sum(c[w] for c in count.values()) / sum(total.values())
+    docs = Counter(x for _, x in train)
+    return {lang: math.log(docs[lang] / len(train)) + sum(math.log((c[w] + langid.PRIOR * share(w)) / (total[lang] + langid.PRIOR)) for w in text.lower().split())
+            for lang, c in count.items()}
+
+
+def test_a_tiny_language_gains_nothing_from_words_it_never_had(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in ("ar", "en", "il", "ou") for c in ("t", "man", "ler", "sing", "ow", "ed", "ish", "ment", "ful", "er")]
+    weight = 1 / np.arange(1, len(vocabulary) + 1)
+    large = [" ".join(rng.choice(vocabulary, 400, p=weight / weight.sum())) for _ in range(500)]
+    tiny = [" ".join(rng.choice(["привет", "река", "зима", "камень", "сад", "мост", "рынок", "окно"], 20)) for _ in range(3)]
+    train = [(t, "en") for t in large] + [(t, "ru") for t in tiny]
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string"))
+    rare = [" ".join(rng.choice(vocabulary[-150:], 25)) for _ in range(10)] + [" ".join(rng.choice(vocabulary, 25)) for _ in range(5)]
+    texts = rare + ["камень мост сад", "окно"]
+    out = {r["i"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model, ("i",)).collect()}
+    assert [out[i]["lang_pred"] for i in range(len(texts))] == ["en"] * len(rare) + ["ru"] * 2
+    seen = {w for t, _ in train for w in t.split()}
+    for i, t in enumerate(texts):
+        if set(t.split()) <= seen:
+            votes = brute_votes(train, t)
+            want = 1 / sum(math.exp(v - max(votes.values())) for v in votes.values())
+            assert out[i]["lang_pred"] == max(votes, key=votes.get) and abs(out[i]["score"] - want) < 1e-3
+
+
+def test_a_small_language_keeps_its_words(spark):
+    """Shares are per language: a word counts as known by its own language's size."""
+    train = [("the house and the river " * 400, "en")] * 50 + [("das haus und der fluss", "de")] * 2
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string"), min_share=1e-3)
+    out = langid.predict(spark.createDataFrame([(1, "haus und fluss"), (2, "house and river")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in out] == ["de", "en"] and len(model["words"][0]) == 9
+
+
 def test_quality_of_held_out_texts(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op8_bradley_terry"](spark, SF_ORACLE).collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF_ORACLE}/labels.parquet").collect()}
@@ -70,6 +108,16 @@ def test_quality_edge_cases(spark, tables):
     assert not weights.any() and bias == 0
 
 
+def test_quality_sample_stays_small_and_counts_repeats_once(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, **more: (taken.append((len(x), y.mean())), (np.zeros(x.shape[1]), 0.0))[1])
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "array(double(id % 3 != 0), 2.0D) as x").repartition(8)
+    labels = spark.range(60_000).selectExpr("id as doc_id", "int(id % 2) as quality")
+    quality.learn(rows, labels, max_rows=500)
+    quality.learn(rows.where("doc_id < 100"), labels, max_rows=500)
+    assert [n for n, _ in taken] == [500, 66] and 0.4 < taken[0][1] < 0.6
+
+
 def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)) + [None]
 
