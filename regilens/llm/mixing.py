@@ -150,10 +150,11 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def op10_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     from ._spark import table
     return range_sorted(curriculum(table(spark, sf_dir, "documents"))) \
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-# Independent statement: targets by trying every number of capped sources, offsets by one plain window.
+# Independent statement: targets by trying every number of capped sources, offsets by one plain window,
+# times by the quadratic's root.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -161,7 +162,8 @@ WITH d AS (
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight
+         [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight,
+         [1.5, 1.0, 0.5][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS at0
   FROM d GROUP BY source),
 o AS (
   SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST) AS k FROM s),
@@ -170,12 +172,14 @@ lv AS (
          / (SELECT sum(weight) FROM o b WHERE b.k >= a.k)::DOUBLE AS level, a.cap, a.weight
   FROM o a),
 l AS (SELECT level FROM lv WHERE level * weight <= cap::DOUBLE ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT level FROM l) * weight) AS target FROM o),
+t AS (SELECT source, source_size, at0, least(cap::DOUBLE, (SELECT level FROM l) * weight) AS target FROM o),
 c AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, t.at0, 2.0::DOUBLE - t.at0 AS at1,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - c)) + greatest(0, least(size, round(target)::BIGINT - c - source_size)))::BIGINT AS taken
-FROM c
+       (greatest(0, least(size, round(target)::BIGINT - c)) + greatest(0, least(size, round(target)::BIGINT - c - source_size)))::BIGINT AS taken,
+       CASE WHEN least(size, round(target)::BIGINT - c) > 0 THEN
+         least(1.0::DOUBLE, share * (at0 + at1) / greatest(at0 + sqrt(greatest(at0 * at0 + (at1 - at0) * share * (at0 + at1), 0.0::DOUBLE)), 1e-300::DOUBLE)) END AS position
+FROM (SELECT *, c::DOUBLE / greatest(target, 1.0::DOUBLE) AS share FROM c)
 """
