@@ -8,10 +8,15 @@ its host, from two scores over the host graph:
 * distrust: personalised PageRank along the reversed links (who links to a
   blocked site is suspect), started from blocked hosts (half blocked).
 
-Host edges are the absolute links of the pages plus an edge each way between a
-host and the nearest parent domain that is itself a host of the table. A host
-is blocked if its distrust, in units of the mean host's share, reaches
-``threshold`` and exceeds its trust; all others are allowed.
+Nodes of the graph are the hosts of pages, the hosts that pages link to, the
+rules' hosts, and the parent domains of all these that have a dot (of numeric
+addresses none). A host without pages is a seed if a rule covers it whole, so
+linking to a blocked site that was never fetched is held against a host. Edges
+are the absolute links of the pages plus an edge each way between a host and its
+parent domain. Scores are shares of the whole rank, in units of the mean host's
+share (so mass that ends at a host without edges doesn't count against the
+others). A host is blocked if its distrust reaches ``threshold`` and exceeds its
+trust; all others are allowed.
 
 Ranks are whole numbers (a total mass of 10^15 units, integer division), so
 sums don't depend on the order of rows and reruns agree. Edges are summed per
@@ -56,24 +61,47 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
+def parent_of(host: Column) -> Column:
+    """The domain one label up if it has a dot, else NULL; numeric addresses have none."""
+    up = F.regexp_extract(host, r"(?s)^[^.]*\.(.+\..+)$", 1)
+    return F.when((up != "") & ~host.rlike(r"^[0-9.]+(:[0-9]*)?$"), up)
+
+
 def parents(host: Column) -> Column:
-    """Proper parent domains of a host, nearest first."""
+    """Every proper parent domain with a dot; numeric addresses have none."""
     parts = F.split(host, r"\.")
     tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
                         lambda i: F.array_join(F.slice(parts, i, F.greatest(F.size(parts) - i + 1, F.lit(0))), "."))
-    return F.filter(tails, lambda x: x != "")
+    return F.when(host.rlike(r"^[0-9.]+(:[0-9]*)?$"), F.array().cast("array<string>")) \
+        .otherwise(F.filter(tails, lambda x: x.rlike(r"(?s)^.+\..+$")))
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts of ``hosts``, and both
-    directions between a host and its nearest parent domain in ``hosts``."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to")) \
+def host_links(pages: DataFrame) -> DataFrame:
+    """(src, dst, n): absolute links between different hosts."""
+    return pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to")) \
         .select("src", ascii_lower(F.regexp_replace("to", "^(?i)(https?:)?//", "")).alias("dst")) \
         .where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    names = hosts.select(F.col("host").alias("dst"))
-    links = links.join(names, "dst", "left_semi")
-    up = hosts.select(F.col("host").alias("src"), F.posexplode(parents(F.col("host"))).alias("d", "dst")).join(names, "dst", "left_semi") \
-        .groupBy("src").agg(F.min(F.struct("d", "dst"))["dst"].alias("dst"))
+
+
+def graph_hosts(ruled: DataFrame, links: DataFrame, rules=RULES) -> DataFrame:
+    """(host, trusted, blocked): every node of the graph with its 0/1 seeds."""
+    spark = ruled.sparkSession
+    paged = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("_v") == "allow").alias("good"),
+                                                          F.count_if(F.col("_v") == "block").alias("bad"))
+    named = spark.createDataFrame([(r[1],) for r in rules], "host string")  # one row per rule
+    bare = links.select(F.col("dst").alias("host")).unionByName(named).distinct()
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("pages", "good", "bad")]
+    known = paged.unionByName(bare.select("host", *zero))
+    up = known.select(F.explode(parents(F.col("host"))).alias("host")).distinct().select("host", *zero)
+    every = known.unionByName(up).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("pages", "good", "bad")])
+    whole = rule_for(F.col("host"), F.lit("/"), rules)[1]  # a host without pages: the rule that covers all its paths
+    seed = lambda n, v: F.when(F.col("pages") > 0, F.col(n) * 2 >= F.col("pages")).otherwise(F.coalesce(whole == v, F.lit(False))).cast("int")
+    return every.select("host", seed("good", "allow").alias("trusted"), seed("bad", "block").alias("blocked"))
+
+
+def host_edges(hosts: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, n): the links, and both directions between a host and its parent domain."""
+    up = hosts.select(F.col("host").alias("src"), parent_of(F.col("host")).alias("dst")).where("dst is not null")
     both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1).cast("bigint"))
     return links.select("src", "dst", "n").unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
@@ -106,24 +134,23 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, rounds: in
     rule, rule_verdict = rule_for(F.col("host"), F.col("path"), rules)
     read = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = read.select("page_id", "host", "path", rule.alias("rule"), rule_verdict.alias("_v"))
-    per = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"),
-                                                        F.count_if(F.col("_v") == "allow").alias("good"),
-                                                        F.count_if(F.col("_v") == "block").alias("bad"))
-    hosts = staged(per.select("host", (F.col("good") * 2 >= F.col("pages")).cast("int").alias("trusted"),
-                              (F.col("bad") * 2 >= F.col("pages")).cast("int").alias("blocked")), "trust-hosts")
-    edges = staged(host_edges(read.select("host", "html"), hosts), "trust-links")
+    links = staged(host_links(read.select("host", "html")), "trust-pagelinks")
+    hosts = staged(graph_hosts(ruled, links, rules), "trust-hosts")
+    edges = staged(host_edges(hosts, links), "trust-links")
     trust = personalised_pagerank(hosts, edges, "trusted", rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_pagerank(hosts, back, "blocked", rounds)
     scores = trust.select("host", F.col("rank").alias("t")).join(distrust.select("host", F.col("rank").alias("d")), "host")
-    count = hosts.count()  # one number
     scores = staged(scores.select("host", "t", "d"), "trust-scores")
+    whole = scores.agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("d").alias("d")).first()  # three numbers
+    count, all_t, all_d = whole["n"], int(whole["t"] or 0), int(whole["d"] or 0)
     judged = ruled.join(scores, "host", "left")
     t, d = F.coalesce("t", F.lit(0)), F.coalesce("d", F.lit(0))
-    limit = int(threshold * MASS) // max(count, 1)
-    method = F.when((d >= limit) & (d > t) & (d > 0), "block").otherwise("allow")
+    limit = int(threshold * all_d) // max(count, 1)
+    wide = lambda c, by: c.cast("decimal(19,0)") * F.lit(by).cast("decimal(18,0)")
+    method = F.when((d >= limit) & (wide(d, all_t) > wide(t, all_d)) | ((d >= limit) & (d > 0) & (t == 0)), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("_v", method).alias("verdict"),
-                         (t.cast("double") * count / MASS).alias("trust"), (d.cast("double") * count / MASS).alias("distrust"))
+                         (t.cast("double") * count / max(all_t, 1)).alias("trust"), (d.cast("double") * count / max(all_d, 1)).alias("distrust"))
 
 
 def op1_host_trust(spark, sf_dir: str) -> DataFrame:
@@ -150,22 +177,35 @@ r AS MATERIALIZED (
   SELECT page_id, host, path, (SELECT arg_max(h || pre, len(h || pre)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)) AS rule,
          (SELECT arg_max(v, len(h || pre)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)) AS v
   FROM p),
+links AS MATERIALIZED (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(regexp_replace(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*((?:https?:)?//[^/"''?#\s>]+)', 1)), '^(?i)(https?:)?//', ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p)
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+names(host) AS (
+  SELECT host FROM r WHERE host <> '' UNION SELECT dst FROM links UNION SELECT h FROM rules),
+tails AS (
+  SELECT host, unnest(range(1, len(string_split(host, '.')))) AS k, string_split(host, '.') AS parts FROM names WHERE NOT regexp_matches(host, '^[0-9.]+(:[0-9]*)?$')),
+nodes(host) AS MATERIALIZED (
+  SELECT host FROM names UNION SELECT array_to_string(parts[k + 1:], '.') FROM tails WHERE regexp_matches(array_to_string(parts[k + 1:], '.'), '(?s)^.+\..+$')),
+per AS (SELECT host, count(*) AS pages, count(*) FILTER (v = 'allow') AS good, count(*) FILTER (v = 'block') AS bad FROM r GROUP BY host),
 hosts AS MATERIALIZED (
-  SELECT host, (2 * count(*) FILTER (v = 'allow') >= count(*))::INT AS trusted, (2 * count(*) FILTER (v = 'block') >= count(*))::INT AS blocked
-  FROM r WHERE host <> '' GROUP BY host),
+  SELECT n.host, CASE WHEN pages > 0 THEN 2 * good >= pages ELSE coalesce(w = 'allow', false) END::INT AS trusted,
+         CASE WHEN pages > 0 THEN 2 * bad >= pages ELSE coalesce(w = 'block', false) END::INT AS blocked
+  FROM (SELECT host, (SELECT arg_max(v, len(h || pre)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND pre = '/') AS w FROM nodes) n
+  LEFT JOIN per USING (host)),
 up AS (
-  SELECT a.host AS src, arg_max(b.host, len(b.host)) AS dst FROM hosts a JOIN hosts b ON ends_with(a.host, '.' || b.host) GROUP BY 1),
-links AS (
-  SELECT host AS src, translate(regexp_replace(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*((?:https?:)?//[^/"''?#\s>]+)', 1)), '^(?i)(https?:)?//', ''),
-         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p),
+  SELECT host AS src, regexp_extract(host, '(?s)^[^.]*\.(.+\..+)$', 1) AS dst FROM hosts
+  WHERE NOT regexp_matches(host, '^[0-9.]+(:[0-9]*)?$') AND regexp_extract(host, '(?s)^[^.]*\.(.+\..+)$', 1) <> ''),
 edges AS MATERIALIZED (
   SELECT src, dst, sum(n)::BIGINT AS n FROM (
-    SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND src <> '' AND dst IN (SELECT host FROM hosts) GROUP BY ALL
-    UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY ALL),
+    SELECT * FROM links UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY ALL),
 """ + rank("t", "trusted", "src", "dst") + "," + rank("d", "blocked", "dst", "src") + f"""
 SELECT r.page_id, r.host, r.path, r.rule,
-       coalesce(r.v, CASE WHEN d.rank >= 1000000000000000 // greatest((SELECT count(*) FROM hosts), 1) AND d.rank > t.rank AND d.rank > 0 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(r.v, CASE WHEN d.rank >= q.d // greatest(q.n, 1) AND (d.rank::HUGEINT * q.t > t.rank::HUGEINT * q.d OR (d.rank > 0 AND t.rank = 0))
+                          THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN t{rounds} t ON t.host = r.host LEFT JOIN d{rounds} d ON d.host = r.host
+CROSS JOIN (SELECT (SELECT count(*) FROM hosts)::BIGINT AS n, (SELECT coalesce(sum(rank), 0) FROM t{rounds})::HUGEINT AS t, (SELECT coalesce(sum(rank), 0) FROM d{rounds})::HUGEINT AS d) q
 """
 
 
