@@ -6,10 +6,10 @@ position q votes for the diagonal p - q, the place where the template would
 start. Votes are summed by (document, template, diagonal); the words of a hit
 are compared, not only their hashes, so a diagonal that holds every 2-gram of
 its template is an exact occurrence. Neighbouring diagonals (a word inserted
-or lost shifts the rest of the template) are merged into one span, which is
-verified: enough of the template's 2-grams, in a span not much longer than it.
+shifts the rest of the template to a larger diagonal, a lost one to a smaller)
+are merged in the order of the text into one span, which is verified: enough of the template's 2-grams, in a span not much longer than it.
 
-The template table is a parameter of fixed size (TEMPLATES: under 100 2-grams,
+The template table is a parameter of fixed size (TEMPLATES: under 400 2-grams,
 a few KB), the only thing that is broadcast; the words of the corpus never
 move, only hits are shuffled, by document and template, so no key holds more
 than one text's hits. Only DataFrame functions.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._spark import WORD, ascii_lower, table, text_key
+from ._spark import WORD, ascii_lower, staged, table, text_key
 
 #: Phrases whose exact places are counted: label -> words. Fixed values.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -40,6 +40,17 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+                   "without warranties or conditions of any kind either express or implied"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+            "merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 MIN_COVER = 0.75
 MAX_STRETCH = 1.3
@@ -65,7 +76,8 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> tuple[DataFrame, Da
     every exact place of a base phrase and every verified template span."""
     spark = docs.sparkSession
     read = docs.select("doc_id", text_key(F.col("text")).alias("_t"), words_of(F.col("text")).alias("w"))
-    counted = read.select("doc_id", "_t", F.size("w").cast("bigint").alias("n_words"))
+    counted = docs.select("doc_id", text_key(F.col("text")).alias("_t"),
+                          F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD)).cast("bigint").alias("n_words"))
     pairs = read.select("doc_id", "_t", F.posexplode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("x"),
                                                                   F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("y"))).alias("p", "g")) \
         .select("doc_id", "_t", "p", F.col("g.x").alias("x"), F.col("g.y").alias("y"), F.xxhash64("g.x", "g.y").alias("h"))
@@ -73,13 +85,14 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> tuple[DataFrame, Da
     hits = pairs.join(F.broadcast(grams), "h").where("x = a and y = b") \
         .select("doc_id", "_t", "template", "label", "base", "grams", "q", "p", (F.col("p") - F.col("q")).alias("diagonal"))
     # equal rows (same doc_id and text) vote together: count distinct template positions, not rows
-    diagonals = hits.groupBy("doc_id", "_t", "template", "label", "base", "grams", "diagonal").agg(
-        F.collect_set("q").alias("qs"), F.min("p").alias("from"), F.max("p").alias("to"))
-    by = W.partitionBy("doc_id", "_t", "template").orderBy("diagonal")
+    diagonals = staged(hits.groupBy("doc_id", "_t", "template", "label", "base", "grams", "diagonal").agg(
+        F.collect_set("q").alias("qs"), F.min("p").alias("from"), F.max("p").alias("to")), "license-diagonals")
+    by = W.partitionBy("doc_id", "_t", "template").orderBy("from", "diagonal")
     exact = diagonals.where(F.col("base") & (F.size("qs") == F.col("grams"))) \
         .select("doc_id", "_t", "label", "base", F.col("diagonal").alias("start"), (F.col("grams") + 1).alias("words"), F.lit(1.0).alias("cover"))
-    # a diagonal joins the one before it if it lies within the slack and carries on behind it
-    breaks = (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by), F.lit(SLACK + 1)) > SLACK) \
+    # a diagonal joins the one before it in the text if it lies within the slack, to
+    # either side, and its template positions carry on behind the other's
+    breaks = (F.coalesce(F.abs(F.col("diagonal") - F.lag("diagonal").over(by)), F.lit(SLACK + 1)) > SLACK) \
         | (F.array_min("qs") <= F.lag(F.array_max("qs")).over(by))
     merged = diagonals.where(~F.col("base")) \
         .withColumn("_cut", F.coalesce(breaks, F.lit(True)).cast("int")) \
@@ -118,9 +131,9 @@ t AS (SELECT template, label, base, len(ws) - 1 AS grams, q, ws[q + 1] AS a, ws[
 g AS (SELECT k, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT k, w, unnest(range(len(w) - 1)) AS p FROM d WHERE len(w) > 1)),
 v AS MATERIALIZED (SELECT k, template, label, base, grams, p - q AS diagonal, count(*) AS votes, min(q) AS q0, max(q) AS q1, min(p) AS p0, max(p) AS p1
   FROM g JOIN t USING (a, b) GROUP BY ALL),
-m AS (SELECT *, sum(cut) OVER (PARTITION BY k, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= """ + str(SLACK) + r""" AND q0 > lag(q1) OVER o THEN 0 ELSE 1 END AS cut
-  FROM v WHERE NOT base WINDOW o AS (PARTITION BY k, template ORDER BY diagonal))),
+m AS (SELECT *, sum(cut) OVER (PARTITION BY k, template ORDER BY p0, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM (
+  SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= """ + str(SLACK) + r""" AND q0 > lag(q1) OVER o THEN 0 ELSE 1 END AS cut
+  FROM v WHERE NOT base WINDOW o AS (PARTITION BY k, template ORDER BY p0, diagonal))),
 s AS (
   SELECT k, label, true AS base, diagonal AS start, 1.0::DOUBLE AS cover FROM v WHERE base AND votes = grams
   UNION ALL
