@@ -9,12 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from regilens.functions import constants as K
+from regilens.functions.expressions import try_decimal
 from regilens.operators import analytics as A
 from regilens.operators import audit as U
 from regilens.operators import calendar as T
 from regilens.operators import cleaning as C
+from regilens.operators import dated as Y
 from regilens.operators import marts as M
 from regilens.operators import quality as Q
+from regilens.operators import rescue as R
 from regilens.plans.star import Star, fixture_star
 from regilens.sources.staging import folded, plain
 
@@ -185,6 +188,22 @@ CATALOG.update(_q(
     d05_late_lag=lambda s: T.late_lag(s.calendar),
 ))
 
+# --- the facts laid out by date: only the years that a query can need are read ------
+CATALOG.update(_q(
+    c18_dedup_fact_registration_dated=lambda s: Y.whole(s.registration_dated),
+    c19_dedup_fact_transaction_dated=lambda s: Y.whole(s.transaction_dated),
+    c26_transaction_date_outliers_dated=lambda s: Q.date_outliers(Y.outside(s.transaction_dated, K.MIN_VALID_DATE, AS_OF), "Transaction_Date", as_of=AS_OF),
+    e10_total_monthly_dated=lambda s: A.monthly_counts(Y.since_year(s.transaction_dated, K.TREND_MIN_YEAR), None, K.TREND_MIN_YEAR, "Transaction_Count"),
+    e10_late_monthly_dated=lambda s: A.monthly_counts(Y.since_year(s.transaction_dated, K.TREND_MIN_YEAR), late(), K.TREND_MIN_YEAR, "LatePayment_Count"),
+    e10_prompt_monthly_dated=lambda s: A.monthly_counts(Y.since_year(s.transaction_dated, K.TREND_MIN_YEAR), late(value=K.PROMPT_PAYMENT),
+                                                        K.TREND_MIN_YEAR, "PromptPayment_Count"),
+    e10_discount_monthly_dated=lambda s: A.monthly_counts(Y.since_year(s.transaction_dated, K.TREND_MIN_YEAR), disc(), K.TREND_MIN_YEAR, "Discount_Count"),
+    e11_historic_dates_dated=lambda s: A.historic_dates(Y.before_year(s.transaction_dated, 2000)),
+    # --- text that doesn't parse, kept beside the row ----------------------------------
+    c29_rescued_amounts=lambda s: R.rescued_values(s.registration.withColumn(R.RESCUED, R.unparsed({"Amount_Paid": try_decimal("Amount_Paid")}))),
+    c29_rescued_amount_texts=lambda s: R.rescued_counts(s.registration.withColumn(R.RESCUED, R.unparsed({"Amount_Paid": try_decimal("Amount_Paid")}))),
+))
+
 # --- labels that differ in case or trailing blanks are equal -------------------------
 COLLATED: dict[str, Callable[[Star], DataFrame]] = _q(
     c04_standardise_suburb_collated=lambda s: plain(C.standardise_prefix(s.dog_stage)),

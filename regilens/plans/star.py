@@ -36,6 +36,7 @@ from regilens.operators import audit
 from regilens.operators import cleaning as C
 from regilens.operators.analytics import registration_geo
 from regilens.operators.calendar import calendar_cube
+from regilens.operators.dated import YEAR, by_date
 from regilens.session import checkpoint_root, hadoop_path, path_join
 from regilens.sources import fixtures, schemas
 from regilens.sources.fixtures import load_stages, loose_spelling
@@ -73,6 +74,14 @@ class Star:
     def calendar(self) -> DataFrame:
         return calendar_cube(self.registration, self.transaction)
 
+    @property
+    def registration_dated(self) -> DataFrame:
+        return by_date(self.registration, "Registration_From")
+
+    @property
+    def transaction_dated(self) -> DataFrame:
+        return by_date(self.transaction, "Transaction_Date")
+
     def audit(self, table: str, as_of: _dt.date = constants.AS_OF) -> DataFrame:
         return audit.scanned(getattr(self, TABLES[table]), audit.figures(table, as_of))
 
@@ -97,7 +106,8 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | None = None, figures_path: str | None = None) -> DataFrame:
+def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | None = None, figures_path: str | None = None,
+                partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The finished table at ``path``, written first if there is none. Two
     sessions that write it at once each write their own copy; the first to
     finish gives the table. ``figures`` are counted by the writing job and
@@ -106,7 +116,7 @@ def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | N
         copy = f"{path}.{uuid.uuid4().hex}"
         if figures:
             df, seen = audit.observed(df, figures)
-        df.write.parquet(copy)
+        df.write.partitionBy(*partition_by).parquet(copy)
         if figures:
             write_table(spark, audit.audit_rows(spark, figures, seen.get), figures_path)
         fs, to = hadoop_path(spark, path)
@@ -180,6 +190,15 @@ class StagedStar:
     def calendar(self) -> DataFrame:
         return self._put("CalendarCube", calendar_cube(self.registration, self.transaction))
 
+    # the facts once more, a folder per year and date ranges inside, for queries by date
+    @cached_property
+    def registration_dated(self) -> DataFrame:
+        return write_table(self._spark, by_date(self.registration, "Registration_From"), path_join(self._folder, "FactRegistration_dated"), partition_by=(YEAR,))
+
+    @cached_property
+    def transaction_dated(self) -> DataFrame:
+        return write_table(self._spark, by_date(self.transaction, "Transaction_Date"), path_join(self._folder, "FactTransaction_dated"), partition_by=(YEAR,))
+
     @property
     def geo_pairs(self) -> DataFrame:
         return self.registration_geo

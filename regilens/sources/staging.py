@@ -12,25 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampType
 
 from regilens.operators.cleaning import row_hash
+from regilens.operators.rescue import RESCUED, unparsed
 from regilens.sources.schemas import STAGE_SCHEMAS, conform
 
 
 def read_stage(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
-               date_times: bool = False, **options) -> DataFrame:
+               date_times: bool = False, rescue: bool = False, **options) -> DataFrame:
     """Read one staging table (``Dog_Stage``, ``Dog_Registration_Stage`` or
     ``Dog_Transaction_Stage``) and conform it to its schema.
 
     Parquet is read as stored and cast, so column pruning and filter pushdown
     still reach the scan. CSV columns are taken by the *names* in the header,
     whatever their order; text that does not parse as its column's type is
-    NULL, and :func:`parse_failures` counts it. ``date_times`` reads a CSV's
-    date columns with their time of day."""
+    NULL, and :func:`parse_failures` counts it; with ``rescue`` a VARIANT column
+    ``_rescued`` holds such text (see :mod:`regilens.operators.rescue`).
+    ``date_times`` reads a CSV's date columns with their time of day."""
     schema = STAGE_SCHEMAS[table]
     if fmt == "csv":
         if date_times:
             schema = StructType([StructField(f.name, TimestampType() if isinstance(f.dataType, DateType) else f.dataType, True)
                                  for f in schema.fields])
         raw = _csv_text(spark, path, options)
+        if rescue:
+            raw = raw.withColumn(RESCUED, unparsed({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields
+                                                    if f.name in raw.columns and not isinstance(f.dataType, StringType)}))
         if "hash_binary" not in raw.columns:  # the fingerprint is of the typed values
             bare = StructType([f for f in schema.fields if f.name != "hash_binary"])
             raw = _with_row_hash(conform(raw, bare, lenient=True))
@@ -93,8 +98,8 @@ def parse_failures(spark: SparkSession, path: str, table: str, **options) -> Dat
 
 def _with_row_hash(df: DataFrame) -> DataFrame:
     """Extracts without the supplied row fingerprint get one computed from
-    their business columns (everything but the surrogate FID)."""
-    return row_hash(df, exclude=("FID",), name="hash_binary")
+    their business columns (everything but the surrogate FID and rescued text)."""
+    return row_hash(df, exclude=("FID", RESCUED), name="hash_binary")
 
 
 def read_stages(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet", collated: bool = False,

@@ -21,7 +21,7 @@ ORDERED = {
     "e27_suburb_scorecard": ["-LatePayment_Rate"], "e28_yearly_registrations": ["Year"], "e29_missing_by_year": ["Year"], "e30_monthly_activity": ["Year", "Month"],
     "d05_seasonality": ["Month"], "d05_late_seasonality": ["Month"], "d06_suburb_rankings": ["Ranking", "Rank"],
 }
-ORDERED |= {n: ORDERED[n.rsplit("_", 1)[0]] for n in catalog.CATALOG if n.endswith(("_cube", "_collated")) and n.rsplit("_", 1)[0] in ORDERED}
+ORDERED |= {n: ORDERED[n.rsplit("_", 1)[0]] for n in catalog.CATALOG if n.endswith(("_cube", "_collated", "_dated")) and n.rsplit("_", 1)[0] in ORDERED}
 ORDERED["d05_late_lag"] = ["Months_After_Peak"]
 NAMES = sorted(catalog.CATALOG)
 
