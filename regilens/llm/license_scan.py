@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._spark import WORD, ascii_lower, staged, table, text_key
+from ._spark import ascii_lower, staged, table, text_key
 
 #: Phrases whose exact places are counted: label -> words. Fixed values.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -52,13 +52,16 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: What stands between words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIN_COVER = 0.75
 MAX_STRETCH = 1.3
 SLACK = 2
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words between separators; a split is far cheaper than matching each word."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
 def template_grams(spark, base=BASE, templates=TEMPLATES) -> DataFrame:
@@ -77,7 +80,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     read = docs.select("doc_id", text_key(F.col("text")).alias("_t"), words_of(F.col("text")).alias("w"))
     counted = docs.select("doc_id", text_key(F.col("text")).alias("_t"),
-                          F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD)).cast("bigint").alias("n_words"))
+                          F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     pairs = read.select("doc_id", "_t", F.posexplode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("x"),
                                                                   F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("y"))).alias("p", "g")) \
         .select("doc_id", "_t", "p", F.col("g.x").alias("x"), F.col("g.y").alias("y"), F.xxhash64("g.x", "g.y").alias("h"))
