@@ -1,45 +1,49 @@
-"""Language-model scoring with a probabilistic suffix tree.
+"""Language-model scoring with a probabilistic suffix tree, kept as tables.
 
-Symbols are the tokens that hold at least ``min_share`` of the training tokens,
-the end of text, and one class for all rarer tokens. Contexts are runs of
-symbols; they grow level by level, and only those with at least ``min_share``
-of all positions are extended. A context is kept if its next-symbol
-distribution differs from that of its longest proper suffix by a divergence
-test (Kullback-Leibler, per position and against chance). A distribution is
-smoothed into its suffix's, down to the unigram distribution:
+Contexts are runs of up to ``max_order`` tokens (a start mark may be the first);
+they grow level by level. A context of at least ``min_context`` occurrences is
+kept if its next-token distribution differs from its suffix's by a divergence
+test (Kullback-Leibler, per occurrence and against chance). Its entries are the
+next tokens seen at least ``min_entry`` times after it, smoothed into the suffix:
 
-    P(s | c) = (n(c, s) + L * P(s | suffix of c)) / (n(c) + L),
+    P(s | c) = (n(c, s) + L * P(s | suffix of c)) / (n(c) + k),
 
-L being the number of distinct next symbols. A text is scored symbol by symbol
-from the longest kept suffix state; a rare token takes the class's probability
-times its smoothed share (its exact corpus count + 0.1) within the class.
+k being the number of entries and L that number plus the occurrences without an
+entry, so that the probabilities of all tokens sum to 1; a context that isn't
+kept takes its suffix's. The root is the unigram distribution (c + 0.1).
 
-Counts cover all training texts and every distinct token: they are a table
-that grows with the corpus, and rare tokens of the texts are joined to it.
-What reaches the tasks is bounded by shares: at most 1 / min_share symbols and
-contexts per level, 1 / min_entry distinct (context, symbol) entries per level
-(the rest of a context's mass goes into L), and 1 / hot_share tokens with their
-exact counts, so that only tokens rarer than that are joined.
+Both minima are counts, not shares, so contexts and entries grow with the
+corpus. A run of tokens is known by its hash, and one table holds per run the
+log gain of its last token as an entry of the run before it, and the log
+back-off weight of the run as a context. These are additive: a text's score is
+its unigram score plus the values of all its runs, so texts ask for keys, and
+need no tree.
+
+What reaches the tasks is bounded whatever the corpus: bitmaps of 8 MB that let
+through the runs that can matter (an exact join follows), and the values of runs
+that hold ``hot_share`` of all tokens, at most 1 / hot_share per run length; all
+other runs of the texts are joined to the table, so no key of that join is hot
+in the training texts. Counts are combined in the tasks before they are shuffled.
 
 Edge cases: a NULL text is empty: one end token; a NULL doc_id is learned from
 and not held out; rows that repeat a doc_id are scored each for itself; with
-nothing to learn from all counts are 0; an empty table gives an empty result;
-extra columns are ignored.
+nothing to learn from all counts and scores are 0; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import crc_remainder, staged, table
-from ._text import TOKENS, Words, chunks, in_sorted, list_array
+from ._spark import crc_remainder, hash_bitmap, marked, staged, table
+from ._text import TOKENS, Words, chunks, in_sorted, list_array, mix
 
 CHUNK = 4 << 20
-END_HASH = np.uint64(0x00E4D0F7E87)  # no word's hash but by chance 2^-64
-RARE, END = 0, 1
+START_HASH, END_HASH = np.uint64(0x005A1C39D25), np.uint64(0x00E4D0F7E87)  # no word's hashes but by chance 2^-64
+BITS = 26
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -53,189 +57,164 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def longer(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of a run from those of the run without its last token and of the
+    run without its first."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + last)
+
+
 class Stream:
-    """The symbols of a chunk, every text between two end marks; ``at``: the
-    places to predict (all but the leading marks), ``doc`` their texts."""
-
-    def __init__(self, w: Words, symbols: np.ndarray):
-        n, d = len(w.start), np.arange(w.n_docs)
-        self.s = np.full(n + 2 * w.n_docs, END, np.int64)
-        self.place = np.arange(n) + 2 * w.doc + 1
-        self.s[self.place] = symbols
+    """The tokens of a chunk, every text between a start and an end mark;
+    ``depth``: the place in the text, ``doc`` the text of each place."""
+
+    def __init__(self, w: Words):
+        d = np.arange(w.n_docs)
         lead = w.first[:-1] + 2 * d
+        self.s = np.full(len(w.start) + 2 * w.n_docs, END_HASH, np.uint64)
+        self.s[lead] = START_HASH
+        self.s[np.arange(len(w.start)) + 2 * w.doc + 1] = w.hash
         self.depth = np.arange(len(self.s)) - np.repeat(lead, w.counts() + 2)
-        self.at = np.flatnonzero(self.depth > 0)
-        self.doc = np.repeat(d, w.counts() + 1)
-
-    def states(self, levels: list[np.ndarray], size: int) -> list[np.ndarray]:
-        """Per level the context that ends before each place of the stream, as
-        its number in the level's list, or -1."""
-        first = np.full(len(self.s), -1, np.int64)
-        first[1:] = self.s[:-1]
-        first[self.depth < 1] = -1
-        out = [first]
-        for d, codes in enumerate(levels, 2):
-            last = out[-1]
-            state = np.full(len(self.s), -1, np.int64)
-            ok = np.flatnonzero((self.depth >= d) & (np.concatenate([[-1], last[:-1]]) >= 0))
-            found, i = in_sorted(codes, last[ok - 1] * size + self.s[ok - 1])
-            state[ok[found]] = i[found]
-            out.append(state)
-        return out
-
-
-def _symbols(w: Words, alphabet: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    found, i = in_sorted(alphabet[0], w.hash)
-    return np.where(found, alphabet[1][i] if len(alphabet[1]) else RARE, RARE)
-
-
-def next_counts(texts: DataFrame, alphabet, levels: list[np.ndarray], size: int) -> DataFrame:
-    """(code, n): how often each symbol follows each context of the deepest
-    level; code = context * size + symbol."""
-    shared = texts.sparkSession.sparkContext.broadcast((alphabet, levels))
+        self.doc = np.repeat(d, w.counts() + 2)
+
+    def runs(self):
+        """Per length 1, 2, ...: (the places where a run of that length ends, the
+        hash of the run that ends at each place; elsewhere it means nothing)."""
+        h, k = self.s, 1
+        while True:
+            yield np.flatnonzero(self.depth >= k - 1), h
+            h, k = np.concatenate([h[:1], longer(h[:-1], h[1:])]), k + 1
+
 
+def next_counts(texts: DataFrame, order: int, contexts, tokens) -> DataFrame:
+    """(c, s, n): how often the run that starts with context ``c`` of ``order``
+    tokens and ends with the run ``s`` of as many occurs, for those that the
+    two bitmaps mark."""
     def run(batches):
-        alpha, lev = shared.value
         for b in batches:
             for _, _, w in chunks(b, "text", TOKENS, CHUNK):
-                st = Stream(w, _symbols(w, alpha))
-                state = st.states(lev, size)[-1][st.at]
-                ok = state >= 0
-                code, n = np.unique(state[ok] * size + st.s[st.at][ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _tested(spark: SparkSession, counts: DataFrame, below: DataFrame, suffix: np.ndarray, size: int, min_kl: float):
-    """Per context: n, distinct next symbols, and whether the divergence from
-    its suffix's distribution passes the test. ``below`` has the suffixes'
-    (code, n); ``suffix`` the suffix of each context."""
-    link = spark.createDataFrame([(i, int(x)) for i, x in enumerate(suffix)], "ctx long, sfx long")  # bounded by 1 / min_share
-    own = counts.select(F.expr(f"code div {size}").alias("ctx"), (F.col("code") % size).alias("sym"), "n").join(link, "ctx")
-    base = below.select(F.expr(f"code div {size}").alias("sfx"), (F.col("code") % size).alias("sym"), F.col("n").alias("m"))
-    sums = own.groupBy("ctx", "sfx").agg(F.sum("n").alias("c"), F.count("*").alias("kinds"))
-    base_sums = base.groupBy("sfx").agg(F.sum("m").alias("cm"))
-    gain = own.join(base, ["sfx", "sym"]).groupBy("ctx").agg(F.sum(F.col("n") * (F.log("n") - F.log("m"))).alias("g"))
-    return sums.join(base_sums, "sfx").join(gain, "ctx") \
-        .select("ctx", "c", "kinds", (F.col("g") / F.col("c") - F.log("c") + F.log("cm")).alias("kl")) \
-        .withColumn("kept", (F.col("kl") >= min_kl) & (2 * F.col("c") * F.col("kl") >= F.col("kinds") + 4 * F.sqrt(2.0 * F.col("kinds"))))
-
-
-def learn(texts: DataFrame, max_order: int = 3, min_share: float = 1e-4, min_entry: float = 1e-6, hot_share: float = 5e-7,
-          min_kl: float = 0.01) -> tuple[DataFrame, dict]:
-    """(token counts as a table, bounded model for the tasks)."""
-    spark = texts.sparkSession
+                st = Stream(w)
+                steps = st.runs()
+                for _ in range(order):
+                    _, h = next(steps)
+                at = np.flatnonzero(st.depth >= order)
+                at = at[marked(contexts.value, h[at - 1], BITS)]
+                at = at[marked(tokens.value, h[at], BITS)]
+                _, first, n = np.unique(longer(h[at - 1], h[at]), return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at - 1].view(np.int64)), pa.array(h[at].view(np.int64)), pa.array(n.astype(np.int64))], ["c", "s", "n"])
+    return texts.select("text").mapInArrow(run, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
+
+
+def _named(counts: DataFrame) -> DataFrame:
+    """(c, s, n) with the run's own hash ``g``."""
+    def run(batches):
+        for b in batches:
+            g = longer(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g.view(np.int64))], ["c", "s", "n", "g"])
+    return counts.mapInArrow(run, "c long, s long, n long, g long")
+
+
+def _tested(own: DataFrame, min_kl: float) -> DataFrame:
+    """(ctx, free, whole): the contexts that pass the divergence test, the mass
+    they leave to their suffix and their whole mass."""
+    sums = own.groupBy(F.col("c").alias("ctx")).agg(
+        F.max("cn").alias("cn"), F.sum("n").alias("held"), F.count("*").alias("kinds"), F.sum("low").alias("covered"),
+        F.sum(F.col("n") * (F.log(F.col("n") / F.col("cn")) - F.log("low"))).alias("gain"))
+    rest = 1 - F.col("held") / F.col("cn")  # what has no entry is compared as one
+    kl = F.col("gain") / F.col("cn") + F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("covered"), F.lit(1e-12)))).otherwise(0.0)
+    return sums.withColumn("kl", kl).where((F.col("kl") >= min_kl) & (2 * F.col("cn") * F.col("kl") >= F.col("kinds") + 4 * F.sqrt(2.0 * F.col("kinds")))) \
+        .select("ctx", (F.col("kinds") + F.col("cn") - F.col("held")).alias("free"), (F.col("kinds") + F.col("cn")).alias("whole"))
+
+
+def learn(texts: DataFrame, max_order: int = 3, min_context: int = 64, min_entry: int = 16, min_kl: float = 0.01) -> tuple[DataFrame, dict]:
+    """(the tree as a table, its totals). The table has per run: ``key``; ``v``,
+    what the run adds to a score beyond unigrams; ``b``, for single tokens
+    log10(c + 0.1) + 1 (0 for runs of more); ``n``, its training count."""
     counts = staged(token_counts(texts).where("c > 0"), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    hot = counts.where(F.col("c") >= max(1.0, hot_share * n)).toPandas()
-    key, c = hot["token"].to_numpy().view(np.uint64), hot["c"].to_numpy()
-    order = np.argsort(key)
-    key, c = key[order], c[order]
-    often = np.flatnonzero((c >= min_share * n) & (key != END_HASH))
-    size = len(often) + 2
-    alphabet = (key[often], np.arange(2, size))
-    p0 = np.zeros(size)
-    p0[2:] = (c[often] + 0.1) / (n + 0.1 * (v + 1))
-    c_end = int(c[key == END_HASH].sum()) if n else 0
-    if n and not c_end:
-        c_end = int((counts.where(F.col("token") == int(END_HASH)).agg(F.sum("c")).first()[0]) or 0)
-    p0[END] = (c_end + 0.1) / (n + 0.1 * (v + 1)) if n else 0.0
-    p0[RARE] = max(1.0 - p0.sum(), 1e-12)
-    if not n:
-        p0[:] = 1.0  # nothing learned: every text scores 0
-    seen = c_end > 0
-    rare_n, rare_v = n - int(c[often].sum()) - c_end, v - len(often) - int(seen)
-    model = {"hot": (key, c), "alphabet": alphabet, "p0": p0, "size": size, "n": n, "v": v, "c_end": c_end,
-             "rare_total": rare_n + 0.1 * (rare_v + 1), "levels": [], "nodes": []}
-    # the root's next symbols, by symbol
-    shares = [int(x) for x in np.concatenate([[rare_n, c_end], c[often]])]
-    below = spark.createDataFrame([(i, x) for i, x in enumerate(shares) if x > 0], "code long, n long")
-    contexts = [(i,) for i in range(size)]
-    number = {x: i for i, x in enumerate(contexts)}
-    suffix = np.zeros(size, np.int64)
-    for level in range(1, max_order + 1):
-        if not n:
+    mass = n + 0.1 * (v + 1)
+    parts = [counts.select(F.col("token").alias("key"), F.lit(0.0).alias("v"), (F.log10(F.col("c") + F.lit(0.1)) + 1).alias("b"), F.col("c").alias("n"))]
+    # runs of one token: how often, and their probability in the root
+    runs = counts.where(F.col("c") >= min_entry).select(F.col("token").alias("g"), F.col("c").alias("n"), ((F.col("c") + F.lit(0.1)) / mass).alias("p"))
+    starts = counts.where(F.col("token") == int(END_HASH)).select(F.lit(int(START_HASH)).cast("bigint").alias("g"), F.col("c").alias("n"))
+    contexts = runs.select("g", "n").unionByName(starts).where(F.col("n") >= min_context)
+    for order in range(1, max_order + 1):
+        if not contexts.limit(1).count():
             break
-        at = staged(next_counts(texts, alphabet, model["levels"], size), f"lm-level{level}")
-        info = _tested(spark, at, below, suffix, size, min_kl).toPandas()  # one row per context
-        entries = at.where(F.col("n") >= max(1.0, min_entry * n)).toPandas().sort_values("code")
-        code, m = entries["code"].to_numpy(), entries["n"].to_numpy().astype(float)
-        held = np.bincount(code // size, m, len(contexts))
-        whole, kinds, kept = np.zeros(len(contexts)), np.zeros(len(contexts)), np.zeros(len(contexts), bool)
-        whole[info["ctx"]], kinds[info["ctx"]], kept[info["ctx"]] = info["c"], info["kinds"], info["kept"]
-        model["nodes"].append({"code": code, "n": m, "held": held, "spread": kinds + whole - held, "kept": kept})
-        # contexts of the next level: often enough, not past an end mark, their suffix known
-        grown = entries[(entries["n"] >= min_share * n) & (entries["code"] % size != END)]["code"].to_numpy()
-        longer = [(int(x), contexts[x // size] + (int(x % size),)) for x in grown]
-        longer = [(x, t) for x, t in longer if t[1:] in number]
-        if not longer:
-            break
-        suffix = np.array([number[t[1:]] for _, t in longer], np.int64)
-        model["levels"].append(np.array([x for x, _ in longer], np.int64))
-        contexts = [t for _, t in longer]
-        number = {t: i for i, t in enumerate(contexts)}
-        below = at
-    return counts, model
-
-
-def symbol_probabilities(st: Stream, model: dict) -> np.ndarray:
-    """P(symbol | longest kept suffix state) at each place to predict."""
-    size = model["size"]
-    sym = st.s[st.at]
-    p = model["p0"][sym]
-    for state, node in zip(st.states(model["levels"], size), model["nodes"]):
-        own = state[st.at]
-        use = np.flatnonzero((own >= 0) & node["kept"][own])
-        ctx = own[use]
-        found, i = in_sorted(node["code"], ctx * size + sym[use])
-        n = np.where(found, node["n"][i] if len(node["n"]) else 0.0, 0.0)
-        p[use] = (n + node["spread"][ctx] * p[use]) / (node["held"][ctx] + node["spread"][ctx])
-    return p
-
-
-def score(docs: DataFrame, counts: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        raw = next_counts(texts, order, hash_bitmap(contexts, "g", BITS), hash_bitmap(runs, "g", BITS)).where(F.col("n") >= min_entry)
+        own = _named(raw).join(contexts.select(F.col("g").alias("c"), F.col("n").alias("cn")), "c") \
+            .join(runs.select(F.col("g").alias("s"), F.col("p").alias("low")), "s")
+        own = staged(own.select("g", "c", "n", "cn", "low"), f"lm-runs{order}")
+        kept = staged(_tested(own, min_kl).join(contexts.withColumnRenamed("g", "ctx"), "ctx"), f"lm-contexts{order}")
+        back = F.log10(F.col("free") / F.col("whole"))
+        tree = own.join(kept.select("ctx", "free", "whole"), F.col("c") == F.col("ctx"), "left") \
+            .withColumn("p", F.coalesce((F.col("n") + F.col("free") * F.col("low")) / F.col("whole"), "low"))
+        # a context whose every occurrence has an entry still leaves mass: free >= kinds >= 1
+        tree = staged(tree.select("g", "n", "p", (F.log10(F.col("p") / F.col("low")) - back).alias("v")), f"lm-tree{order}")
+        parts += [kept.select(F.col("ctx").alias("key"), back.alias("v"), F.lit(0.0).alias("b"), "n"),
+                  tree.where("v is not null").select(F.col("g").alias("key"), "v", F.lit(0.0).alias("b"), "n")]
+        runs = tree.select("g", "n", "p")
+        contexts = runs.select("g", "n").where(F.col("n") >= min_context)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return staged(whole.groupBy("key").agg(F.sum("v").alias("v"), F.sum("b").alias("b"), F.max("n").alias("n")), "lm-tree"), \
+        {"n": n, "v": v, "order": max_order}
+
+
+def score(docs: DataFrame, tree: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), hot_share: float = 1e-6) -> DataFrame:
     """``keep`` columns of every row, n_tokens, n_known, train_tokens,
     base_score (unigrams) and score (suffix tree), log10."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    least = max(1.0, hot_share * model["n"])
+    hot = tree.where(F.col("n") >= least).select("key", "v", "b").toPandas()  # at most 1 / hot_share per run length
+    key = hot["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    far = tree.where(F.col("n") < least)
+    shared = docs.sparkSession.sparkContext.broadcast((key[order], hot["v"].to_numpy()[order], hot["b"].to_numpy()[order]))
+    asked_for = hash_bitmap(far, "key", BITS)
     names, kinds = list(keep), {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    lengths = model["order"] + 1
 
     def run(batches):
-        m = shared.value
-        key, c = m["hot"]
+        keys, v, b1 = shared.value
         for b in batches:
             for i, j, w in chunks(b, "_text", TOKENS, CHUNK):
-                uniq, inv = np.unique(w.hash, return_inverse=True)
-                found, at = in_sorted(key, uniq)
-                logs = np.where(found, np.log10((c[at] if len(c) else np.zeros(len(uniq))) + 0.1), 0.0)
-                sym = _symbols(w, m["alphabet"])
-                st = Stream(w, sym)
-                p = np.log10(symbol_probabilities(st, m))
-                tree = np.bincount(st.doc, p, w.n_docs)
-                rare = sym == RARE
-                tree += np.bincount(w.doc[rare], logs[inv[rare]] - np.log10(m["rare_total"]), w.n_docs)
-                base = np.bincount(w.doc, logs[inv], w.n_docs) + np.log10(m["c_end"] + 0.1) - (w.counts() + 1) * np.log10(m["n"] + 0.1 * (m["v"] + 1))
-                known = np.bincount(w.doc, found[inv], w.n_docs).astype(np.int64) + int(m["c_end"] > 0)
-                far = np.flatnonzero(~found[inv])  # tokens whose count must be joined
+                st = Stream(w)
+                known, base, more = np.zeros(w.n_docs, np.int64), np.zeros(w.n_docs), np.zeros(w.n_docs)
+                asked, of = [], []
+                for _, (at, h) in zip(range(lengths), st.runs()):
+                    uniq, inv = np.unique(h[at], return_inverse=True)
+                    found, x = in_sorted(keys, uniq)
+                    doc = st.doc[at]
+                    if found.any():
+                        for into, value in ((base, b1), (more, v)):
+                            into += np.bincount(doc, np.where(found, value[x], 0.0)[inv], w.n_docs)
+                        known += np.bincount(doc, (found & (b1[x] > 0))[inv], w.n_docs).astype(np.int64)
+                    open_ = np.flatnonzero((~found & marked(asked_for.value, uniq, BITS))[inv])
+                    asked.append(h[at[open_]])
+                    of.append(doc[open_])
+                asked, of = np.concatenate(asked), np.concatenate(of)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(x)[i:j] for x in range(len(names))]
-                    + [pa.array((w.counts() + 1).astype(np.int64)), pa.array(known), pa.array(base), pa.array(tree),
-                       list_array(w.hash[far].view(np.int64), np.bincount(w.doc[far], minlength=w.n_docs), pa.int64())],
-                    [f"c{x}" for x in range(len(names))] + ["n_tokens", "known", "base", "tree", "far"])
-    schema = ", ".join([f"c{x} {kinds[k]}" for x, k in enumerate(names)] + ["n_tokens long, known long, base double, tree double, far array<long>"])
+                    + [pa.array((w.counts() + 1).astype(np.int64)), pa.array(known), pa.array(base), pa.array(more),
+                       list_array(asked[np.argsort(of, kind="stable")].view(np.int64), np.bincount(of, minlength=w.n_docs), pa.int64())],
+                    [f"c{x}" for x in range(len(names))] + ["n_tokens", "known", "base", "more", "far"])
+    schema = ", ".join([f"c{x} {kinds[k]}" for x, k in enumerate(names)] + ["n_tokens long, known long, base double, more double, far array<long>"])
     read = docs.select(*[F.col(k).alias(f"c{x}") for x, k in enumerate(names)], F.col("text").alias("_text"))
     part = staged(read.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    asked = part.where("size(far) > 0").select("row", F.explode("far").alias("token"))
-    got = asked.join(counts, "token", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more"), F.count_if(F.col("c") > 0).alias("met"))
-    more = F.coalesce("more", F.lit(0.0))
+    asked = part.where("size(far) > 0").select("row", F.explode("far").alias("key"))
+    got = asked.join(far.select("key", "v", "b"), "key").groupBy("row").agg(
+        F.sum("v").alias("far_v"), F.sum("b").alias("far_b"), F.count_if(F.col("b") > 0).alias("met"))
+    unseen = -1 - float(np.log10(model["n"] + 0.1 * (model["v"] + 1)))  # log10 share of a token never seen
+    base = F.col("n_tokens") * F.lit(unseen) + F.col("base") + F.coalesce("far_b", F.lit(0.0))
     return part.drop("far").join(got, "row", "left").select(
         *[F.col(f"c{x}").alias(k) for x, k in enumerate(names)], "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
-        F.lit(model["n"]).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("tree") + more).alias("score"))
+        F.lit(model["n"]).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.coalesce("far_v", F.lit(0.0))).alias("score"))
 
 
 def op6_suffix_tree(spark, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held)
-    counts, model = learn(docs.where("not held_out"))
-    return score(docs, counts, model, ("doc_id", "held_out"))
+    tree, model = learn(docs.where("not held_out"))
+    return score(docs, tree, model, ("doc_id", "held_out"))

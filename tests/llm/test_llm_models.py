@@ -6,11 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from regilens.llm import langid, mixing, quality, suffix_lm
-from regilens.llm._text import TOKENS, chunks
 from regilens.llm.queries import QUERIES
 
 SF_SMOKE, SF_ORACLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -148,21 +146,72 @@ def test_model_edge_cases(spark, tables):
     assert (out["n_tokens"], out["n_known"], out["train_tokens"], out["base_score"], out["score"]) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_next_symbol_distributions_sum_to_one(spark):
-    """After any context, the probabilities of all symbols sum to 1."""
-    docs = spark.read.parquet(f"{SF_SMOKE}/documents.parquet")
-    _, model = suffix_lm.learn(docs.select("text"), min_share=2e-3, min_entry=1e-4)
-    assert any(node["kept"].any() for node in model["nodes"])
-    text = docs.orderBy("doc_id").first()["text"][:400]
-    w = next(chunks(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]), "text", TOKENS))[2]
-    symbols = suffix_lm._symbols(w, model["alphabet"])
-    for place in (0, 5, 17):
-        total = 0.0
-        for s in range(model["size"]):
-            st = suffix_lm.Stream(w, symbols)
-            st.s[place + 1] = s
-            total += suffix_lm.symbol_probabilities(st, model)[place]
-        assert abs(total - 1) < 1e-9
+def brute_tree(texts, max_order, min_context, min_entry, min_kl):
+    """P(token | context) by plain counting of all runs, and the kept contexts."""
+    streams = [["<s>", *t.split(), "</s>"] for t in texts]
+    runs = Counter(tuple(s[i:i + k]) for s in streams for k in range(1, max_order + 2) for i in range(len(s) - k + 1))
+    unigrams = Counter({r[0]: n for r, n in runs.items() if len(r) == 1 and r != ("<s>",)})
+    n, v = sum(unigrams.values()), len(unigrams)
+    after = {}
+    for r, c in runs.items():
+        if len(r) > 1 and c >= min_entry and runs[r[:-1]] >= min_context:
+            after.setdefault(r[:-1], {})[r[-1]] = c
+    kept = {}
+
+    def p(token, context):
+        if not context:
+            return (unigrams[token] + 0.1) / (n + 0.1 * (v + 1))
+        low = p(token, context[1:])
+        if context not in kept:
+            return low
+        whole, entries = runs[context], kept[context]
+        free = len(entries) + whole - sum(entries.values())
+        return (entries.get(token, 0) + free * low) / (whole + len(entries))
+
+    for context in sorted(after, key=len):
+        if len(context) > max_order:
+            continue
+        whole, entries = runs[context], after[context]
+        low = {s: p(s, context[1:]) for s in entries}
+        rest = 1 - sum(entries.values()) / whole
+        kl = sum(c / whole * math.log(c / whole / low[s]) for s, c in entries.items())
+        kl += rest * math.log(rest / max(1 - sum(low.values()), 1e-12)) if rest > 0 else 0
+        if kl >= min_kl and 2 * whole * kl >= len(entries) + 4 * math.sqrt(2 * len(entries)):
+            kept[context] = entries
+    return p, kept, unigrams
+
+
+def test_tree_scores_equal_plain_counting(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(150):
+        t = [str(rng.choice(words))]
+        for _ in range(int(rng.integers(0, 60))):
+            t.append(words[(int(t[-1][1:]) * 7 + 3 * (len(t) > 1 and t[-2] < "w2")) % 30] if rng.random() < 0.6 else str(rng.choice(words)))
+        texts.append(" ".join(t))
+    texts += ["w1 w2 w3 w4 w5"] * 20 + ["", "w1"]
+    p, kept, unigrams = brute_tree(texts, 3, 12, 3, 0.01)
+    assert {len(c) for c in kept} == {1, 2, 3} and any(c[0] == "<s>" for c in kept)
+    for context in sorted(kept)[::7]:  # all tokens and one never seen
+        assert abs(sum(p(s, context) for s in unigrams) + p("never", context) - 1) < 1e-9
+    tree, model = suffix_lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 3, 12, 3)
+    asked = [*texts, "w1 never w2 w3", "never", "w1  w2\tw3 w9"]
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for share in (1e-6, 2e-3, 1.0):  # all runs in the tasks, some, none
+        for r in suffix_lm.score(frame, tree, model, hot_share=share).collect():
+            s = ["<s>", *asked[r["doc_id"]].split(), "</s>"]
+            want = sum(math.log10(p(s[i], tuple(s[max(0, i - 3):i]))) for i in range(1, len(s)))
+            assert abs(r["score"] - want) < 1e-6 and r["n_known"] == sum(unigrams[x] > 0 for x in s[1:])
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """Twice the texts never lose a context; new text adds runs."""
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("text")
+    small = spark.read.parquet(f"{SF_SMOKE}/documents.parquet").select("text")
+    size = lambda d: (lambda t: (t.count(), t.where("b = 0").count()))(suffix_lm.learn(d)[0])
+    (keys, runs), (more_keys, more_runs) = size(small), size(docs)
+    assert more_keys > 2 * keys and more_runs > 4 * runs > 0
 
 
 def test_mix_targets_and_order(spark):
