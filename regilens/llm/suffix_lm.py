@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ._spark import crc_remainder, hash_bitmap, marked, staged, table
 from ._text import TOKENS, Words, chunks, in_sorted, list_array, mix
 
-CHUNK = 4 << 20
+CHUNK, SCORE_CHUNK = 2 << 20, 1 << 20  # bytes of text whose arrays a task holds at a time
 START_HASH, END_HASH = np.uint64(0x005A1C39D25), np.uint64(0x00E4D0F7E87)  # no word's hashes but by chance 2^-64
 BITS = 26
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, tree: DataFrame, model: dict, keep: tuple[str, ...] =
     def run(batches):
         keys, v, b1 = shared.value
         for b in batches:
-            for i, j, w in chunks(b, "_text", TOKENS, CHUNK):
+            for i, j, w in chunks(b, "_text", TOKENS, SCORE_CHUNK):
                 st = Stream(w)
                 known, base, more = np.zeros(w.n_docs, np.int64), np.zeros(w.n_docs), np.zeros(w.n_docs)
                 asked, of = [], []
