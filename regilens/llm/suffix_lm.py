@@ -172,7 +172,7 @@ def score(docs: DataFrame, tree: DataFrame, model: dict, keep: tuple[str, ...] =
     order = np.argsort(key)
     far = tree.where(F.col("n") < least)
     shared = docs.sparkSession.sparkContext.broadcast((key[order], hot["v"].to_numpy()[order], hot["b"].to_numpy()[order]))
-    asked_for = hash_bitmap(far, "key", BITS)
+    low, high = hash_bitmap(far, "key", BITS), hash_bitmap(far.select(F.shiftrightunsigned("key", BITS).alias("key")), "key", BITS)
     names, kinds = list(keep), {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     lengths = model["order"] + 1
 
@@ -191,7 +191,8 @@ def score(docs: DataFrame, tree: DataFrame, model: dict, keep: tuple[str, ...] =
                         for into, value in ((base, b1), (more, v)):
                             into += np.bincount(doc, np.where(found, value[x], 0.0)[inv], w.n_docs)
                         known += np.bincount(doc, (found & (b1[x] > 0))[inv], w.n_docs).astype(np.int64)
-                    open_ = np.flatnonzero((~found & marked(asked_for.value, uniq, BITS))[inv])
+                    may = ~found & marked(low.value, uniq, BITS) & marked(high.value, uniq >> np.uint64(BITS), BITS)
+                    open_ = np.flatnonzero(may[inv])
                     asked.append(h[at[open_]])
                     of.append(doc[open_])
                 asked, of = np.concatenate(asked), np.concatenate(of)
