@@ -5,8 +5,9 @@ operators applied to all that its predecessor kept.
 it again as the next stage's documents. All stages but the last return the
 columns of the documents.
 
-1. language: documents without a letter, or without a language that holds
-   ``MIN_LANGUAGE_SCORE`` of the vote, go.
+1. language: documents without a letter, without a language that holds
+   ``MIN_LANGUAGE_SCORE`` of the vote, or whose words fit the one found worse than
+   ``MIN_LANGUAGE_FIT`` (mean log ratio to independent letters), go.
 2. near duplicates: one document of each class of similar texts stays.
 3. passages: passages of 50 words or more that an earlier document has are cut
    out; a document that consisted of them goes.
@@ -31,6 +32,7 @@ from regilens.llm._spark import staged, table, text_key
 from regilens.session import checkpoint_root
 
 MIN_LANGUAGE_SCORE = 0.35
+MIN_LANGUAGE_FIT = -4.0
 
 
 def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -42,8 +44,8 @@ def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.predict(docs, langid.learn(docs), tuple(docs.columns)).toDF(*docs.columns, "__lang", "__score")
-    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = langid.predict(docs, langid.learn(docs), tuple(docs.columns), fit=True).toDF(*docs.columns, "__lang", "__score", "__fit")
+    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE) & (F.col("__fit") >= MIN_LANGUAGE_FIT)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

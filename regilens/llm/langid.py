@@ -9,6 +9,14 @@ character n-grams, longest first: the mean log frequency of its known 4-grams,
 else of its 3-grams, and so on. A document's language has the largest sum of
 word votes and log prior; its score is the softmax share of that sum.
 
+That share says which language, not whether it is one. ``predict(fit=True)`` adds
+a length-normalised ``fit`` to the language found: the mean over words of 0 for a
+known word, else its 4-grams' mean log ratio to independent letters, at most 0.
+A 4-gram not known has the ratio of ``BACKGROUND`` draws of letters to all,
+log(B / (total + B)); none is below ``LEAST_RATIO``. So fit is 0 for a text in a
+language's words and near that bound for strings of letters; where little text
+is learned from it stays near 0 and condemns nothing.
+
 Statistics cover all training texts. What reaches the tasks is bounded by the
 shares, not by the corpus: at most 1 / min_share words and 1 / min_gram_share
 n-grams of each length and language can hold such a share (250,000 and 500,000
@@ -35,6 +43,7 @@ from ._text import LETTERS, chunks, in_sorted, mix
 
 ORDERS = (4, 3, 2, 1)
 PRIOR = 50.0
+BACKGROUND, LEAST_RATIO = 10_000.0, -6.0
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -116,12 +125,13 @@ def learn(labelled: DataFrame, min_share: float = 4e-6, min_gram_share: float =
     langs = sorted(prior)
     known = words.join(_often(words, totals, min_share), F.col("h") == F.col("k"))
     model = {"langs": langs, "prior": np.log(np.array([prior[x] for x in langs], float) / max(1, sum(prior.values()))).astype(np.float32),
-             "words": _log_table(known.select("lang", "h", "n").toPandas(), langs, totals), "grams": {}}
+             "words": _log_table(known.select("lang", "h", "n").toPandas(), langs, totals), "grams": {}, "size": {}}
     grams = staged(gram_counts(words), "lang-grams")
     sums = grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).toPandas()
     for size in ORDERS:
         of = sums[sums["size"] == size]
         own, all_ = grams.where(F.col("size") == size), dict(zip(of["lang"], of["n"]))
+        model["size"][size] = np.array([all_.get(x, 0) for x in langs], float)
         model["grams"][size] = _log_table(own.join(_often(own, all_, min_gram_share), F.col("h") == F.col("k")).select("lang", "h", "n").toPandas(), langs, all_)
     return model
 
@@ -147,12 +157,33 @@ def word_votes(words: list[str], hashes: np.ndarray, model: dict) -> np.ndarray:
     return votes
 
 
-def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row, lang_pred and score."""
+def word_fits(words: list[str], hashes: np.ndarray, model: dict) -> np.ndarray:
+    """How well each word fits each language, at most 0 (see above)."""
+    fits = np.zeros((len(words), len(model["langs"])), np.float32)
+    open_ = np.flatnonzero(~in_sorted(model["words"][0], hashes)[0])
+    if not len(open_):
+        return fits
+    strange, n = [words[x] for x in open_], len(open_)
+    (of, h), (of1, h1) = word_grams(strange, ORDERS[0]), word_grams(strange, 1)
+    (keys, logs), (keys1, logs1) = model["grams"][ORDERS[0]], model["grams"][1]
+    (ok, at), (ok1, at1) = in_sorted(keys, h), in_sorted(keys1, h1)
+    grams, letters = np.bincount(of, minlength=n), np.bincount(of1, minlength=n)
+    for k in range(fits.shape[1]):
+        least = max(np.log(BACKGROUND / (model["size"][ORDERS[0]][k] + BACKGROUND)), LEAST_RATIO)
+        rare = np.log(PRIOR / (model["size"][1][k] + PRIOR))  # a letter not known
+        alone = np.bincount(of1, np.where(ok1, logs1[at1, k], rare) if len(keys1) else np.full(len(of1), rare), n) / np.maximum(letters, 1)
+        ratio = np.where(ok, np.maximum(logs[at, k] - ORDERS[0] * alone[of], least), least) if len(keys) else np.full(len(of), least)
+        fits[open_, k] = np.minimum(np.bincount(of, ratio, n) / np.maximum(grams, 1), 0)
+    return fits
+
+
+def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), fit: bool = False) -> DataFrame:
+    """``keep`` columns of every row, lang_pred and score; with ``fit`` also that."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
     sent = names + ([] if "text" in names else ["text"])  # the text goes to Python once
     at = sent.index("text")
+    added = ["lang_pred", "score"] + (["fit"] if fit else [])
 
     def run(batches):
         m = shared.value
@@ -161,7 +192,8 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
             raw = b.column(at)
             for i, j, w in chunks(b, f"c{at}", LETTERS, lower=True):
                 uniq, first, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-                votes = word_votes([w.text(x) for x in first], uniq, m) if langs else np.zeros((len(uniq), 0), np.float32)
+                words = [w.text(x) for x in first]
+                votes = word_votes(words, uniq, m) if langs else np.zeros((len(uniq), 0), np.float32)
                 total = np.stack([np.bincount(w.doc, votes[inv, k], w.n_docs) + m["prior"][k] for k in range(len(langs))], 1) if langs else np.zeros((w.n_docs, 0))
                 plain = np.concatenate([[0], np.cumsum(((w.data >= 65) & (w.data <= 90)) | ((w.data >= 97) & (w.data <= 122)))])
                 letters = (plain[w.offsets[1:]] - plain[w.offsets[:-1]]) > 0
@@ -170,14 +202,15 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
                 good = letters & bool(langs)
                 best = total.argmax(1) if langs else np.zeros(w.n_docs, int)
                 share = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1) if langs else np.zeros(w.n_docs)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(k)[i:j] for k in range(len(names))]
-                    + [pa.array([langs[x] if ok else "und" for x, ok in zip(best, good)], pa.string()), pa.array(np.where(good, share, 0.0))],
-                    [f"c{k}" for k in range(len(names))] + ["lang_pred", "score"])
+                out = [pa.array([langs[x] if ok else "und" for x, ok in zip(best, good)], pa.string()), pa.array(np.where(good, share, 0.0))]
+                if fit:
+                    own = word_fits(words, uniq, m)[inv, best[w.doc]] if langs else np.zeros(len(w.doc))
+                    out.append(pa.array(np.bincount(w.doc, own, w.n_docs) / np.maximum(w.counts(), 1)))
+                yield pa.RecordBatch.from_arrays([b.column(k)[i:j] for k in range(len(names))] + out, [f"c{k}" for k in range(len(names))] + added)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"c{k} {kinds[c]}" for k, c in enumerate(names)] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"c{k} {kinds[c]}" for k, c in enumerate(names)] + ["lang_pred string", "score double", "fit double"][:len(added)])
     read = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(sent)])
-    return read.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
+    return read.mapInArrow(run, schema).toDF(*names, *added)
 
 
 def op4_word_backoff(spark, sf_dir: str) -> DataFrame:

@@ -86,6 +86,22 @@ def test_a_small_language_keeps_its_words(spark):
     assert [r["lang_pred"] for r in out] == ["de", "en"] and len(model["words"][0]) == 9
 
 
+def test_fit_tells_texts_from_strings_of_letters(spark):
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.learn(docs.where(~held))
+    rng = np.random.default_rng(9)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(n)) for n in (5, 50, 500)]
+    strange = langid.predict(spark.createDataFrame(list(enumerate(noise)), "i int, text string"), model, ("i",), fit=True).collect()
+    texts = langid.predict(docs.where(held), model, fit=True).where("lang_pred <> 'und'").collect()
+    bound = {lang: max(math.log(1e4 / (n + 1e4)), -6) for lang, n in zip(model["langs"], model["size"][4])}
+    assert len(strange) == 3 and all(bound[r["lang_pred"]] - 1e-5 <= r["fit"] < 0.75 * bound[r["lang_pred"]] for r in strange)
+    assert len(texts) > 100 and all(-2 < r["fit"] <= 0 for r in texts)
+    little = langid.learn(spark.createDataFrame([("a few words", "en")], "text string, lang string"))
+    out = langid.predict(spark.createDataFrame([(0, noise[0]), (1, None), (2, "")], "i int, text string"), little, ("i",), fit=True)
+    assert all(abs(r["fit"]) < 0.1 for r in out.collect())
+
+
 def test_quality_of_held_out_texts(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op8_bradley_terry"](spark, SF_ORACLE).collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF_ORACLE}/labels.parquet").collect()}

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+
 SF_SMOKE, SF_ORACLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 from test_llm_joins import brute_classes, words
 
@@ -71,5 +73,18 @@ def test_pipeline_on_awkward_rows(spark, tables, tmp_path):
     check(spark, tables("awkward"), tmp_path)
 
 
+def test_language_stage_rejects_strings_of_letters(spark):
+    """Random letters go, whatever language they are labelled as; every other
+    text with a letter stays, also one with a few such strings in it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(9)
+    noise = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 12)))) for _ in range(n))
+    first = docs.where("lang = 'en' and length(text) > 500").orderBy("doc_id").first()["text"]
+    added = [(-1 - i, noise(n), "en" if i % 2 else None) for i, n in enumerate([5, 40, 400, 2000])] + [(-10, first[:300] + " " + noise(5), "en")]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(added, docs.schema)), "").select("doc_id").collect()}
+    clean = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert kept == clean | {-10}
+
+
 def test_run_on_empty_tables(spark, tables):
     assert QUERIES["pipeline"](spark, tables("empty")).count() == 0
