@@ -21,6 +21,7 @@ changed input never meets old tables."""
 
 from __future__ import annotations
 
+import contextlib
 import datetime as _dt
 import hashlib
 import inspect
@@ -48,6 +49,10 @@ TABLES = {"DimDog_std": "dog_std", "FactRegistration_std": "registration_std", "
           "FactRegistration": "registration", "FactTransaction": "transaction"}
 
 
+SHUFFLE_BYTES = 8 << 20  # of the files that a written table reads, per shuffle partition
+_SETTING = threading.Lock()
+
+
 @dataclass(frozen=True)
 class Star:
     dog_stage: DataFrame
@@ -106,6 +111,21 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+@contextlib.contextmanager
+def _shuffles_by_size(spark: SparkSession, df: DataFrame):
+    """While it lasts, shuffles have a partition for each :data:`SHUFFLE_BYTES`
+    of the files that ``df`` reads, if the session's number is smaller: the rows
+    that a task sorts then fit in memory whatever the size of the input."""
+    sizes = [fs.getFileStatus(p).getLen() for fs, p in (hadoop_path(spark, f) for f in df.inputFiles())]
+    with _SETTING:  # one at a time, or another's number would be taken for the session's
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(int(before), -(-sum(sizes) // SHUFFLE_BYTES))))
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | None = None, figures_path: str | None = None,
                 partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The finished table at ``path``, written first if there is none. Two
@@ -116,7 +136,8 @@ def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | N
         copy = f"{path}.{uuid.uuid4().hex}"
         if figures:
             df, seen = audit.observed(df, figures)
-        df.write.partitionBy(*partition_by).parquet(copy)
+        with _shuffles_by_size(spark, df):
+            df.write.partitionBy(*partition_by).parquet(copy)
         if figures:
             write_table(spark, audit.audit_rows(spark, figures, seen.get), figures_path)
         fs, to = hadoop_path(spark, path)

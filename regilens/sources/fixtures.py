@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regilens.session import hadoop_path, path_join
 from regilens.sources.schemas import (
     DOG_STAGE,
     REGISTRATION_STAGE,
@@ -51,6 +52,7 @@ LINE7_TYPE_A, LINE7_TYPE_B = "Fence Inspection Fee", "Registration Fee"
 COPY_OFFSET = 100_000_000
 REPEAT_OFFSET = 200_000_000
 ORPHAN_OFFSET = 900_000_000
+DEAL_BYTES = 8 << 20  # of a table's files per task
 
 
 def _map(c: Column, mapping: dict, default) -> Column:
@@ -185,17 +187,24 @@ def transaction_stage(lineitem: DataFrame) -> DataFrame:
     return conform(_dirty_fid(out, "Account_Number"), TRANSACTION_STAGE)
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of a test table, dealt to all cores and further to tasks of
+    :data:`DEAL_BYTES` of its files, so a task's rows fit in memory whatever the
+    size. They are dealt by the hash of their place in the scan: Spark sorts all
+    rows before it deals them in turn, and spills what doesn't fit."""
+    fs, path = hadoop_path(spark, path_join(sf_dir, f"{name}.parquet"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(path).getLength() // DEAL_BYTES))
+    return read_table(spark, sf_dir, name).select(*columns).repartition(parts, F.monotonically_increasing_id())
+
+
 def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three staging tables (lazy) derived from ``sf_dir``."""
     # the derivation (hashing, copies, casts) is the expensive part; each test
-    # table is one file, so its rows are dealt to all cores first
-    cores = spark.sparkContext.defaultParallelism
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(cores)
+    # table is one file, so its rows are dealt first
+    customer = _dealt(spark, sf_dir, "customer", ("c_custkey", "c_nationkey", "c_mktsegment"))
     nation = read_table(spark, sf_dir, "nation")
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority").repartition(cores)
-    lineitem = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").repartition(cores)
+    orders = _dealt(spark, sf_dir, "orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    lineitem = _dealt(spark, sf_dir, "lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
     return {
         "Dog_Stage": dog_stage(customer, nation),
         "Dog_Registration_Stage": registration_stage(orders),

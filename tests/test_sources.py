@@ -82,3 +82,45 @@ def test_csv_columns_go_by_header_name(spark):
     assert timed.Transaction_Date.hour == 10
     bad = parse_failures(spark, path, "Dog_Transaction_Stage").first().asDict()
     assert bad == {"FID": 0, "Account_Number": 0, "Transaction_Date": 1, "Transaction_Value": 1}
+
+
+def test_rows_are_dealt_by_the_size_of_the_files(spark, tmp_path, monkeypatch):
+    """More files, more tasks: a task's rows don't grow with the input. No row
+    is lost or made, and none is sorted for it."""
+    from pyspark.sql import functions as F
+
+    from regilens.sources import fixtures
+    for t, columns in (("customer", "id as c_custkey, 1L as c_nationkey, 'BUILDING' as c_mktsegment"), ("nation", "1L as n_nationkey, 'X' as n_name"),
+                       ("orders", "id as o_orderkey, id as o_custkey, 'P' as o_orderstatus, date'1995-01-01' as o_orderdate, '2-HIGH' as o_orderpriority"),
+                       ("lineitem", "id as l_orderkey, id as l_partkey, id as l_suppkey, 1 as l_linenumber, date'1995-01-01' as l_shipdate")):
+        spark.range(1 if t == "nation" else 20000).selectExpr(*columns.split(", ")).repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    monkeypatch.setattr(fixtures, "DEAL_BYTES", size // 60, raising=False)
+    dealt = load_stages(spark, str(tmp_path))["Dog_Transaction_Stage"]
+    per_task = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) >= 60 and max(per_task) < 1000
+    assert Counter(r[0] for r in dealt.select("hash_binary").collect()) == Counter(
+        r[0] for r in fixtures.transaction_stage(spark.read.parquet(str(tmp_path / "lineitem.parquet"))).select("hash_binary").collect())
+    assert "Sort" not in dealt._jdf.queryExecution().executedPlan().toString() and "RoundRobin" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_shuffle_by_the_size_of_their_input(spark, tmp_path, monkeypatch):
+    """A session of few shuffle partitions: the rows of a task don't grow with
+    the input, and the session keeps its number."""
+    from regilens.operators.dated import YEAR, by_date
+    from regilens.plans import star
+    spark.range(20000).selectExpr("id as FID", "date_add(date'2020-01-01', cast(id % 300 as int)) as d", "uuid() as u").write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    monkeypatch.setattr(star, "SHUFFLE_BYTES", size // 40, raising=False)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = star.write_table(spark, by_date(df, "d"), str(tmp_path / "out"), partition_by=(YEAR,))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) >= 40
+    assert Counter(got.drop(YEAR).collect()) == Counter(df.collect())
