@@ -188,13 +188,15 @@ def transaction_stage(lineitem: DataFrame) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...]) -> DataFrame:
-    """The columns of a test table, dealt to all cores and further to tasks of
-    :data:`DEAL_BYTES` of its files, so a task's rows fit in memory whatever the
-    size. They are dealt by the hash of their place in the scan: Spark sorts all
-    rows before it deals them in turn, and spills what doesn't fit."""
+    """The columns of a test table, dealt to all cores or, if that makes more, to
+    tasks of :data:`DEAL_BYTES` of its files, so a task's rows fit in memory
+    whatever the size. Many rows are dealt by the hash of their place in the
+    scan: Spark sorts rows before it deals them in turn, and spills what doesn't
+    fit."""
     fs, path = hadoop_path(spark, path_join(sf_dir, f"{name}.parquet"))
-    parts = max(spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(path).getLength() // DEAL_BYTES))
-    return read_table(spark, sf_dir, name).select(*columns).repartition(parts, F.monotonically_increasing_id())
+    rows, cores = read_table(spark, sf_dir, name).select(*columns), spark.sparkContext.defaultParallelism
+    parts = -(-fs.getContentSummary(path).getLength() // DEAL_BYTES)
+    return rows.repartition(parts, F.monotonically_increasing_id()) if parts > cores else rows.repartition(cores)
 
 
 def load_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
