@@ -11,10 +11,12 @@
    are sent to their star's block: the star's centre once, then its partners
    one by one.
 4. A component needs no more than a tree of links, so a bucket isn't paired all
-   with all: in each of ``ROUNDS`` rounds every bucket names a member, by a
-   random order that all buckets share, and all others of another component are
+   with all: in each of at most ``ROUNDS`` rounds every bucket names a member, by
+   a random order that all buckets share, and all others of another component are
    compared with it; it is settled then and leaves the bucket. A group of near
-   copies is one component after a round or two. Of the buckets that still hold
+   copies is one component after a round or two; no further round is made once
+   the buckets hold no more than ``FEW_PAIRS`` pairs. Each round's links join the
+   components of the rounds before. Of the buckets that still hold
    several components (as pages of one template, less alike than the threshold),
    the pairs across components are compared by signature and confirmed within
    tasks, in blocks of bounded size. So every candidate pair is either inside a
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, marked_texts, skewed_join, staged, table, text_key
+from ._spark import components, hash_bitmap, marked, skewed_join, staged, table, text_key
 from ._text import TOKENS, Words, chunks, in_sorted, kgrams, list_array, mix, runs
 
 SHINGLE = 5
@@ -49,6 +51,8 @@ ROWS = 5
 BATCH = 25
 ROUNDS = 2
 MISS = 1e-6
+FEW_PAIRS = 1 << 25
+ASKED_BITS = 25
 STAR_NODES = 2048
 STAR_SHINGLES = 1 << 19
 
@@ -144,17 +148,19 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> D
 
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, grams): the shingle sets of the classes asked for."""
-    asked = staged(nodes.distinct().join(classes.select("node", F.col("rep.doc_id").alias("_d"), F.col("rep.t").alias("_t")), "node"), "dedup-asked")
-    texts = marked_texts(docs, asked, "_t", text_key(F.col("text"))) \
-        .join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t"))).select("node", "text")
+    asked = staged(nodes.distinct().join(classes.select("node", F.xxhash64("rep.doc_id", "rep.t").alias("asked")), "node"), "dedup-asked")
+    bitmap = hash_bitmap(asked, "asked", ASKED_BITS)  # lets few others through; the join below is exact
 
     def sets(batches):
         for b in batches:
+            b = b.filter(pa.array(marked(bitmap.value, b.column(0).to_numpy().view(np.uint64), ASKED_BITS)))
             for i, j, w in chunks(b, "text", TOKENS):
                 doc, h = shingle_sets(w)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], list_array(h.view(np.int64), np.bincount(doc, minlength=w.n_docs), pa.int64())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], list_array(h.view(np.int64), np.bincount(doc, minlength=w.n_docs), pa.int64())], ["key", "grams"])
+    read = docs.select(F.xxhash64(F.col("doc_id"), text_key(F.col("text"))).alias("key"), "text")
     # a row that is repeated gives its set as often: one each
-    return staged(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), "dedup-sets")
+    each = read.mapInArrow(sets, "key long, grams array<long>").dropDuplicates(["key"])
+    return staged(each.join(asked.hint("merge"), F.col("key") == F.col("asked")).select("node", "grams"), "dedup-sets")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -251,6 +257,25 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(check, "a long, b long")
 
 
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of all links so far: the components ``roots``
+    (none before the first links) joined by the new links (a, b)."""
+    if roots is None:
+        return staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "dedup"), "dedup-roots")
+    of = lambda end, name: roots.select(F.col("node").alias(end), F.col("root").alias(name))
+    between = links.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left") \
+        .select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v"))
+    joined = staged(components(between, "dedup"), "dedup-joined")
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return staged(moved.unionByName(joined.join(roots, "node", "left_anti")), "dedup-roots")
+
+
+def bucket_pairs(buckets: DataFrame) -> int:
+    """The pairs of members, over all buckets."""
+    k = F.col("k").cast("decimal(38,0)")
+    return int(buckets.groupBy("bucket").agg(F.count("*").alias("k")).agg(F.sum(k * (k - 1))).first()[0] or 0) // 2
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, t (text key), n_shingles, component_id, kept."""
     sig = staged(signatures(docs), "dedup-signatures")
@@ -260,25 +285,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, roun
     banded = staged(classes.select("node", F.explode(bands).alias("bucket")), "dedup-bands")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     buckets = staged(skewed_join(banded, shared, "bucket").select("bucket", "node", F.col("node").alias("root")), "dedup-buckets")
-    edges = None
-    for r in range(rounds + 1):
-        if r < rounds:
+    roots, r, last = None, 0, rounds == 0
+    while True:
+        if last:
+            found = across(buckets, classes, docs, percent, miss)
+        else:
             centre = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("o"), "node", "root")).alias("c")) \
                 .select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("its_root"))
             led = staged(skewed_join(buckets, centre, "bucket").where("node <> centre"), "dedup-led")
             tried = pruned(led.where("root <> its_root").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), classes, percent, miss)
             found = confirmed(staged(tried, "dedup-pairs"), classes, docs, percent)
-            rest = led.select("bucket", "node")
-        else:
-            found = across(buckets, classes, docs, percent, miss)
-        found = staged(found, "dedup-links")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = staged(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "dedup"), "dedup-roots")
-        if r < rounds:  # buckets that still hold several components
-            moved = skewed_join(rest, roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-            moved = staged(moved, "dedup-moved")
-            several = moved.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-            buckets = staged(skewed_join(moved, several, "bucket"), "dedup-buckets")
+        roots = merged(roots, staged(found, "dedup-links"))
+        if last:
+            break
+        # buckets that still hold several components
+        moved = skewed_join(led.select("bucket", "node"), roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        moved = staged(moved, "dedup-moved")
+        several = moved.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        buckets = staged(skewed_join(moved, several, "bucket"), "dedup-buckets")
+        r += 1
+        last = r == rounds or bucket_pairs(buckets) <= FEW_PAIRS
     named = classes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     told = staged(named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id"), "dedup-result")
     out = sig.where("node is not null").select("doc_id", "t", "node", "n").join(told, "node").select("doc_id", "t", "n", "component_id") \

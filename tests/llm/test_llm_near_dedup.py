@@ -86,3 +86,41 @@ def test_pruning_keeps_pairs_at_the_threshold():
         beta = s ** m * (1 - s) ** (n - m)
         tail = beta[s >= 0.85].sum() / beta.sum()
         assert (m >= near_dedup.least_agreements(n, 0.85, float(tail) * 0.99)) and (m < near_dedup.least_agreements(n, 0.85, float(tail) * 1.01))
+
+
+@pytest.mark.parametrize("few, led", [(near_dedup.FEW_PAIRS, 1), (-1, 3)])
+def test_rounds_join_components_and_stop_when_little_is_left(spark, monkeypatch, few, led):
+    """Chains whose ends share buckets: links of later rounds join components of the
+    first and single texts; with few pairs left, one round is enough."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(6):
+        chain = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        for i in range(25):
+            for k in range(2):
+                chain[(17 * i + 90 * k) % 200] = f"c{c}-{i}-{k}"
+            rows.append((100 * c + i, " ".join(chain)))
+    rows += [(700, rows[0][1]), (None, rows[3][1]), (0, rows[0][1]), (701, "a b"), (702, None)]
+    rng.shuffle(rows)
+    written, staged = [], near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name: written.append(name) or staged(df, name))
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
+    assert judged(spark, rows, rounds=3) == brute(rows)
+    assert written.count("dedup-led") == led
+
+
+def test_links_without_an_earlier_component(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    groups = lambda roots: sorted(sorted(r.node for r in rows) for rows in _by(roots.collect()).values())
+
+    def _by(rows):
+        out = defaultdict(list)
+        for r in rows:
+            out[r.root].append(r)
+        return out
+    none = near_dedup.merged(None, edges([]))
+    assert groups(none) == []
+    first = near_dedup.merged(none, edges([(1, 2), (3, 2), (8, 9)]))
+    assert groups(first) == [[1, 2, 3], [8, 9]]
+    assert groups(near_dedup.merged(first, edges([]))) == [[1, 2, 3], [8, 9]]
+    assert groups(near_dedup.merged(first, edges([(3, 9), (5, 6), (5, 1), (7, 4), (9, 1)]))) == [[1, 2, 3, 5, 6, 8, 9], [4, 7]]
