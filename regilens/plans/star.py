@@ -137,7 +137,7 @@ def write_table(spark: SparkSession, df: DataFrame, path: str, figures: dict | N
         if figures:
             df, seen = audit.observed(df, figures)
         with _shuffles_by_size(spark, df):
-            df.write.partitionBy(*partition_by).parquet(copy)
+            df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(copy)
         if figures:
             write_table(spark, audit.audit_rows(spark, figures, seen.get), figures_path)
         fs, to = hadoop_path(spark, path)

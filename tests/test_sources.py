@@ -124,3 +124,19 @@ def test_written_tables_shuffle_by_the_size_of_their_input(spark, tmp_path, monk
             spark.conf.set(k, v)
     assert len(list((tmp_path / "out").rglob("*.parquet"))) >= 40
     assert Counter(got.drop(YEAR).collect()) == Counter(df.collect())
+
+
+def test_written_tables_are_compressed_densely(spark, tmp_path):
+    """The hashes are most of a fact's bytes: as hexadecimal text they take half
+    the room with an entropy coder."""
+    import pyarrow.parquet as pq
+
+    from regilens.operators.dated import YEAR, by_date
+    from regilens.plans import star
+    df = spark.range(5000).selectExpr("id as FID", "date_add(date'2020-01-01', cast(id % 700 as int)) as d", "md5(cast(id as string)) as hash_binary")
+    got = star.write_table(spark, df, str(tmp_path / "plain"))
+    dated = star.write_table(spark, by_date(got, "d"), str(tmp_path / "dated"), partition_by=(YEAR,))
+    files = [f for folder in ("plain", "dated") for f in (tmp_path / folder).rglob("*.parquet")]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(2).compression for f in files} == {"ZSTD"}
+    assert sum(f.stat().st_size for f in (tmp_path / "plain").glob("*.parquet")) < 5000 * 26
+    assert Counter(dated.drop(YEAR).collect()) == Counter(df.collect())
