@@ -44,6 +44,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix``."""
+    h = (h ^ (h >> _U(31)) ^ (h >> _U(62))) * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h = (h ^ (h >> _U(27)) ^ (h >> _U(54))) * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> _U(30)) ^ (h >> _U(60))
+
+
 class Words:
     """The words of a chunk of texts: byte ``start`` and ``end``, ``hash``, the
     text each belongs to (``doc``) and each text's first word (``first``, with

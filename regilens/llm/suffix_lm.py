@@ -33,17 +33,24 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import crc_remainder, hash_bitmap, marked, staged, table
-from ._text import TOKENS, Words, chunks, in_sorted, list_array, mix
+from ._text import TOKENS, Words, chunks, in_sorted, list_array, mix, unmix
+from ._text import runs as grouped
 
 CHUNK, SCORE_CHUNK = 2 << 20, 1 << 20  # bytes of text whose arrays a task holds at a time
 START_HASH, END_HASH = np.uint64(0x005A1C39D25), np.uint64(0x00E4D0F7E87)  # no word's hashes but by chance 2^-64
 BITS = 26
+HELD = 2 << 20  # runs that a task counts before it passes them on
+GROUP_BITS = 12
+SHARES, SHARE_TOKENS = 2, 1 << 20
+ROUNDS, ROUND_KEYS = 4, 1 << 20
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -63,6 +70,11 @@ def longer(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + last)
 
 
+def suffix(run: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What ``longer`` was given as ``last``, from its result and ``before``."""
+    return unmix(run) - before * np.uint64(0x9E3779B97F4A7C15)
+
+
 class Stream:
     """The tokens of a chunk, every text between a start and an end mark;
     ``depth``: the place in the text, ``doc`` the text of each place."""
@@ -85,33 +97,79 @@ class Stream:
             h, k = np.concatenate([h[:1], longer(h[:-1], h[1:])]), k + 1
 
 
-def next_counts(texts: DataFrame, order: int, contexts, tokens) -> DataFrame:
-    """(c, s, n): how often the run that starts with context ``c`` of ``order``
-    tokens and ends with the run ``s`` of as many occurs, for those that the
-    two bitmaps mark."""
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, low half of its context, count) of the distinct runs, by run."""
+    g, c, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(g)
+    g = g[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[first], c[order[first]], np.add.reduceat(n[order], first) if len(g) else n
+
+
+def next_counts(texts: DataFrame, order: int, contexts, tokens, min_entry: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """(g, cl, n): how often the run ``g`` of ``order`` + 1 tokens occurs, for
+    those whose context (without the last token) and suffix (without the first)
+    the two bitmaps mark and that occur ``min_entry`` times; ``cl`` is the low
+    half of the context's hash. A task's counts are shuffled as one row per
+    range of hashes, so a run costs 12 bytes and its count; of ``shares`` parts
+    of the ranges only part ``share`` is counted."""
+    def rows(parts):
+        g, c, n = _summed(parts)
+        group = (g >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(g) else np.zeros(0, np.int64)
+        ends = np.append(first, len(g))
+        for x in range(0, len(first), 512):
+            y = min(x + 512, len(first))
+            i, j, size = ends[x], ends[y], np.diff(ends[x:y + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(group[first[x:y]]), list_array(g[i:j].view(np.int64), size, pa.int64()),
+                                              list_array(c[i:j].view(np.int32), size, pa.int32()), list_array(n[i:j], size, pa.int64())], ["group", "g", "cl", "n"])
+
+    def found(w: Words):
+        st = Stream(w)
+        steps = st.runs()
+        for _ in range(order):
+            _, h = next(steps)
+        at = np.flatnonzero(st.depth >= order)
+        at = at[marked(contexts.value, h[at - 1], BITS)]
+        at = at[marked(tokens.value, h[at], BITS)]
+        g = longer(h[at - 1], h[at])
+        if shares > 1:
+            mine = (g >> np.uint64(64 - GROUP_BITS)) % np.uint64(shares) == share
+            at, g = at[mine], g[mine]
+        g, first, n = np.unique(g, return_index=True, return_counts=True)
+        return g, h[at[first] - 1].astype(np.uint32), n.astype(np.int64)
+
     def run(batches):
+        held, size = [], 0
         for b in batches:
             for _, _, w in chunks(b, "text", TOKENS, CHUNK):
-                st = Stream(w)
-                steps = st.runs()
-                for _ in range(order):
-                    _, h = next(steps)
-                at = np.flatnonzero(st.depth >= order)
-                at = at[marked(contexts.value, h[at - 1], BITS)]
-                at = at[marked(tokens.value, h[at], BITS)]
-                _, first, n = np.unique(longer(h[at - 1], h[at]), return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at - 1].view(np.int64)), pa.array(h[at].view(np.int64)), pa.array(n.astype(np.int64))], ["c", "s", "n"])
-    return texts.select("text").mapInArrow(run, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
+                held.append(found(w))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    del w
+                    yield from rows(held)
+                    held, size = [], 0
+        if held:
+            yield from rows(held)
+
+    def total(batches):
+        for b in grouped(batches):
+            g, c, n = _summed([tuple(b.column(x).flatten().to_numpy(zero_copy_only=False) for x in (1, 2, 3))])
+            keep = n >= min_entry
+            yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(c[keep]), pa.array(n[keep])], ["g", "cl", "n"])
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return texts.select("text").mapInArrow(run, "group long, g array<long>, cl array<int>, n array<long>") \
+        .repartition(parts, "group").sortWithinPartitions("group").mapInArrow(total, "g long, cl int, n long")
 
 
 def _named(counts: DataFrame) -> DataFrame:
-    """(c, s, n) with the run's own hash ``g``."""
+    """(g, c, n, cn) with the suffix ``s`` of the run ``g`` of context ``c``. A
+    context that only shares its low half gives a hash that is no run's."""
     def run(batches):
         for b in batches:
-            g = longer(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g.view(np.int64))], ["c", "s", "n", "g"])
-    return counts.mapInArrow(run, "c long, s long, n long, g long")
+            s = suffix(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.view(np.int64))], ["g", "c", "n", "cn", "s"])
+    return counts.mapInArrow(run, "g long, c long, n long, cn long, s long")
 
 
 def _tested(own: DataFrame, min_kl: float) -> DataFrame:
@@ -134,6 +192,7 @@ def learn(texts: DataFrame, max_order: int = 3, min_context: int = 64, min_entry
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
     mass = n + 0.1 * (v + 1)
+    shares = min(SHARES, 1 + n // SHARE_TOKENS)  # counted one after the other, so only one share's counts are on the disks
     parts = [counts.select(F.col("token").alias("key"), F.lit(0.0).alias("v"), (F.log10(F.col("c") + F.lit(0.1)) + 1).alias("b"), F.col("c").alias("n"))]
     # runs of one token: how often, and their probability in the root
     runs = counts.where(F.col("c") >= min_entry).select(F.col("token").alias("g"), F.col("c").alias("n"), ((F.col("c") + F.lit(0.1)) / mass).alias("p"))
@@ -142,9 +201,11 @@ def learn(texts: DataFrame, max_order: int = 3, min_context: int = 64, min_entry
     for order in range(1, max_order + 1):
         if not contexts.limit(1).count():
             break
-        raw = next_counts(texts, order, hash_bitmap(contexts, "g", BITS), hash_bitmap(runs, "g", BITS)).where(F.col("n") >= min_entry)
-        own = _named(raw).join(contexts.select(F.col("g").alias("c"), F.col("n").alias("cn")), "c") \
-            .join(runs.select(F.col("g").alias("s"), F.col("p").alias("low")), "s")
+        marks = hash_bitmap(contexts, "g", BITS), hash_bitmap(runs, "g", BITS)
+        raw = reduce(DataFrame.unionByName, [staged(next_counts(texts, order, *marks, min_entry, x, shares), f"lm-next{order}") for x in range(shares)])
+        own = raw.withColumn("cl", F.col("cl").cast("bigint")) \
+            .join(contexts.select(F.col("g").alias("c"), F.col("n").alias("cn"), F.shiftright(F.shiftleft("g", 32), 32).alias("cl")), "cl")
+        own = _named(own.select("g", "c", "n", "cn")).join(runs.select(F.col("g").alias("s"), F.col("p").alias("low")), "s")
         own = staged(own.select("g", "c", "n", "cn", "low"), f"lm-runs{order}")
         kept = staged(_tested(own, min_kl).join(contexts.withColumnRenamed("g", "ctx"), "ctx"), f"lm-contexts{order}")
         back = F.log10(F.col("free") / F.col("whole"))
@@ -204,9 +265,15 @@ def score(docs: DataFrame, tree: DataFrame, model: dict, keep: tuple[str, ...] =
     schema = ", ".join([f"c{x} {kinds[k]}" for x, k in enumerate(names)] + ["n_tokens long, known long, base double, more double, far array<long>"])
     read = docs.select(*[F.col(k).alias(f"c{x}") for x, k in enumerate(names)], F.col("text").alias("_text"))
     part = staged(read.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    asked = part.where("size(far) > 0").select("row", F.explode("far").alias("key"))
-    got = asked.join(far.select("key", "v", "b"), "key").groupBy("row").agg(
-        F.sum("v").alias("far_v"), F.sum("b").alias("far_b"), F.count_if(F.col("b") > 0).alias("met"))
+    keys = part.agg(F.sum(F.size("far"))).first()[0] or 0
+    rounds = min(ROUNDS, 1 + keys // ROUND_KEYS)
+    got = []
+    for r in range(rounds):  # a share of the keys at a time is shuffled
+        mine = F.pmod("key", F.lit(rounds)) == r
+        asked = part.select("row", F.explode("far").alias("key")).where(mine)
+        got.append(staged(asked.join(far.where(mine).select("key", "v", "b"), "key").groupBy("row").agg(
+            F.sum("v").alias("far_v"), F.sum("b").alias("far_b"), F.count_if(F.col("b") > 0).alias("met")), f"lm-met{r}"))
+    got = reduce(DataFrame.unionByName, got).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("far_v", "far_b", "met")])
     unseen = -1 - float(np.log10(model["n"] + 0.1 * (model["v"] + 1)))  # log10 share of a token never seen
     base = F.col("n_tokens") * F.lit(unseen) + F.col("base") + F.coalesce("far_b", F.lit(0.0))
     return part.drop("far").join(got, "row", "left").select(

@@ -197,6 +197,42 @@ def brute_tree(texts, max_order, min_context, min_entry, min_kl):
     return p, kept, unigrams
 
 
+def test_runs_are_counted_alike_in_any_number_of_shares(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(80)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    every = spark.sparkContext.broadcast(np.full(1 << (suffix_lm.BITS - 3), 255, np.uint8))
+    streams = [["<s>", *(t or "").split(), "</s>"] for t in texts]
+    monkeypatch.setattr(suffix_lm, "HELD", 500)
+    for order in (1, 3):
+        plain = Counter(tuple(s[i:i + order + 1]) for s in streams for i in range(len(s) - order))
+        for shares in (1, 2):
+            got = [r for x in range(shares) for r in suffix_lm.next_counts(frame, order, every, every, 2, x, shares).collect()]
+            assert len({r["g"] for r in got}) == len(got)
+            assert sorted(r["n"] for r in got) == sorted(n for n in plain.values() if n >= 2)
+
+
+def test_hashes_can_be_taken_back():
+    a, b = np.random.default_rng(1).integers(0, 1 << 63, (2, 1000)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (suffix_lm.suffix(suffix_lm.longer(a, b), a) == b).all()
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from regilens.llm._spark import staged
+    root = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {str(f) for d in root for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    out = staged(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "left")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 700
+
+
 def test_tree_scores_equal_plain_counting(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(30)]
